@@ -45,7 +45,7 @@ def record_hash(columns: list[tuple[str, str]]) -> Column:
         column = F.col(name)
         if kind in ("double", "float"):
             column = column.cast("decimal(18,2)")
-        return F.coalesce(column.cast("string"), F.lit("\u0000"))
+        return F.coalesce(column.cast("string"), F.lit("\u0001"))
 
     return F.md5(F.concat_ws("||", *[text(n, k) for n, k in columns]))
 
