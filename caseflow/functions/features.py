@@ -26,6 +26,11 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.try_divide(top, bottom)
 
 
+def cents(value: Column) -> Column:
+    """Two decimals, halves up. Eight decimals come first, so that the order of a sum has no say."""
+    return F.round(value.cast("decimal(30,8)"), 2).cast("double")
+
+
 def money(value: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(value, 2))
 

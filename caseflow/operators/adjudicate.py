@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.functions.features import money, percent, ratio
+from caseflow.functions.features import cents, money, percent, ratio
 from caseflow.operators import investigate
 from caseflow.sources import dims
 
@@ -137,8 +137,8 @@ def review_financial(df: DataFrame) -> DataFrame:
     amount = F.col("claim_amount")
     limit = F.coalesce("policy_limit", F.lit(0.0))
     exposure = F.when(limit > 0, ratio(amount, limit)).otherwise(0.0)
-    total = F.round(F.coalesce("total_claimed_amount", F.lit(0.0)), 2)
-    average = F.round(F.coalesce("avg_claim_amount", F.lit(0.0)), 2)
+    total = cents(F.coalesce("total_claimed_amount", F.lit(0.0)))
+    average = cents(F.coalesce("avg_claim_amount", F.lit(0.0)))
     return df.withColumns(
         {
             "financial_review": F.when(
@@ -169,7 +169,7 @@ def review_financial(df: DataFrame) -> DataFrame:
                 _review(FINANCIAL, "APPROVE", 0.85, "Financial metrics within acceptable parameters.")
             ),
             "exposure_ratio": F.round(exposure, 4),
-            "recommended_reserve": F.round(amount * 1.1, 2),
+            "recommended_reserve": cents(amount * 1.1),
         }
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.functions.features import count_where, money, percent
+from caseflow.functions.features import cents, count_where, money, percent
 from caseflow.operators import ranking
 from caseflow.operators.silver import with_policy
 from caseflow.sources import dims
@@ -192,8 +192,8 @@ def payment_history(claims: DataFrame, n: int = 5) -> DataFrame:
     fraud, total = F.col("fraud_count"), F.col("total_claims")
     totals = claims.groupBy("claimant_id").agg(
         F.count(F.lit(1)).alias("total_claims"),
-        F.round(F.sum("claim_amount"), 2).alias("total_claimed"),
-        F.round(F.avg("claim_amount"), 2).alias("average_claim"),
+        cents(F.sum("claim_amount")).alias("total_claimed"),
+        cents(F.avg("claim_amount")).alias("average_claim"),
         count_where(F.col("is_fraud")).alias("fraud_count"),
     )
     narrow = claims.select("claimant_id", "claim_id", "claim_amount", "filing_date", "status")

@@ -63,6 +63,10 @@ def instant(expression: str, name: str | None = None) -> str:
     return f"strftime(CAST({expression} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS {name or expression}"
 
 
+def cents(expression: str) -> str:
+    return f"CAST(round(CAST({expression} AS DECIMAL(30,8)), 2) AS DOUBLE)"
+
+
 CLAIMANTS = """claimants AS (
 SELECT c_custkey*4+a AS claimant_id, 'Customer' AS first_name, substr(c_name,10) AS last_name,
   CAST('1950-01-01' AS DATE)+CAST((c_custkey*4+a)%18000 AS INT) AS date_of_birth,
@@ -198,7 +202,7 @@ SELECT r.*, cpt.cost_min, cpt.cost_max,
   CASE WHEN coalesce(policy_limit,0)=0 OR claim_amount > policy_limit THEN 'WARN' ELSE 'PASS' END AS limit_status,
   CASE WHEN coalesce(deductible,0)=0 OR claim_amount < deductible THEN 'WARN' ELSE 'PASS' END AS deductible_status,
   CASE WHEN coalesce(policy_limit,0) > 0 THEN claim_amount/policy_limit ELSE 0 END AS exposure,
-  round(total_claimed_amount, 2) AS total_claimed, round(avg_claim_amount, 2) AS average_claim
+  {cents('total_claimed_amount')} AS total_claimed, {cents('avg_claim_amount')} AS average_claim
 FROM risk r LEFT JOIN cpt ON r.procedure_code = cpt.code), verdicts AS (
 SELECT *, CASE WHEN fraud_risk_score>0.7 THEN 'DENY' WHEN fraud_risk_score>0.5 THEN 'INVESTIGATE' ELSE 'APPROVE' END AS fraud_verdict,
   CASE WHEN policy_found AND period_status='FAIL' THEN 'DENY'

@@ -4,6 +4,7 @@ each, so broadcasting them is always safe."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # ICD-10 code, description, category, severity.
 ICD10 = [
@@ -76,13 +77,19 @@ EXPERIMENT_SCHEMA = (
 )
 
 
+def _constant(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """Rows as literals of the plan, without a Python worker."""
+    records = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names.split(), row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*records)))
+
+
 def icd10(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ICD10, "code string, description string, category string, severity string")
+    return _constant(spark, ICD10, "code description category severity")
 
 
 def cpt(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CPT, "code string, description string, cost_min double, cost_max double")
+    return _constant(spark, CPT, "code description cost_min cost_max")
 
 
 def state_coordinates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STATE_COORDINATES, "state string, latitude double, longitude double")
+    return _constant(spark, STATE_COORDINATES, "state latitude longitude")
