@@ -79,9 +79,9 @@ def train(
         .withColumn("_weight", F.when(F.col(label), weight).otherwise(1.0))
         .select("_features", "_label", "_weight")
     )
-    settings = {**PARAMS, **params}
+    settings = {"cacheNodeIds": True, "checkpointInterval": 10, **PARAMS, **params}
     classifier = GBTClassifier(
-        featuresCol="_features", labelCol="_label", weightCol="_weight", cacheNodeIds=True, checkpointInterval=10, **settings
+        featuresCol="_features", labelCol="_label", weightCol="_weight", **settings
     )
     return classifier.fit(data)
 

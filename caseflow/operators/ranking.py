@@ -48,10 +48,10 @@ def with_rank(
     )
     sizes = sizes.select("_cell", F.coalesce(before, F.lit(0)).alias("_before"))
     return (
-        work.withColumn("_rank", rank_in_cell(unique))
+        work.withColumn("_in_cell", rank_in_cell(unique))
         .join(sizes, "_cell")
-        .withColumn(out, (F.col("_before") + F.col("_rank")).cast("int"))
-        .drop("_cell", "_before", "_rank")
+        .withColumn(out, F.col("_before") + F.col("_in_cell"))
+        .drop("_cell", "_before", "_in_cell")
     )
 
 

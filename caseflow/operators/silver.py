@@ -262,11 +262,11 @@ def build(
     """
     base = with_policy(claims, policies).withColumn("_cell", ranking.cell(["claimant_id"], "filing_date", "claim_id"))
     joined = (
-        base.withColumn("_rank", ranking.rank_in_cell("claim_id"))
+        base.withColumn("_in_cell", ranking.rank_in_cell("claim_id"))
         .join(_claimant_cells(base, claimants), "_cell", "left")
-        .withColumn("claim_sequence_num", (F.col("_before") + F.col("_rank")).cast("int"))
+        .withColumn("claim_sequence_num", F.col("_before") + F.col("_in_cell"))
         .withColumn("is_first_claim", flag(F.col("claim_sequence_num") == 1))
-        .drop("_cell", "_before", "_rank")
+        .drop("_cell", "_before", "_in_cell")
     )
     featured = text_features(risk_flags(financial_features(temporal_features(joined))))
     return _arrange(with_weather(featured, weather))

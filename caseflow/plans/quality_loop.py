@@ -69,14 +69,14 @@ def report_sql(source: str, truth: str, predicted: str) -> str:
 counted AS (SELECT label, (SELECT count(*) FROM truth_table WHERE {truth}=label) AS support,
 (SELECT count(*) FROM truth_table WHERE {predicted}=label) AS guessed,
 (SELECT count(*) FROM truth_table WHERE {truth}=label AND {predicted}=label) AS hits FROM labels),
-scored AS (SELECT label, support, hits, CASE WHEN guessed=0 THEN 0 ELSE hits/guessed END AS precision,
+rated AS (SELECT label, support, hits, CASE WHEN guessed=0 THEN 0 ELSE hits/guessed END AS precision,
 CASE WHEN support=0 THEN 0 ELSE hits/support END AS recall,
 CASE WHEN support+guessed=0 THEN 0 ELSE 2*hits/(support+guessed) END AS f1_score FROM counted),
-report AS (SELECT CAST(label AS VARCHAR) AS label, precision, recall, f1_score, support FROM scored
-UNION ALL SELECT 'accuracy', NULL, NULL, sum(hits)/sum(support), CAST(sum(support) AS BIGINT) FROM scored
-UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score), CAST(sum(support) AS BIGINT) FROM scored
+report AS (SELECT CAST(label AS VARCHAR) AS label, precision, recall, f1_score, support FROM rated
+UNION ALL SELECT 'accuracy', NULL, NULL, sum(hits)/sum(support), CAST(sum(support) AS BIGINT) FROM rated
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score), CAST(sum(support) AS BIGINT) FROM rated
 UNION ALL SELECT 'weighted avg', sum(precision*support)/sum(support), sum(recall*support)/sum(support),
-sum(f1_score*support)/sum(support), CAST(sum(support) AS BIGINT) FROM scored)
+sum(f1_score*support)/sum(support), CAST(sum(support) AS BIGINT) FROM rated)
 SELECT label, {nums('precision recall f1_score')}, support FROM report"""
 
 
