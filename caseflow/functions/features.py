@@ -26,9 +26,13 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.try_divide(top, bottom)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Halves up. Eight decimals come first, so that the order of a sum has no say."""
+    return F.round(value.cast("decimal(30,8)"), digits).cast("double")
+
+
 def cents(value: Column) -> Column:
-    """Two decimals, halves up. Eight decimals come first, so that the order of a sum has no say."""
-    return F.round(value.cast("decimal(30,8)"), 2).cast("double")
+    return rounded(value, 2)
 
 
 def money(value: Column) -> Column:

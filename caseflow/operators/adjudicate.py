@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.functions.features import cents, money, percent, ratio
+from caseflow.functions.features import cents, flag, money, percent, ratio, rounded
 from caseflow.operators import investigate
 from caseflow.sources import dims
 
@@ -72,27 +72,29 @@ def review_fraud(df: DataFrame, similar: DataFrame | None = None) -> DataFrame:
 
 def review_legal(df: DataFrame) -> DataFrame:
     """ADJ-2: needs the policy checks. Without a policy there are no checks, hence an approval."""
+    checks = [F.get("validations", F.lit(i)) for i in range(3)]
 
-    def messages(status):
-        return F.filter("validations", lambda v: v["status"] == status)
+    def with_status(status):
+        return sum((flag(c["status"] == status) for c in checks[1:]), flag(checks[0]["status"] == status))
+
+    def first_message(status):
+        return F.coalesce(*[F.when(c["status"] == status, c["message"]) for c in checks])
 
-    failed, warned = messages("FAIL"), messages("WARN")
     return df.withColumns(
-        {
-            "failed_checks": F.size(failed),
-            "warning_checks": F.size(warned),
-            "legal_review": F.when(
-                F.size(failed) > 0,
-                _review(LEGAL, "DENY", 0.95, F.concat(F.lit("Policy validation failed: "), F.get(failed, 0)["message"])),
-            )
-            .when(
-                F.size(warned) > 0,
-                _review(LEGAL, "REVIEW", 0.7, F.concat(F.lit("Policy warnings detected: "), F.get(warned, 0)["message"])),
-            )
-            .otherwise(
-                _review(LEGAL, "APPROVE", 0.9, "All policy validations passed. Claim compliant with policy terms.")
-            ),
-        }
+        {"failed_checks": with_status("FAIL"), "warning_checks": with_status("WARN")}
+    ).withColumn(
+        "legal_review",
+        F.when(
+            F.col("failed_checks") > 0,
+            _review(LEGAL, "DENY", 0.95, F.concat(F.lit("Policy validation failed: "), first_message("FAIL"))),
+        )
+        .when(
+            F.col("warning_checks") > 0,
+            _review(LEGAL, "REVIEW", 0.7, F.concat(F.lit("Policy warnings detected: "), first_message("WARN"))),
+        )
+        .otherwise(
+            _review(LEGAL, "APPROVE", 0.9, "All policy validations passed. Claim compliant with policy terms.")
+        ),
     )
 
 
@@ -168,7 +170,7 @@ def review_financial(df: DataFrame) -> DataFrame:
             .otherwise(
                 _review(FINANCIAL, "APPROVE", 0.85, "Financial metrics within acceptable parameters.")
             ),
-            "exposure_ratio": F.round(exposure, 4),
+            "exposure_ratio": rounded(exposure, 4),
             "recommended_reserve": cents(amount * 1.1),
         }
     )
@@ -176,17 +178,21 @@ def review_financial(df: DataFrame) -> DataFrame:
 
 def route(df: DataFrame, priority: Column | str = "normal") -> DataFrame:
     """ADJ-5: names of the reviewers to ask, in order; high and critical cases go to all four."""
+    names = {name: F.lit(name) for name in ("fraud", "legal", "medical", "financial")}
     urgency = F.lit(priority) if isinstance(priority, str) else priority
-    return df.withColumn("priority", urgency).withColumn(
-        "reviewers",
-        F.when(
-            F.col("priority").isin(dims.URGENT_PRIORITIES), F.array(*map(F.lit, ["fraud", "legal", "medical", "financial"]))
-        )
-        .when(
-            F.col("claim_type").isin(dims.MEDICAL_TYPES),
-            F.array(*map(F.lit, ["fraud", "legal", "financial", "medical"])),
-        )
-        .otherwise(F.array(*map(F.lit, ["fraud", "legal", "financial"]))),
+    return df.withColumn("priority", urgency).withColumn("reviewers", _in_order(names))
+
+
+def _in_order(by_name: dict[str, Column]) -> Column:
+    """One value per consulted reviewer, in the order of consultation."""
+
+    def listed(*names):
+        return F.array(*[by_name[n] for n in names])
+
+    return (
+        F.when(F.col("priority").isin(dims.URGENT_PRIORITIES), listed("fraud", "legal", "medical", "financial"))
+        .when(F.col("claim_type").isin(dims.MEDICAL_TYPES), listed("fraud", "legal", "financial", "medical"))
+        .otherwise(listed("fraud", "legal", "financial"))
     )
 
 
@@ -197,10 +203,8 @@ def reviewed(df: DataFrame, priority: Column | str = "normal", similar: DataFram
     )
     coded = investigate.medical_lookup(investigate.policy_checks(scored))
     judged = review_financial(review_medical(review_legal(review_fraud(coded, similar))))
-    by_name = F.create_map(
-        *[part for name in ("fraud", "legal", "medical", "financial") for part in (F.lit(name), F.col(f"{name}_review"))]
-    )
-    return route(judged, priority).withColumn("reviews", F.transform("reviewers", lambda name: by_name[name]))
+    by_name = {name: F.col(f"{name}_review") for name in ("fraud", "legal", "medical", "financial")}
+    return route(judged, priority).withColumn("reviews", _in_order(by_name))
 
 
 def reviews_long(df: DataFrame) -> DataFrame:
@@ -209,19 +213,29 @@ def reviews_long(df: DataFrame) -> DataFrame:
 
 
 def decide(df: DataFrame) -> DataFrame:
-    """ADJ-6: one verdict per claim from its ``reviews``. Works inside the row, without a shuffle."""
-    votes = F.filter("reviews", lambda r: r["recommendation"] != "N/A")
+    """ADJ-6: one verdict per claim from its reviews. Works inside the row, without a shuffle.
+
+    A review is one of at most four array elements, so the vote is plain arithmetic on them.
+    """
+    votes = [F.get("reviews", F.lit(i)) for i in range(4)]
+
+    def added(values):
+        total = values[0]
+        for value in values[1:]:
+            total = total + value
+        return total
+
+    verdicts = F.col("reviews.recommendation")
 
     def votes_for(name):
-        return F.size(F.filter("reviews", lambda r: r["recommendation"] == name))
+        return F.size(verdicts) - F.size(F.array_remove(verdicts, name))
 
+    confidences = added([F.when(v["recommendation"] != "N/A", v["confidence"]).otherwise(0.0) for v in votes])
+    cast = F.size(F.array_remove(verdicts, "N/A"))
     deny, investigations = F.col("deny_votes"), F.col("investigate_votes")
     concerns = F.col("review_votes") + investigations
     urgent = F.col("priority").isin(dims.URGENT_PRIORITIES)
-    denied_by = F.array_join(
-        F.transform(F.filter("reviews", lambda r: r["recommendation"] == "DENY"), lambda r: r["agent"]), ", "
-    )
-    total = F.aggregate(votes, F.lit(0.0), lambda acc, r: acc + r["confidence"])
+    denied_by = F.concat_ws(", ", *[F.when(v["recommendation"] == "DENY", v["agent"]) for v in votes])
     verdict = F.col("final_recommendation")
 
     def per_outcome(on_deny, on_investigate, on_review, on_approve):
@@ -242,7 +256,7 @@ def decide(df: DataFrame) -> DataFrame:
                 "investigate_votes": votes_for("INVESTIGATE"),
                 "review_votes": votes_for("REVIEW"),
                 "approve_votes": votes_for("APPROVE"),
-                "confidence": F.round(F.coalesce(F.try_divide(total, F.size(votes)), F.lit(0.5)), 3),
+                "confidence": F.round(F.coalesce(F.try_divide(confidences, cast), F.lit(0.5)), 3),
             }
         )
         .withColumn(
@@ -278,7 +292,7 @@ def investigation_log(decisions: DataFrame, as_of) -> DataFrame:
         "confidence",
         "rationale",
         F.size("reviews").alias("agent_count"),
-        F.array_join(F.transform("reviews", lambda r: r["agent"]), ", ").alias("agents_consulted"),
+        F.array_join(F.col("reviews.agent"), ", ").alias("agents_consulted"),
         F.to_json(
             F.struct(
                 "claim_id",

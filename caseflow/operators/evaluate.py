@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.functions.features import count_where, md5_mod_1000
+from caseflow.functions.features import cents, count_where, md5_mod_1000, rounded
 
 
 def _time(as_of) -> Column:
@@ -64,9 +64,9 @@ def quality_summary(feedback: DataFrame, days: int, as_of) -> DataFrame:
     recent = feedback.filter(F.col("feedback_timestamp") >= _time(as_of) - F.make_dt_interval(F.lit(days)))
     return recent.agg(
         F.count(F.lit(1)).alias("total_evaluations"),
-        F.round(F.try_divide(count_where(F.col("recommendation_correct")), F.count(F.lit(1))), 4).alias("accuracy"),
-        F.round(F.avg("rating"), 2).alias("avg_rating"),
-        F.round(F.avg("time_to_decision_hours"), 2).alias("avg_decision_time_hours"),
+        rounded(F.try_divide(count_where("recommendation_correct"), F.count(F.lit(1))), 4).alias("accuracy"),
+        cents(F.avg("rating")).alias("avg_rating"),
+        cents(F.avg("time_to_decision_hours")).alias("avg_decision_time_hours"),
     ).select(F.lit(days).alias("period_days"), F.when(n > 0, "ok").otherwise("no_data").alias("status"), "*")
 
 

@@ -65,7 +65,8 @@ def rule_risk(features: DataFrame) -> DataFrame:
     score = F.lit(0.0)
     for weight, condition, _ in factors:
         score = score + F.when(condition, weight).otherwise(0.0)
-    reasons = F.array_compact(F.array(*[F.when(condition, text) for _, condition, text in factors]))
+    none = F.array().cast("array<string>")
+    reasons = F.concat(*[F.when(condition, F.array(text)).otherwise(none) for _, condition, text in factors])
     # Levels compare the rounded score: the sums are exact to two decimals.
     risk = F.col("fraud_risk_score")
     return features.withColumn("fraud_risk_score", F.round(F.least(score, F.lit(1.0)), 3)).withColumns(
@@ -130,13 +131,12 @@ def policy_checks(df: DataFrame) -> DataFrame:
     checks = F.when(F.col("policy_found"), F.array(period, within, meets)).otherwise(F.array().cast(
         "array<struct<check:string,status:string,message:string>>"
     ))
+    # Only the period check can fail.
+    passed = F.get("validations", F.lit(0))["status"] != "FAIL"
     return (
         df.withColumn("policy_found", found)
         .withColumn("validations", checks)
-        .withColumn(
-            "policy_valid",
-            F.col("policy_found") & ~F.exists("validations", lambda v: v["status"] == "FAIL"),
-        )
+        .withColumn("policy_valid", F.col("policy_found") & F.coalesce(passed, F.lit(False)))
     )
 
 

@@ -137,13 +137,18 @@ def claimant_history(df: DataFrame) -> DataFrame:
     return df.join(claimant_totals(df), "claimant_id", "left")
 
 
-def _claimant_cells(claims: DataFrame, claimants: DataFrame) -> DataFrame:
+def _behaviour_cell():
+    return ranking.cell(["claimant_id"], "filing_date", "claim_id")
+
+
+def _claimant_cells(claims: DataFrame, policies: DataFrame, claimants: DataFrame) -> DataFrame:
     """One narrow row per cell: claimant attributes, claimant totals, claims in earlier cells.
 
-    ``claims`` needs only the id, date, amount, label and provider columns.
+    Reads the id, date, amount and label of the claims; only the provider count needs policies.
     """
     cells = (
-        claims.groupBy("_cell")
+        claims.withColumn("_cell", _behaviour_cell())
+        .groupBy("_cell")
         .agg(
             F.count(F.lit(1)).alias("_rows"),
             F.sum("claim_amount").alias("_amount"),
@@ -161,7 +166,9 @@ def _claimant_cells(claims: DataFrame, claimants: DataFrame) -> DataFrame:
         return F.when(known, column.over(whole))
 
     providers = (
-        claims.groupBy("claimant_id", "insurance_provider")
+        claims.select("claimant_id", "policy_id")
+        .join(policies.select("policy_id", F.col("provider").alias("insurance_provider")), "policy_id", "left")
+        .groupBy("claimant_id", "insurance_provider")
         .agg(F.lit(1).alias("_seen"))
         .groupBy("claimant_id")
         .agg(F.count("insurance_provider").alias("provider_count"))
@@ -260,10 +267,10 @@ def build(
     Equal to chaining the single steps, but claims move twice only: by policy, then by cell,
     where claimant attributes, totals and the rank offset arrive in one narrow table.
     """
-    base = with_policy(claims, policies).withColumn("_cell", ranking.cell(["claimant_id"], "filing_date", "claim_id"))
+    base = with_policy(claims, policies).withColumn("_cell", _behaviour_cell())
     joined = (
         base.withColumn("_in_cell", ranking.rank_in_cell("claim_id"))
-        .join(_claimant_cells(base, claimants), "_cell", "left")
+        .join(_claimant_cells(claims, policies, claimants), "_cell", "left")
         .withColumn("claim_sequence_num", F.col("_before") + F.col("_in_cell"))
         .withColumn("is_first_claim", flag(F.col("claim_sequence_num") == 1))
         .drop("_cell", "_before", "_in_cell")

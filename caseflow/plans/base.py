@@ -63,8 +63,12 @@ def instant(expression: str, name: str | None = None) -> str:
     return f"strftime(CAST({expression} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS {name or expression}"
 
 
+def rounded(expression: str, digits: int) -> str:
+    return f"CAST(round(CAST({expression} AS DECIMAL(30,8)), {digits}) AS DOUBLE)"
+
+
 def cents(expression: str) -> str:
-    return f"CAST(round(CAST({expression} AS DECIMAL(30,8)), 2) AS DOUBLE)"
+    return rounded(expression, 2)
 
 
 CLAIMANTS = """claimants AS (

@@ -21,6 +21,7 @@ from caseflow.plans.base import (
     nums,
     plain,
     query,
+    rounded,
 )
 
 
@@ -251,7 +252,7 @@ def _(v):
 @query(
     "adj4_financial_review",
     f"""WITH {VOTES} SELECT claim_id, financial_verdict AS recommendation, {num('financial_confidence', 'confidence')},
-{num('round(exposure, 4)', 'exposure_ratio')}, {num(cents('claim_amount*1.1e0'), 'recommended_reserve')} FROM weighed""",
+{num(rounded('exposure', 4), 'exposure_ratio')}, {num(cents('claim_amount*1.1e0'), 'recommended_reserve')} FROM weighed""",
 )
 def _(v):
     reviewed = adjudicate.review_financial(v.silver)

@@ -132,7 +132,9 @@ def _fitted(v):
     """The trained model and the split feature table, once per session and data folder."""
     key = (v.spark.sparkContext.applicationId, v.sf_dir)
     if key not in _FITTED:
-        parts = model.cut_lineage(model.stratified_split(v.features, "is_fraud"))
+        # The split and the training read the features several times.
+        features = model.cut_lineage(v.features)
+        parts = model.cut_lineage(model.stratified_split(features, "is_fraud"))
         _FITTED[key] = model.train(parts.filter("split = 'train'")), parts
     return _FITTED[key]
 

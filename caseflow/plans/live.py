@@ -74,5 +74,6 @@ def _(v):
 def _(v):
     root = work_dir(v.spark, "str5")
     store.save(v.claims, root, "claims", snapshot=0)
-    streams.upsert_stream(updates(_events(v)), root, "claims", f"{root}/checkpoint", ["ts", "event_id"])
-    return store.load(v.spark, root, "claims").select("claim_id", "status")
+    order = ["ts", "event_id"]
+    streams.upsert_stream(updates(_events(v)), root, "claims", f"{root}/checkpoint", order)
+    return streams.upserted(v.spark, root, "claims", order).select("claim_id", "status")

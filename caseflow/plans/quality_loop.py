@@ -12,12 +12,14 @@ from caseflow.plans.base import (
     FEEDBACK,
     SILVER,
     VOTES,
+    cents,
     day,
     instant,
     num,
     nums,
     plain,
     query,
+    rounded,
 )
 from caseflow.plans.cases import NOTES, TASKS, notes, tasks, REQUESTS, _requests
 from caseflow.session import work_dir
@@ -55,8 +57,8 @@ def _(v):
 @query(
     "evl3_quality_summary",
     f"""WITH {FEEDBACK} SELECT 30 AS period_days, 'ok' AS status, count(*) AS total_evaluations,
-{num('round(count(*) FILTER (WHERE recommendation_correct)/count(*), 4)', 'accuracy')}, {num('round(avg(rating), 2)', 'avg_rating')},
-{num('round(avg(time_to_decision_hours), 2)', 'avg_decision_time_hours')} FROM feedback
+{num(rounded('count(*) FILTER (WHERE recommendation_correct)/count(*)', 4), 'accuracy')}, {num(cents('avg(rating)'), 'avg_rating')},
+{num(cents('avg(time_to_decision_hours)'), 'avg_decision_time_hours')} FROM feedback
 WHERE feedback_timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY""",
 )
 def _(v):

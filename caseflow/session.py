@@ -18,12 +18,18 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Can only be set when the session is created.
+STARTUP_SETTINGS = {
+    # Do not look up the Python call site of every column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def build_session(name: str = "caseflow", master: str | None = None, **extra) -> SparkSession:
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **STARTUP_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.functions.features import count_where
-from caseflow.operators import audit, bronze
+from caseflow.operators import audit, bronze, ranking
 from caseflow.sources import store
 
 
@@ -80,21 +80,42 @@ def rolling_monitor(df: DataFrame, ts: str, value: str, error, delay: str) -> Da
     )
 
 
+def _changes(root: str, table: str) -> str:
+    return f"{root}/{table}_changes"
+
+
 def upsert_stream(updates: DataFrame, root: str, table: str, checkpoint: str, order: list[str]) -> None:
-    """STR-5: merge status changes into a stored table, one snapshot per micro-batch.
+    """STR-5: collect status changes next to a stored table.
 
-    Batch n reads the newest snapshot older than n + 1 and writes snapshot n + 1, so a repeated
-    batch gives the same table. Snapshot 0 is the table before the stream.
+    A micro-batch writes only its own changes, the last one per claim, into the folder of its
+    number, so a repeated batch replaces itself and the table is not rewritten. ``upserted``
+    reads table and changes together, ``compact`` folds them into a new snapshot.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        current = store.load(batch.sparkSession, root, table, before=number + 1)
-        store.save(audit.merge_status(current, batch, order), root, table, snapshot=number + 1)
+    def keep(batch: DataFrame, number: int) -> None:
+        last = ranking.latest_by(batch, "claim_id", order)
+        last.write.mode("overwrite").parquet(f"{_changes(root, table)}/batch={number}")
 
     (
-        updates.writeStream.foreachBatch(merge)
+        updates.writeStream.foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
         .awaitTermination()
     )
+
+
+def upserted(spark: SparkSession, root: str, table: str, order: list[str]) -> DataFrame:
+    """The table with all changes. Snapshot n already holds the batches before n."""
+    base = store.load(spark, root, table)
+    if not store.exists(spark, _changes(root, table)):
+        return base
+    newest = max(store.snapshots(spark, root, table), default=0)
+    changes = spark.read.parquet(_changes(root, table)).filter(F.col("batch") >= newest)
+    return audit.merge_status(base, changes, ["batch", *order])
+
+
+def compact(spark: SparkSession, root: str, table: str, order: list[str]) -> int:
+    """Fold the changes into a new snapshot of the table."""
+    last = spark.read.parquet(_changes(root, table)).agg(F.max("batch")).first()[0]
+    return store.save(upserted(spark, root, table, order), root, table, snapshot=last + 1)
