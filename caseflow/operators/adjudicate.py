@@ -33,14 +33,26 @@ APPROVE_RATIONALE = "Majority of agents recommend approval with no major concern
 APPROVE_ACTIONS = ["Process payment", "Update claim status", "Notify claimant of approval"]
 
 
-def _review(agent: str, recommendation: str, confidence: float, rationale: Column | str) -> Column:
-    text = F.lit(rationale) if isinstance(rationale, str) else rationale
-    return F.struct(
-        F.lit(agent).alias("agent"),
-        F.lit(recommendation).alias("recommendation"),
-        F.lit(confidence).alias("confidence"),
-        text.alias("rationale"),
-    )
+REVIEWERS = {"fraud": FRAUD, "legal": LEGAL, "medical": MEDICAL, "financial": FINANCIAL}
+
+
+def _judge(df: DataFrame, kind: str, branches: list[tuple], otherwise: tuple) -> DataFrame:
+    """Columns ``kind``_verdict, _confidence and _rationale from the first branch that holds.
+
+    A branch is (condition, verdict, confidence, rationale); ``otherwise`` has no condition.
+    """
+
+    def literal(value):
+        return value if isinstance(value, Column) else F.lit(value)
+
+    def chosen(part):
+        case = F.when(branches[0][0], literal(branches[0][part]))
+        for branch in branches[1:]:
+            case = case.when(branch[0], literal(branch[part]))
+        return case.otherwise(literal(otherwise[part - 1]))
+
+    parts = ("verdict", "confidence", "rationale")
+    return df.withColumns({f"{kind}_{name}": chosen(i) for i, name in enumerate(parts, start=1)})
 
 
 def review_fraud(df: DataFrame, similar: DataFrame | None = None) -> DataFrame:
@@ -48,89 +60,77 @@ def review_fraud(df: DataFrame, similar: DataFrame | None = None) -> DataFrame:
     score = F.col("fraud_risk_score")
     shown = F.format_string("%.2f", score)
     reasons = F.array_join(F.slice("risk_factors", 1, 3), ", ")
-    reviewed = df.withColumn(
-        "fraud_review",
-        F.when(score > 0.7, _review(FRAUD, "DENY", 0.9, F.concat(F.lit("High fraud risk (score: "), shown, F.lit("). "), reasons)))
-        .when(
-            score > 0.5,
-            _review(
-                FRAUD, "INVESTIGATE", 0.75,
+    judged = _judge(
+        df,
+        "fraud",
+        [
+            (score > 0.7, "DENY", 0.9, F.concat(F.lit("High fraud risk (score: "), shown, F.lit("). "), reasons)),
+            (
+                score > 0.5, "INVESTIGATE", 0.75,
                 F.concat(F.lit("Medium fraud risk (score: "), shown, F.lit("). Further investigation recommended.")),
             ),
-        )
-        .otherwise(
-            _review(
-                FRAUD, "APPROVE", 0.85,
-                F.concat(F.lit("Low fraud risk (score: "), shown, F.lit("). Claim appears legitimate.")),
-            )
-        ),
+        ],
+        ("APPROVE", 0.85, F.concat(F.lit("Low fraud risk (score: "), shown, F.lit("). Claim appears legitimate."))),
     )
     if similar is None:
-        return reviewed
-    return reviewed.join(similar, "claim_id", "left").fillna({c: 0 for c in similar.columns if c != "claim_id"})
+        return judged
+    return judged.join(similar, "claim_id", "left").fillna({c: 0 for c in similar.columns if c != "claim_id"})
 
 
 def review_legal(df: DataFrame) -> DataFrame:
     """ADJ-2: needs the policy checks. Without a policy there are no checks, hence an approval."""
-    checks = [F.get("validations", F.lit(i)) for i in range(3)]
-
-    def with_status(status):
-        return sum((flag(c["status"] == status) for c in checks[1:]), flag(checks[0]["status"] == status))
-
-    def first_message(status):
-        return F.coalesce(*[F.when(c["status"] == status, c["message"]) for c in checks])
-
-    return df.withColumns(
-        {"failed_checks": with_status("FAIL"), "warning_checks": with_status("WARN")}
-    ).withColumn(
-        "legal_review",
-        F.when(
-            F.col("failed_checks") > 0,
-            _review(LEGAL, "DENY", 0.95, F.concat(F.lit("Policy validation failed: "), first_message("FAIL"))),
-        )
-        .when(
-            F.col("warning_checks") > 0,
-            _review(LEGAL, "REVIEW", 0.7, F.concat(F.lit("Policy warnings detected: "), first_message("WARN"))),
-        )
-        .otherwise(
-            _review(LEGAL, "APPROVE", 0.9, "All policy validations passed. Claim compliant with policy terms.")
-        ),
+    checks = [(F.col(f"{name}_status"), F.col(f"{name}_message")) for name in investigate.CHECKS]
+
+    def with_status(wanted):
+        found = [flag(status == wanted) for status, _ in checks]
+        return found[0] + found[1] + found[2]
+
+    def first_message(wanted):
+        return F.coalesce(*[F.when(status == wanted, message) for status, message in checks])
+
+    counted = df.withColumns({"failed_checks": with_status("FAIL"), "warning_checks": with_status("WARN")})
+    return _judge(
+        counted,
+        "legal",
+        [
+            (
+                F.col("failed_checks") > 0, "DENY", 0.95,
+                F.concat(F.lit("Policy validation failed: "), first_message("FAIL")),
+            ),
+            (
+                F.col("warning_checks") > 0, "REVIEW", 0.7,
+                F.concat(F.lit("Policy warnings detected: "), first_message("WARN")),
+            ),
+        ],
+        ("APPROVE", 0.9, "All policy validations passed. Claim compliant with policy terms."),
     )
 
 
 def review_medical(df: DataFrame) -> DataFrame:
     """ADJ-3: needs the code lookup; compares the amount with the usual cost of the procedure."""
     amount, low, high = F.col("claim_amount"), F.col("procedure_cost_min"), F.col("procedure_cost_max")
-    return df.withColumn(
-        "medical_review",
-        F.when(
-            ~F.col("claim_type").isin(dims.MEDICAL_TYPES),
-            _review(MEDICAL, "N/A", 1.0, "Not a medical claim - no medical review required."),
-        )
-        .when(
-            high.isNull(),
-            _review(MEDICAL, "REVIEW", 0.5, "Medical codes not in database - manual review recommended."),
-        )
-        .when(
-            amount > high * 1.5,
-            _review(
-                MEDICAL, "INVESTIGATE", 0.7,
+    return _judge(
+        df,
+        "medical",
+        [
+            (
+                ~F.col("claim_type").isin(dims.MEDICAL_TYPES), "N/A", 1.0,
+                "Not a medical claim - no medical review required.",
+            ),
+            (high.isNull(), "REVIEW", 0.5, "Medical codes not in database - manual review recommended."),
+            (
+                amount > high * 1.5, "INVESTIGATE", 0.7,
                 F.concat(
                     F.lit("Claim amount "), money(amount), F.lit(" significantly exceeds typical range "),
                     money(low), F.lit("-"), money(high),
                 ),
             ),
-        )
-        .when(
-            amount < low * 0.5,
-            _review(
-                MEDICAL, "REVIEW", 0.6,
+            (
+                amount < low * 0.5, "REVIEW", 0.6,
                 F.concat(F.lit("Claim amount unusually low for procedure "), F.col("procedure_code")),
             ),
-        )
-        .otherwise(
-            _review(MEDICAL, "APPROVE", 0.85, "Medical codes valid and claim amount within expected range.")
-        ),
+        ],
+        ("APPROVE", 0.85, "Medical codes valid and claim amount within expected range."),
     )
 
 
@@ -138,51 +138,55 @@ def review_financial(df: DataFrame) -> DataFrame:
     """ADJ-4: exposure against the limit and the claimant's history. A missing limit counts as 0."""
     amount = F.col("claim_amount")
     limit = F.coalesce("policy_limit", F.lit(0.0))
-    exposure = F.when(limit > 0, ratio(amount, limit)).otherwise(0.0)
-    total = cents(F.coalesce("total_claimed_amount", F.lit(0.0)))
-    average = cents(F.coalesce("avg_claim_amount", F.lit(0.0)))
-    return df.withColumns(
+    measured = df.withColumns(
         {
-            "financial_review": F.when(
-                exposure > 0.9,
-                _review(
-                    FINANCIAL, "INVESTIGATE", 0.8,
-                    F.concat(
-                        F.lit("Claim represents "), percent(exposure),
-                        F.lit(" of policy limit - high financial exposure"),
-                    ),
-                ),
-            )
-            .when(
-                (amount > average * 3) & (average > 0),
-                _review(
-                    FINANCIAL, "REVIEW", 0.7,
-                    F.concat(F.lit("Claim "), money(amount), F.lit(" is 3x claimant's average "), money(average)),
-                ),
-            )
-            .when(
-                total > limit * 2,
-                _review(
-                    FINANCIAL, "INVESTIGATE", 0.75,
-                    F.concat(F.lit("Claimant's lifetime claims "), money(total), F.lit(" exceed 2x policy limit")),
+            "_exposure": F.when(limit > 0, ratio(amount, limit)).otherwise(0.0),
+            "_total": cents(F.coalesce("total_claimed_amount", F.lit(0.0))),
+            "_average": cents(F.coalesce("avg_claim_amount", F.lit(0.0))),
+        }
+    )
+    exposure, total, average = F.col("_exposure"), F.col("_total"), F.col("_average")
+    judged = _judge(
+        measured,
+        "financial",
+        [
+            (
+                exposure > 0.9, "INVESTIGATE", 0.8,
+                F.concat(
+                    F.lit("Claim represents "), percent(exposure), F.lit(" of policy limit - high financial exposure")
                 ),
-            )
-            .otherwise(
-                _review(FINANCIAL, "APPROVE", 0.85, "Financial metrics within acceptable parameters.")
             ),
-            "exposure_ratio": rounded(exposure, 4),
-            "recommended_reserve": cents(amount * 1.1),
-        }
+            (
+                (amount > average * 3) & (average > 0), "REVIEW", 0.7,
+                F.concat(F.lit("Claim "), money(amount), F.lit(" is 3x claimant's average "), money(average)),
+            ),
+            (
+                total > limit * 2, "INVESTIGATE", 0.75,
+                F.concat(F.lit("Claimant's lifetime claims "), money(total), F.lit(" exceed 2x policy limit")),
+            ),
+        ],
+        ("APPROVE", 0.85, "Financial metrics within acceptable parameters."),
     )
+    return judged.withColumns(
+        {"exposure_ratio": rounded(exposure, 4), "recommended_reserve": cents(amount * 1.1)}
+    ).drop("_exposure", "_total", "_average")
 
 
 def route(df: DataFrame, priority: Column | str = "normal") -> DataFrame:
     """ADJ-5: names of the reviewers to ask, in order; high and critical cases go to all four."""
-    names = {name: F.lit(name) for name in ("fraud", "legal", "medical", "financial")}
     urgency = F.lit(priority) if isinstance(priority, str) else priority
+    names = {name: F.lit(name) for name in REVIEWERS}
     return df.withColumn("priority", urgency).withColumn("reviewers", _in_order(names))
 
 
+def _urgent() -> Column:
+    return F.col("priority").isin(dims.URGENT_PRIORITIES)
+
+
+def _medical() -> Column:
+    return F.col("claim_type").isin(dims.MEDICAL_TYPES)
+
+
 def _in_order(by_name: dict[str, Column]) -> Column:
     """One value per consulted reviewer, in the order of consultation."""
 
@@ -190,34 +194,47 @@ def _in_order(by_name: dict[str, Column]) -> Column:
         return F.array(*[by_name[n] for n in names])
 
     return (
-        F.when(F.col("priority").isin(dims.URGENT_PRIORITIES), listed("fraud", "legal", "medical", "financial"))
-        .when(F.col("claim_type").isin(dims.MEDICAL_TYPES), listed("fraud", "legal", "financial", "medical"))
+        F.when(_urgent(), listed("fraud", "legal", "medical", "financial"))
+        .when(_medical(), listed("fraud", "legal", "financial", "medical"))
         .otherwise(listed("fraud", "legal", "financial"))
     )
 
 
 def reviewed(df: DataFrame, priority: Column | str = "normal", similar: DataFrame | None = None) -> DataFrame:
-    """All reviews of every claim, with the consulted ones in ``reviews``."""
+    """Verdict, confidence and rationale of the four reviewers on every claim."""
     scored = investigate.rule_risk(df).withColumnsRenamed(
         {"recommendation": "risk_recommendation", "confidence": "risk_confidence"}
     )
     coded = investigate.medical_lookup(investigate.policy_checks(scored))
     judged = review_financial(review_medical(review_legal(review_fraud(coded, similar))))
-    by_name = {name: F.col(f"{name}_review") for name in ("fraud", "legal", "medical", "financial")}
-    return route(judged, priority).withColumn("reviews", _in_order(by_name))
+    return route(judged, priority)
+
+
+def reviews() -> Column:
+    """The consulted reviews of a row as an array."""
+    return _in_order(
+        {
+            name: F.struct(
+                F.lit(agent).alias("agent"),
+                F.col(f"{name}_verdict").alias("recommendation"),
+                F.col(f"{name}_confidence").alias("confidence"),
+                F.col(f"{name}_rationale").alias("rationale"),
+            )
+            for name, agent in REVIEWERS.items()
+        }
+    )
 
 
 def reviews_long(df: DataFrame) -> DataFrame:
     """One row per claim and consulted reviewer."""
-    return df.select("claim_id", "priority", F.inline("reviews"))
+    return df.select("claim_id", "priority", F.inline(reviews()))
 
 
 def decide(df: DataFrame) -> DataFrame:
-    """ADJ-6: one verdict per claim from its reviews. Works inside the row, without a shuffle.
-
-    A review is one of at most four array elements, so the vote is plain arithmetic on them.
-    """
-    votes = [F.get("reviews", F.lit(i)) for i in range(4)]
+    """ADJ-6: one verdict per claim from its reviews. Works inside the row, without a shuffle."""
+    consulted = _urgent() | _medical()
+    votes = {name: F.col(f"{name}_verdict") for name in REVIEWERS}
+    votes["medical"] = F.when(consulted, votes["medical"])
 
     def added(values):
         total = values[0]
@@ -225,18 +242,20 @@ def decide(df: DataFrame) -> DataFrame:
             total = total + value
         return total
 
-    verdicts = F.col("reviews.recommendation")
+    def votes_for(verdict):
+        return added([flag(v == verdict) for v in votes.values()])
 
-    def votes_for(name):
-        return F.size(verdicts) - F.size(F.array_remove(verdicts, name))
+    def confidence(*names):
+        return added([F.when(votes[n] != "N/A", F.col(f"{n}_confidence")).otherwise(0.0) for n in names])
 
-    confidences = added([F.when(v["recommendation"] != "N/A", v["confidence"]).otherwise(0.0) for v in votes])
-    cast = F.size(F.array_remove(verdicts, "N/A"))
+    # Added in the order of consultation, which decides the last binary digit.
+    total = F.when(_urgent(), confidence("fraud", "legal", "medical", "financial")).otherwise(
+        confidence("fraud", "legal", "financial", "medical")
+    )
+    asked = added([flag(v != "N/A") for v in votes.values()])
     deny, investigations = F.col("deny_votes"), F.col("investigate_votes")
-    concerns = F.col("review_votes") + investigations
-    urgent = F.col("priority").isin(dims.URGENT_PRIORITIES)
-    denied_by = F.concat_ws(", ", *[F.when(v["recommendation"] == "DENY", v["agent"]) for v in votes])
     verdict = F.col("final_recommendation")
+    denied_by = F.concat_ws(", ", *[F.when(votes[n] == "DENY", F.lit(agent)) for n, agent in REVIEWERS.items()])
 
     def per_outcome(on_deny, on_investigate, on_review, on_approve):
         return (
@@ -256,14 +275,15 @@ def decide(df: DataFrame) -> DataFrame:
                 "investigate_votes": votes_for("INVESTIGATE"),
                 "review_votes": votes_for("REVIEW"),
                 "approve_votes": votes_for("APPROVE"),
-                "confidence": F.round(F.coalesce(F.try_divide(confidences, cast), F.lit(0.5)), 3),
+                "agent_count": F.size("reviewers"),
+                "confidence": F.round(F.coalesce(F.try_divide(total, asked), F.lit(0.5)), 3),
             }
         )
         .withColumn(
             "final_recommendation",
             F.when(deny > 0, "DENY")
-            .when((investigations >= 2) | ((investigations >= 1) & urgent), "INVESTIGATE")
-            .when(concerns > F.col("approve_votes"), "REVIEW")
+            .when((investigations >= 2) | ((investigations >= 1) & _urgent()), "INVESTIGATE")
+            .when(F.col("review_votes") + investigations > F.col("approve_votes"), "REVIEW")
             .otherwise("APPROVE"),
         )
         .withColumns(
@@ -291,8 +311,8 @@ def investigation_log(decisions: DataFrame, as_of) -> DataFrame:
         "final_recommendation",
         "confidence",
         "rationale",
-        F.size("reviews").alias("agent_count"),
-        F.array_join(F.col("reviews.agent"), ", ").alias("agents_consulted"),
+        "agent_count",
+        F.array_join(_in_order({name: F.lit(agent) for name, agent in REVIEWERS.items()}), ", ").alias("agents_consulted"),
         F.to_json(
             F.struct(
                 "claim_id",
@@ -302,7 +322,7 @@ def investigation_log(decisions: DataFrame, as_of) -> DataFrame:
                     "claimant_id", "policy_id", "claim_type", "claim_amount", "incident_date", "filing_date",
                     "description", "diagnosis_code", "procedure_code", "policy_limit", "status",
                 ).alias("claim_data"),
-                F.col("reviews").alias("agent_responses"),
+                reviews().alias("agent_responses"),
                 "final_recommendation",
                 "confidence",
                 "rationale",

@@ -81,70 +81,78 @@ def rule_risk(features: DataFrame) -> DataFrame:
 
 
 def policy_checks(df: DataFrame) -> DataFrame:
-    """The three policy checks on rows that already carry the policy terms."""
+    """The three policy checks on rows that already carry the policy terms.
+
+    Adds policy_found, policy_valid and, per check, a status and a message. The statuses are
+    NULL where there is no policy.
+    """
     incident, amount = F.col("incident_date"), F.col("claim_amount")
     start, end = F.col("policy_start_date"), F.col("policy_end_date")
     limit = F.when(F.col("policy_limit") != 0, F.col("policy_limit"))
     deductible = F.when(F.col("deductible") != 0, F.col("deductible"))
-
-    def verdict(name, status, message):
-        return F.struct(F.lit(name).alias("check"), F.lit(status).alias("status"), message.alias("message"))
-
-    period = (
-        F.when(start.isNull() | end.isNull(), verdict(CHECK_PERIOD, "WARN", F.lit("Policy dates not available for validation")))
-        .when(
-            (incident < start) | (incident > end),
-            verdict(
-                CHECK_PERIOD,
-                "FAIL",
-                F.concat(
-                    F.lit("Incident date "), incident.cast("string"), F.lit(" outside policy period "),
-                    start.cast("string"), F.lit(" to "), end.cast("string"),
-                ),
-            ),
-        )
-        .otherwise(verdict(CHECK_PERIOD, "PASS", F.lit("Policy was active")))
-    )
-    within = (
-        F.when(limit.isNull(), verdict(CHECK_LIMIT, "WARN", F.lit("Policy limit not available for validation")))
-        .when(
-            amount > limit,
-            verdict(CHECK_LIMIT, "WARN", F.concat(F.lit("Claim "), money(amount), F.lit(" exceeds limit "), money(limit))),
-        )
-        .otherwise(verdict(CHECK_LIMIT, "PASS", F.concat(F.lit("Claim within "), money(limit), F.lit(" limit"))))
-    )
-    meets = (
-        F.when(deductible.isNull(), verdict(CHECK_DEDUCTIBLE, "WARN", F.lit("Deductible not available for validation")))
-        .when(
-            amount < deductible,
-            verdict(
-                CHECK_DEDUCTIBLE, "WARN",
-                F.concat(F.lit("Claim "), money(amount), F.lit(" below "), money(deductible), F.lit(" deductible")),
-            ),
-        )
-        .otherwise(
-            verdict(CHECK_DEDUCTIBLE, "PASS", F.concat(F.lit("Exceeds "), money(deductible), F.lit(" deductible")))
-        )
-    )
     terms = ["insurance_provider", "policy_limit", "deductible", "premium_annual", "policy_start_date"]
     found = F.coalesce(*[F.col(c).cast("string") for c in terms]).isNotNull()
-    checks = F.when(F.col("policy_found"), F.array(period, within, meets)).otherwise(F.array().cast(
-        "array<struct<check:string,status:string,message:string>>"
-    ))
-    # Only the period check can fail.
-    passed = F.get("validations", F.lit(0))["status"] != "FAIL"
+
+    undated = start.isNull() | end.isNull()
+    outside = (incident < start) | (incident > end)
+    over, under = amount > limit, amount < deductible
     return (
         df.withColumn("policy_found", found)
-        .withColumn("validations", checks)
-        .withColumn("policy_valid", F.col("policy_found") & F.coalesce(passed, F.lit(False)))
+        .withColumns(
+            {
+                "period_status": F.when(
+                    F.col("policy_found"), F.when(undated, "WARN").when(outside, "FAIL").otherwise("PASS")
+                ),
+                "limit_status": F.when(
+                    F.col("policy_found"), F.when(limit.isNull() | over, "WARN").otherwise("PASS")
+                ),
+                "deductible_status": F.when(
+                    F.col("policy_found"), F.when(deductible.isNull() | under, "WARN").otherwise("PASS")
+                ),
+                "period_message": F.when(undated, "Policy dates not available for validation")
+                .when(
+                    outside,
+                    F.concat(
+                        F.lit("Incident date "), incident.cast("string"), F.lit(" outside policy period "),
+                        start.cast("string"), F.lit(" to "), end.cast("string"),
+                    ),
+                )
+                .otherwise("Policy was active"),
+                "limit_message": F.when(limit.isNull(), "Policy limit not available for validation")
+                .when(over, F.concat(F.lit("Claim "), money(amount), F.lit(" exceeds limit "), money(limit)))
+                .otherwise(F.concat(F.lit("Claim within "), money(limit), F.lit(" limit"))),
+                "deductible_message": F.when(deductible.isNull(), "Deductible not available for validation")
+                .when(
+                    under,
+                    F.concat(F.lit("Claim "), money(amount), F.lit(" below "), money(deductible), F.lit(" deductible")),
+                )
+                .otherwise(F.concat(F.lit("Exceeds "), money(deductible), F.lit(" deductible"))),
+            }
+        )
+        .withColumn("policy_valid", F.coalesce(F.col("period_status") != "FAIL", F.lit(False)))
     )
 
 
+CHECKS = {"period": CHECK_PERIOD, "limit": CHECK_LIMIT, "deductible": CHECK_DEDUCTIBLE}
+
+
+def validations():
+    """The checks of a row as an array; empty where there is no policy."""
+    checks = [
+        F.struct(
+            F.lit(label).alias("check"), F.col(f"{name}_status").alias("status"), F.col(f"{name}_message").alias("message")
+        )
+        for name, label in CHECKS.items()
+    ]
+    nothing = F.array().cast("array<struct<check:string,status:string,message:string>>")
+    return F.when(F.col("policy_found"), F.array(*checks)).otherwise(nothing)
+
+
 def verify_policy(claims: DataFrame, policies: DataFrame) -> DataFrame:
     """INV-3, J-9: policy terms and checks per claim; a claim without a policy has no checks."""
-    extra = policies.select("policy_id", "policy_type", F.col("status").alias("policy_status"))
-    joined = with_policy(claims, policies.drop("policy_type", "status"))
-    return policy_checks(joined.join(extra, "policy_id", "left")).select(
+    joined = with_policy(claims, policies, {"policy_type": "policy_type", "status": "policy_status"})
+    checked = policy_checks(joined)
+    return checked.select(
         "claim_id",
         "policy_id",
         "policy_found",
@@ -156,7 +164,8 @@ def verify_policy(claims: DataFrame, policies: DataFrame) -> DataFrame:
             "deductible",
             F.coalesce("policy_status", F.lit("N/A")).alias("status"),
         ).alias("policy_details"),
-        "validations",
+        validations().alias("validations"),
+        *[f"{name}_{part}" for name in CHECKS for part in ("status", "message")],
     )
 
 

@@ -50,14 +50,9 @@ def stratified_split(df: DataFrame, label: str, test_share: float = 0.2, unique:
 
     The rank is built from slices of the md5, so a label that holds most rows is not one task.
     """
-    ranked = ranking.with_rank(df, [label], None, unique, "_rank", slice_hex=4)
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
+    ranked = ranking.with_rank(df, [label], None, unique, "_rank", size="_size", slice_hex=4)
     test = F.col("_rank") <= F.floor(F.col("_size") * test_share)
-    return (
-        ranked.join(F.broadcast(sizes), label)  # one row per label
-        .withColumn("split", F.when(test, "test").otherwise("train"))
-        .drop("_rank", "_size")
-    )
+    return ranked.withColumn("split", F.when(test, "test").otherwise("train")).drop("_rank", "_size")
 
 
 def _assembled(df: DataFrame, columns: Iterable[str]) -> DataFrame:

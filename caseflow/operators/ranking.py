@@ -38,18 +38,28 @@ def rank_in_cell(unique: str) -> Column:
 
 
 def with_rank(
-    df: DataFrame, keys: list[str], order: str | None, unique: str, out: str, slice_hex: int = SLICE_HEX
+    df: DataFrame,
+    keys: list[str],
+    order: str | None,
+    unique: str,
+    out: str,
+    size: str | None = None,
+    slice_hex: int = SLICE_HEX,
 ) -> DataFrame:
-    """``row_number()`` per ``keys`` ordered by ``order``, then md5(``unique``)."""
+    """``row_number()`` per ``keys`` ordered by ``order``, then md5(``unique``).
+
+    ``size`` names an optional column with the number of rows of the key.
+    """
     work = df.withColumn("_cell", cell(keys, order, unique, slice_hex))
-    sizes = work.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"))
-    before = F.sum("_rows").over(
-        cell_window(keys, order is not None).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    sizes = sizes.select("_cell", F.coalesce(before, F.lit(0)).alias("_before"))
+    cells = work.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    ordered = cell_window(keys, order is not None)
+    before = F.sum("_rows").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    whole = F.sum("_rows").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    extra = [whole.alias(size)] if size else []
+    cells = cells.select("_cell", F.coalesce(before, F.lit(0)).alias("_before"), *extra)
     return (
         work.withColumn("_in_cell", rank_in_cell(unique))
-        .join(sizes, "_cell")
+        .join(cells, "_cell")
         .withColumn(out, F.col("_before") + F.col("_in_cell"))
         .drop("_cell", "_before", "_in_cell")
     )

@@ -48,8 +48,11 @@ def mask_pii(df: DataFrame, strict: bool = False) -> DataFrame:
     return masked.drop("first_name", "last_name", "date_of_birth") if strict else masked
 
 
-def with_policy(claims: DataFrame, policies: DataFrame) -> DataFrame:
-    """Claims with their policy terms; claims without a policy are kept."""
+def with_policy(claims: DataFrame, policies: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
+    """Claims with their policy terms; claims without a policy are kept.
+
+    ``extra`` asks for more policy columns under a new name each.
+    """
     terms = policies.select(
         "policy_id",
         F.col("provider").alias("insurance_provider"),
@@ -58,6 +61,7 @@ def with_policy(claims: DataFrame, policies: DataFrame) -> DataFrame:
         "premium_annual",
         F.col("start_date").alias("policy_start_date"),
         F.col("end_date").alias("policy_end_date"),
+        *[F.col(column).alias(name) for column, name in (extra or {}).items()],
     )
     metadata = [c for c in METADATA_COLUMNS if c in claims.columns]
     return claims.select(*CLAIM_COLUMNS, *metadata).join(terms, "policy_id", "left")
@@ -69,7 +73,7 @@ def _people(claimants: DataFrame) -> DataFrame:
 
 
 def _arrange(df: DataFrame) -> DataFrame:
-    front = [*CLAIM_COLUMNS, *POLICY_COLUMNS, *PERSON_COLUMNS]
+    front = [c for c in [*CLAIM_COLUMNS, *POLICY_COLUMNS, *PERSON_COLUMNS] if c in df.columns]
     return df.select(*front, *[c for c in df.columns if c not in front])
 
 
@@ -141,7 +145,7 @@ def _behaviour_cell():
     return ranking.cell(["claimant_id"], "filing_date", "claim_id")
 
 
-def _claimant_cells(claims: DataFrame, policies: DataFrame, claimants: DataFrame) -> DataFrame:
+def _claimant_cells(claims: DataFrame, policies: DataFrame, claimants: DataFrame | None) -> DataFrame:
     """One narrow row per cell: claimant attributes, claimant totals, claims in earlier cells.
 
     Reads the id, date, amount and label of the claims; only the provider count needs policies.
@@ -183,9 +187,10 @@ def _claimant_cells(claims: DataFrame, policies: DataFrame, claimants: DataFrame
         total(F.max("_largest")).alias("max_claim_amount"),
         total(F.sum("_frauds")).alias("prior_fraud_count"),
     )
-    return (
-        counted.join(providers, "claimant_id", "left").join(_people(claimants), "claimant_id", "left").drop("claimant_id")
-    )
+    described = counted.join(providers, "claimant_id", "left")
+    if claimants is not None:
+        described = described.join(_people(claimants), "claimant_id", "left")
+    return described.drop("claimant_id")
 
 
 def risk_flags(df: DataFrame) -> DataFrame:
@@ -260,9 +265,9 @@ def with_coordinates(df: DataFrame, claimant_state: str, claim_state: str | None
 
 
 def build(
-    claims: DataFrame, policies: DataFrame, claimants: DataFrame, weather: DataFrame | None = None
+    claims: DataFrame, policies: DataFrame, claimants: DataFrame | None = None, weather: DataFrame | None = None
 ) -> DataFrame:
-    """The whole silver table.
+    """The whole silver table; without ``claimants``, the same less their attributes.
 
     Equal to chaining the single steps, but claims move twice only: by policy, then by cell,
     where claimant attributes, totals and the rank offset arrive in one narrow table.

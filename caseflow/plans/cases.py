@@ -181,6 +181,14 @@ def _similar(v):
     return similarity.similar_fraud(vectors)
 
 
+def _review(kind):
+    return [
+        F.col(f"{kind}_verdict").alias("recommendation"),
+        F.col(f"{kind}_confidence").alias("confidence"),
+        F.col(f"{kind}_rationale").alias("rationale"),
+    ]
+
+
 SHOWN_SCORE = "printf('%.2f', fraud_risk_score)"
 PAIRS = """pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS claim_id, b.label,
 round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 10) AS score
@@ -203,9 +211,7 @@ def _(v):
     return plain(
         reviewed.select(
             "claim_id",
-            "fraud_review.recommendation",
-            "fraud_review.confidence",
-            "fraud_review.rationale",
+            *_review("fraud"),
             "similar_fraud_count",
             "total_similar_claims",
         )
@@ -227,7 +233,7 @@ def _(v):
     reviewed = adjudicate.review_legal(investigate.verify_policy(v.claims, v.policies))
     return plain(
         reviewed.select(
-            "claim_id", "policy_found", "legal_review.recommendation", "legal_review.confidence", "legal_review.rationale"
+            "claim_id", "policy_found", *_review("legal")
         )
     )
 
@@ -245,7 +251,7 @@ CASE WHEN medical_verdict='N/A' THEN 'Not a medical claim - no medical review re
 def _(v):
     reviewed = adjudicate.review_medical(investigate.medical_lookup(v.claims))
     return plain(
-        reviewed.select("claim_id", "medical_review.recommendation", "medical_review.confidence", "medical_review.rationale")
+        reviewed.select("claim_id", *_review("medical"))
     )
 
 
@@ -255,12 +261,11 @@ def _(v):
 {num(rounded('exposure', 4), 'exposure_ratio')}, {num(cents('claim_amount*1.1e0'), 'recommended_reserve')} FROM weighed""",
 )
 def _(v):
-    reviewed = adjudicate.review_financial(v.silver)
+    reviewed = adjudicate.review_financial(v.cases)
     return plain(
         reviewed.select(
             "claim_id",
-            "financial_review.recommendation",
-            "financial_review.confidence",
+            *_review("financial")[:2],
             "exposure_ratio",
             "recommended_reserve",
         )
@@ -287,7 +292,7 @@ def _(v):
     "adj5_reviews_long", f"WITH {VOTES} SELECT claim_id, agent, recommendation, {num('confidence')} FROM reviews"
 )
 def _(v):
-    reviews = adjudicate.reviews_long(adjudicate.reviewed(v.silver))
+    reviews = adjudicate.reviews_long(adjudicate.reviewed(v.cases))
     return plain(reviews.select("claim_id", "agent", "recommendation", "confidence"))
 
 
@@ -307,7 +312,7 @@ ELSE 'Process payment|Update claim status|Notify claimant of approval' END AS ne
 deny_votes, investigate_votes, review_votes, approve_votes FROM decisions""",
 )
 def _(v):
-    decided = adjudicate.decide(adjudicate.reviewed(v.silver))
+    decided = adjudicate.decide(adjudicate.reviewed(v.cases))
     return plain(
         decided.select(
             "claim_id",
@@ -334,7 +339,7 @@ ELSE 'Fraud Detection Agent, Legal Compliance Agent, Financial Analysis Agent' E
 {num('confidence')}, {RATIONALE}, agent_count, {AGENTS}, claim_type AS json_claim_type, legal_verdict AS json_legal_verdict FROM decisions""",
 )
 def _(v):
-    log = adjudicate.investigation_log(adjudicate.decide(adjudicate.reviewed(v.silver)), AS_OF)
+    log = adjudicate.investigation_log(adjudicate.decide(adjudicate.reviewed(v.cases)), AS_OF)
     text = F.col("investigation_json")
     return plain(
         log.withColumns(

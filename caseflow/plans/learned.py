@@ -147,7 +147,11 @@ def _test_predictions(v):
 @query("ml3_train_and_test")
 def _(v):
     predictions = model.cut_lineage(_test_predictions(v))
-    return plain(model.binary_metrics(predictions).join(model.ranking_metrics(predictions), how="cross"))
+    metrics = [
+        scores.unpivot([], scores.columns, "metric", "value")
+        for scores in (model.binary_metrics(predictions), model.ranking_metrics(predictions))
+    ]
+    return plain(metrics[0].unionByName(metrics[1]))
 
 
 @query("ml4_predictions")

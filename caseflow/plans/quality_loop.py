@@ -184,7 +184,7 @@ GROUP BY final_recommendation""",
 )
 def _(v):
     # Claims are taken as investigated on their filing day.
-    decided = adjudicate.decide(adjudicate.reviewed(v.silver))
+    decided = adjudicate.decide(adjudicate.reviewed(v.cases))
     log = decided.withColumn("investigation_timestamp", F.col("filing_date").cast("timestamp"))
     return plain(evaluate.monitor_investigations(log, MONITORED))
 
@@ -259,7 +259,7 @@ ORDER BY claim_amount DESC, claim_id LIMIT 10) SELECT claim_id, {num('claim_amou
 {num('claim_to_limit_ratio')}, has_prior_fraud FROM top""",
 )
 def _(v):
-    return plain(dashboards.high_risk(v.silver))
+    return plain(dashboards.high_risk(v.cases))
 
 
 @query(

@@ -341,7 +341,7 @@ def _(v):
 
 @query("j6_aggregate_join_back", HISTORY_SQL)
 def _(v):
-    return plain(v.silver.select("claim_id", "claimant_id", *HISTORY))
+    return plain(v.cases.select("claim_id", "claimant_id", *HISTORY))
 
 
 @query(
@@ -363,4 +363,4 @@ FROM claims LEFT JOIN policies ON claims.policy_id=policies.policy_id""",
 )
 def _(v):
     checked = investigate.verify_policy(v.claims, v.policies)
-    return checked.select("claim_id", "policy_id", F.get("validations", F.lit(0))["status"].alias("period_status"))
+    return checked.select("claim_id", "policy_id", "period_status")

@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Generated methods above this size are never compiled to machine code by the JVM; Spark
+    # then runs the operators of that stage one by one, which is much faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 # Can only be set when the session is created.
@@ -47,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a folder of its own machine.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
