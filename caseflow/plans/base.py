@@ -140,12 +140,12 @@ SELECT c.*, p.provider AS insurance_provider, p.policy_limit, p.deductible, p.pr
   regexp_extract(m.email, '@(.+)', 1) AS email_domain, m.address_state
 FROM claims c LEFT JOIN policies p ON c.policy_id = p.policy_id
 LEFT JOIN claimants m ON c.claimant_id = m.claimant_id), dated AS (
-SELECT *, date_diff('day', incident_date, filing_date) AS days_to_file,
-  date_diff('day', policy_start_date, incident_date) AS days_since_policy_start,
-  date_diff('day', incident_date, policy_end_date) AS days_until_policy_end,
-  year(incident_date) AS incident_year, month(incident_date) AS incident_month,
-  dayofweek(incident_date) + 1 AS incident_day_of_week,
-  year(filing_date) AS filing_year, month(filing_date) AS filing_month,
+SELECT *, CAST(date_diff('day', incident_date, filing_date) AS INT) AS days_to_file,
+  CAST(date_diff('day', policy_start_date, incident_date) AS INT) AS days_since_policy_start,
+  CAST(date_diff('day', incident_date, policy_end_date) AS INT) AS days_until_policy_end,
+  CAST(year(incident_date) AS INT) AS incident_year, CAST(month(incident_date) AS INT) AS incident_month,
+  CAST(dayofweek(incident_date) + 1 AS INT) AS incident_day_of_week,
+  CAST(year(filing_date) AS INT) AS filing_year, CAST(month(filing_date) AS INT) AS filing_month,
   CASE WHEN dayofweek(incident_date) IN (0, 6) THEN 1 ELSE 0 END AS is_weekend_incident
 FROM enriched)"""
 
@@ -170,8 +170,8 @@ SELECT d.*, h.total_claims_count, h.total_claimed_amount, h.avg_claim_amount, h.
   CASE WHEN h.total_claims_count > 3 THEN 1 ELSE 0 END AS frequent_claimant,
   CASE WHEN h.total_claimed_amount > 100000 THEN 1 ELSE 0 END AS high_value_claimant,
   CASE WHEN h.prior_fraud_count > 0 THEN 1 ELSE 0 END AS has_prior_fraud,
-  length(description) AS description_length,
-  len(string_split(description, ' ')) AS description_word_count,
+  CAST(length(description) AS INT) AS description_length,
+  CAST(len(string_split(description, ' ')) AS INT) AS description_word_count,
   CASE WHEN diagnosis_code IS NOT NULL THEN 1 ELSE 0 END AS has_medical_code
 FROM dated d JOIN history h ON d.claimant_id = h.claimant_id)"""
 

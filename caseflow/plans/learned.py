@@ -26,7 +26,7 @@ def top_sql(k: int) -> str:
     """The k best pairs per query out of ``asked`` times all vectors."""
     return f"""scored AS (SELECT a.vec_id AS query_id, b.vec_id AS claim_id,
 round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 10) AS similarity_score
-FROM asked a, embeddings b), topk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, claim_id) AS position
+FROM asked a, embeddings b), topk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, claim_id) AS INT) AS position
 FROM scored QUALIFY position <= {k})"""
 
 

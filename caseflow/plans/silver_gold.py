@@ -200,7 +200,7 @@ sum(claim_amount) AS lifetime_claimed, avg(claim_amount) AS avg_claim_size, max(
 count(*) FILTER (WHERE is_fraud) AS fraud_claims_count, min(incident_date) AS first_claim_date, max(incident_date) AS last_claim_date,
 count(DISTINCT insurance_provider) AS unique_providers, count(DISTINCT claim_type) AS unique_claim_types,
 avg(days_to_file) AS avg_filing_delay FROM dated GROUP BY ALL), rated AS (
-SELECT *, fraud_claims_count/lifetime_claims AS fraud_rate, date_diff('day', first_claim_date, last_claim_date) AS days_active
+SELECT *, fraud_claims_count/lifetime_claims AS fraud_rate, CAST(date_diff('day', first_claim_date, last_claim_date) AS INT) AS days_active
 FROM grouped), paced AS (SELECT *, lifetime_claims/(CASE WHEN days_active>0 THEN days_active/365 ELSE 1e0 END) AS claims_per_year FROM rated),
 profiles AS (SELECT *, CASE WHEN fraud_rate>0 THEN 'High Risk - Known Fraud' WHEN lifetime_claims>5 THEN 'High Risk - Frequent'
 WHEN claims_per_year>2 THEN 'Medium Risk - Active' ELSE 'Low Risk' END AS risk_tier FROM paced)"""
