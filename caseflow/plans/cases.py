@@ -18,7 +18,6 @@ from caseflow.plans.base import (
     day,
     instant,
     num,
-    nums,
     plain,
     query,
     rounded,
@@ -363,7 +362,7 @@ valid AS (SELECT r.*, c.status AS current_status FROM requests r JOIN claims c O
 WHERE new_status IN ('Pending','Under Investigation','Approved','Denied','Escalated','Closed'))"""
 
 
-def _requests(v):
+def requests(v):
     filed = F.col("filing_date").cast("timestamp")
     key = F.col("claim_id")
     status = F.col("status")
@@ -398,7 +397,7 @@ def _requests(v):
 SELECT claims.claim_id, coalesce(new_status, status) AS status FROM claims LEFT JOIN last ON claims.claim_id=last.claim_id""",
 )
 def _(v):
-    return audit.apply_status(v.claims, _requests(v))[0].select("claim_id", "status")
+    return audit.apply_status(v.claims, requests(v))[0].select("claim_id", "status")
 
 
 @query(
@@ -409,7 +408,7 @@ coalesce(lag(new_status) OVER (PARTITION BY claim_id ORDER BY requested_at), cur
 'review' AS reason, 'ai_agent' AS updated_by, {instant('requested_at', 'update_timestamp')} FROM valid""",
 )
 def _(v):
-    return plain(audit.apply_status(v.claims, _requests(v))[1])
+    return plain(audit.apply_status(v.claims, requests(v))[1])
 
 
 @query(
@@ -420,7 +419,7 @@ ELSE 'Claim ' || r.claim_id || ' not found' END AS message FROM requests r LEFT
 WHERE c.claim_id IS NULL OR new_status='Archived'""",
 )
 def _(v):
-    rejected = audit.apply_status(v.claims, _requests(v))[2]
+    rejected = audit.apply_status(v.claims, requests(v))[2]
     return rejected.select("request_id", "claim_id", "new_status", "message")
 
 

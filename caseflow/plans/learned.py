@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseflow.operators import evaluate, investigate, model, similarity
-from caseflow.plans.base import AS_OF, CLAIMS, RISK, instant, num, nums, plain, query
+from caseflow.plans.base import AS_OF, CLAIMS, RISK, instant, num, plain, query
 from caseflow.plans.cases import PAIRS
 from caseflow.plans.quality_loop import report_sql
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseflow.plans.base import CLAIMS, num, plain, query
+from caseflow.plans.base import num, plain, query
 from caseflow.plans.raw import MERGED, updates
 from caseflow.session import work_dir
 from caseflow.sources import store

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseflow.operators import adjudicate, audit, dashboards, evaluate, silver
+from caseflow.operators import adjudicate, audit, dashboards, evaluate
 from caseflow.plans.base import (
     AS_OF,
     CLAIMS,
@@ -21,7 +21,7 @@ from caseflow.plans.base import (
     query,
     rounded,
 )
-from caseflow.plans.cases import NOTES, TASKS, notes, tasks, REQUESTS, _requests
+from caseflow.plans.cases import NOTES, REQUESTS, TASKS, notes, requests, tasks
 from caseflow.session import work_dir
 from caseflow.sources import store
 
@@ -316,7 +316,7 @@ claim_id, new_status, {instant('requested_at', 'update_timestamp')} FROM valid)
 SELECT * FROM audit ORDER BY update_timestamp DESC, audit_id LIMIT 50""",
 )
 def _(v):
-    log = audit.apply_status(v.claims, _requests(v))[1]
+    log = audit.apply_status(v.claims, requests(v))[1]
     newest = dashboards.recent(log, "update_timestamp", 50, "audit_id")
     return plain(newest.select("audit_id", "claim_id", "new_status", "update_timestamp"))
 

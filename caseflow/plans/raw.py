@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseflow.operators import audit, bronze, dashboards, quality, ranking, silver
+from caseflow.operators import audit, bronze, evaluate, quality, ranking, silver
 from caseflow.plans.base import (
     AS_OF,
     CLAIMANTS,
@@ -18,7 +18,6 @@ from caseflow.plans.base import (
     day,
     instant,
     num,
-    nums,
     plain,
     query,
 )
@@ -166,8 +165,6 @@ def _(v):
 
 @query("snk6_create_if_absent", f"WITH {FEEDBACK} SELECT agent_recommendation, count(*) AS row_count FROM feedback GROUP BY ALL")
 def _(v):
-    from caseflow.operators import evaluate
-
     root = work_dir(v.spark, "snk6")
     store.ensure(v.spark, root, "feedback", dims.FEEDBACK_SCHEMA)
     rows = evaluate.normalise_feedback(v.feedback).withColumns(

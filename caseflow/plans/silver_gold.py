@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseflow.operators import gold, investigate, quality, silver, similarity
-from caseflow.plans.base import CLAIMS, ENRICHED, ICD, POLICIES, SILVER, WEATHER, CLAIMANTS, day, num, nums, plain, query
+from caseflow.operators import gold, investigate, quality, silver
+from caseflow.functions.features import weather_summary
+from caseflow.plans.base import CLAIMANTS, CLAIMS, ENRICHED, ICD, POLICIES, SILVER, WEATHER, day, num, nums, plain, query
 
 ENRICHED_SQL = f"""WITH {ENRICHED} SELECT claim_id, policy_id, claimant_id, claim_type, {day('incident_date')},
 {day('filing_date')}, {num('claim_amount')}, description, diagnosis_code, procedure_code, status, is_fraud,
@@ -121,8 +122,6 @@ WHEN weather_precipitation_in>0.5 THEN 'Rain' WHEN weather_wind_speed_mph>25 THE
 WHEN weather_wind_speed_mph>15 THEN 'Windy' ELSE 'Clear' END AS summary FROM latest""",
 )
 def _(v):
-    from caseflow.functions.features import weather_summary
-
     words = weather_summary(F.col("weather_precipitation_in"), F.col("weather_wind_speed_mph"))
     return silver.parse_weather(v.weather).select("claim_id", words.alias("summary"))
 

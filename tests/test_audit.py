@@ -1,7 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from builders import claims, column, policies
 from caseflow.operators import audit, bronze, quality
 
