@@ -11,12 +11,14 @@ Three ways, chosen by measured sizes, all with the same result:
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
@@ -27,6 +29,11 @@ from caseflow.functions import vectors as vec
 from caseflow.operators import ranking
 from caseflow.session import cut_lineage
 
+# Tasks get the helpers of these modules with their function, so that executors need no copy of
+# this package.
+for _module in (vec, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(_module)
+
 QUERY, STORED = 0, 1
 
 

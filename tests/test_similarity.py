@@ -1,5 +1,10 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from caseflow.operators import similarity
@@ -75,6 +80,23 @@ def test_empty_sides(spark):
     assert similarity.cosine_topk(queries, stored.limit(0), 3).isEmpty()
 
 
+def test_task_functions_need_no_package_on_the_executor(tmp_path):
+    """An executor that cannot import this package can still run the helpers."""
+    task = tmp_path / "task"
+    helpers, result = similarity.vec, similarity._result
+
+    def run():
+        rows = helpers.unit(np.eye(3), 0)
+        return result(np.arange(3), helpers.nearest(rows, rows, np.arange(3), 1)).num_rows
+
+    task.write_bytes(cloudpickle.dumps(run))
+    code = f"import pickle; assert pickle.load(open({str(task)!r}, 'rb'))() == 3"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    spark_path = os.path.dirname(os.path.dirname(cloudpickle.__file__)).removesuffix("/pyspark")
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**env, "PYTHONPATH": spark_path}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 def test_text_vectors_have_length_one(spark):
     df = spark.createDataFrame([(1, "slip and fall"), (2, None), (3, "water damage and fall")], "id int, text string")
     rows = {r.id: np.array(r.embedding) for r in similarity.text_vectors(df, "text", 64).collect()}
