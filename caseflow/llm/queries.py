@@ -8,7 +8,8 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import packing, simhash
+from caseflow.llm import mixing, packing, secrets, simhash
+from caseflow.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +46,45 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query(
+    "op6_source_mixing",
+    """
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST([3, 1, 2][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)] AS DOUBLE) AS weight
+  FROM sized GROUP BY source),
+ordered AS (
+  SELECT *, row_number() OVER w AS nth, 2.0 * source_size / weight AS ratio,
+    sum(2.0 * source_size) OVER w AS given, sum(weight) OVER () - sum(weight) OVER w AS open
+  FROM sources WINDOW w AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+steps AS (
+  SELECT nth, open, 1.5 * (SELECT sum(source_size) FROM sources) - given AS rest, lead(ratio) OVER (ORDER BY nth) AS following
+  FROM ordered
+  UNION ALL SELECT 0, (SELECT sum(weight) FROM sources), 1.5 * (SELECT sum(source_size) FROM sources), (SELECT min(ratio) FROM ordered)),
+level AS (SELECT rest / open AS height FROM steps WHERE open > 0 AND rest / open < following ORDER BY nth LIMIT 1),
+rated AS (
+  SELECT source, source_size, least(2.0 * source_size, coalesce((SELECT height FROM level), 0) * weight) AS target FROM sources),
+planned AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END AS rate,
+    CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u
+  FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source)
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
+  CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM planned""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    # Texts are counted once; the narrow rows are read again for the sums and for the plan.
+    sized = cut_lineage(mixing.with_sizes(docs).select("doc_id", "source", "size"))
+    planned = mixing.plan(sized)
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op7_secret_ownership")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(_table(spark, sf_dir, "documents")))
