@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import packing, queries, simhash
+from caseflow.llm import langid, mixing, packing, queries, secrets, simhash
 from caseflow.llm.common import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -15,18 +15,38 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL = None
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is certain; ``lang`` becomes the language found."""
+    model = langid.fit(docs.filter(langid.learned_from()))
+    found = langid.identify(docs, model).filter("not lang_rejected")
+    return found.withColumn("lang", found["lang_pred"]).select(*[f"`{c}`" for c in docs.columns])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.keep_one(docs)
 
 
+def secret_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; secrets that look live are replaced in their texts."""
+    return secrets.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of each source as often as its target weight asks."""
+    return mixing.mix(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences with their token ids."""
     return packing.pack(docs, queries.VOCABULARY)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language),
     ("simhash_dedup", near_duplicates),
+    ("secret_scan", secret_values),
+    ("source_mixing", mixed),
     ("packing", pack),
 ]
 
