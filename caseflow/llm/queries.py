@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import langid, mixing, packing, secrets, simhash
+from caseflow.llm import hmm, langid, mixing, packing, secrets, simhash
 from caseflow.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_secret_ownership")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
+@query("op9_hidden_markov")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents"))
