@@ -204,7 +204,7 @@ def _forest(keys: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) ->
     return keys[moved], keys[labels[moved]]
 
 
-def links(distinct: DataFrame, budget: int = 2, subtree: int = 50_000, subtrees: int = 4096) -> DataFrame:
+def links(distinct: DataFrame, budget: int = 2, subtree: int = 250_000, subtrees: int = 4096) -> DataFrame:
     """Links (a, b) between fingerprints (long column ``fp``, distinct) within ``budget`` bits.
 
     The links are a spanning forest per pair of subtrees, so they connect exactly what all pairs
