@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import hmm, langid, mixing, packing, secrets, simhash
+from caseflow.llm import hmm, langid, mixing, neardup, packing, secrets, simhash
 from caseflow.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_hidden_markov")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(_table(spark, sf_dir, "documents"))
+
+
+@query("op10_tiled_vectors")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return found.select("vec_id", "n_links", "component_id", "kept")
