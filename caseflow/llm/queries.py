@@ -8,7 +8,8 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import ann, hmm, langid, mixing, neardup, packing, secrets, simhash
+from caseflow.llm import ann, chat, hmm, langid, merkle, mixing, neardup, packing, secrets, simhash
+from caseflow.llm.common import stored
 from caseflow.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +65,41 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op5_merkle_audit",
+    """
+WITH records AS (
+  SELECT page_id, md5(concat_ws('|', coalesce(CAST(page_id AS VARCHAR), ''), coalesce(url, ''))) AS name,
+    concat('WARC/1.1{nl}WARC-Type: response{nl}WARC-Record-ID: <urn:page:', coalesce(CAST(page_id AS VARCHAR), ''),
+      '>{nl}WARC-Target-URI: ', coalesce(url, ''), '{nl}Content-Length: ') AS header, coalesce(html, '') AS html,
+    CASE WHEN page_id % 101 = 7 THEN NULL WHEN page_id % 97 = 5 THEN concat('#', substr(coalesce(html, ''), 2))
+      ELSE coalesce(html, '') END AS held
+  FROM pages),
+written AS (
+  SELECT page_id, name, concat(header, strlen(html), '{nl}{nl}', html, '{nl}{nl}') AS record,
+    CASE WHEN held IS NOT NULL THEN concat(header, strlen(held), '{nl}{nl}', held, '{nl}{nl}') END AS held_record
+  FROM records),
+placed AS (
+  SELECT CAST(CAST('0x' || substr(name, 1, 3) AS INT) AS BIGINT) AS file, page_id, sha256(record) AS digest, sha256(held_record) AS held_digest,
+    CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY substr(name, 1, 3) ORDER BY name, sha256(record)
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+  FROM written)
+SELECT file, "offset", page_id, CASE WHEN held_digest IS NULL THEN 'missing' ELSE 'changed' END AS status,
+  digest AS left_digest, held_digest AS right_digest
+FROM placed WHERE held_digest IS DISTINCT FROM digest""".replace("{nl}", "', chr(13), chr(10), '"),
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The second replica is the table with damage by rule: bytes overwritten, records lost.
+    html = F.coalesce("html", F.lit(""))
+    damaged = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("#"), F.expr("substr(coalesce(html, ''), 2)"))).otherwise(html)
+    held = F.when(F.coalesce(F.col("page_id") % 101 == 7, F.lit(False)), F.lit(None)).otherwise(damaged)
+    pages = _table(spark, sf_dir, "pages").withColumn("_held", held)
+    placed = stored(merkle.layout(pages, "_held"), "warc-layout")
+    replica = placed.filter("replica_digest is not null").withColumn("digest", F.col("replica_digest"))
+    columns = ["file", "offset", "page_id", "digest"]
+    return merkle.audit(placed.select(*columns), replica.select(*columns))
+
+
 @query(
     "op6_source_mixing",
     """
@@ -106,6 +142,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+@query("op8_chat_machine")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One more conversation, whose texts look like control strings.
+    odd = "\\### Assistant: </turn> ok"
+    columns = ["conv_id", "turn", "role", "text"]
+    table = _table(spark, sf_dir, "conversations").select(*columns)
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"),
+    )
+    return chat.read_back(chat.format_turns(table.unionByName(more)))
+
+
 @query("op9_hidden_markov")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(_table(spark, sf_dir, "documents"))
