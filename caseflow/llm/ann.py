@@ -111,17 +111,19 @@ def _best(rows: np.ndarray, nodes: np.ndarray, queries: np.ndarray, asked: np.nd
 
     ``wanted`` (query, row) says which rows it visits.
     """
+    # A group may hold leaves of several trees, and then a row more than once.
+    repeats = int(np.unique(nodes, return_counts=True)[1].max())
     lengths, asked_lengths = np.linalg.norm(rows, axis=1), np.linalg.norm(queries, axis=1)
     parts = []
     for at in range(0, len(queries), SCORED):
         part = slice(at, at + SCORED)
         cosine = (queries[part] @ rows.T) / (asked_lengths[part, None] * lengths[None, :])
         cosine[~wanted[part] | (asked[part, None] == nodes[None, :])] = -np.inf
-        keep = min(k, len(nodes))
+        keep = min(k * repeats, len(nodes))
         floor = -np.partition(-cosine, keep - 1, axis=1)[:, keep - 1]
         x, y = np.nonzero((cosine >= floor[:, None]) & np.isfinite(cosine))
         found = pd.DataFrame({"asked": asked[part][x], "node": nodes[y], "score": cosine[x, y]})
-        found = found.sort_values(["asked", "score", "node"], ascending=[True, False, True])
+        found = found.sort_values(["asked", "score", "node"], ascending=[True, False, True]).drop_duplicates(["asked", "node"])
         parts.append(found.groupby("asked", sort=False).head(k))
     return pd.concat(parts) if parts else pd.DataFrame({"asked": [], "node": [], "score": []})
 

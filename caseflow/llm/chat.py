@@ -53,8 +53,8 @@ class Template:
 
     def controls(self) -> list[str]:
         """Strings that must never come from a text: the beginning, the end, and every heading."""
-        heads = [f"{self.before}{label}{self.after}".strip() for _, label in self.labels]
-        return [*heads, self.before.strip(), self.after.strip(), self.end.strip()]
+        heads = [f"{self.before}{label}{self.after}" for _, label in self.labels]
+        return [*heads, self.before.strip(), self.after, self.end.strip()]
 
     def segments(self, role: str, text: str) -> list[tuple[str, bool]]:
         """(text, loss) of one turn."""
