@@ -47,16 +47,15 @@ def preview(text: Column, length: int = 100) -> Column:
     return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit("..."))).otherwise(text)
 
 
-def record_hash(columns: list[tuple[str, str]]) -> Column:
-    """md5 over (name, type) columns; NULL is marked, doubles are written with two decimals."""
+def record_hash(columns: list[str]) -> Column:
+    """md5 over the exact texts of columns. Each text goes behind its length, so that no value can
+    look like the border between two; NULL is a minus sign, which no length is."""
 
-    def text(name: str, kind: str) -> Column:
-        column = F.col(name)
-        if kind in ("double", "float"):
-            column = column.cast("decimal(18,2)")
-        return F.coalesce(column.cast("string"), F.lit("\u0001"))
+    def text(name: str) -> Column:
+        value = F.col(f"`{name}`").cast("string")
+        return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
 
-    return F.md5(F.concat_ws("||", *[text(n, k) for n, k in columns]))
+    return F.md5(F.concat_ws("|", *[text(n) for n in columns]))
 
 
 def md5_mod_1000(text: Column) -> Column:

@@ -18,12 +18,11 @@ def with_ingest_meta(df: DataFrame, source: str, as_of=None) -> DataFrame:
 
 
 def with_record_hash(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """BRZ-2: md5 of the business columns, so that a reload of the same row keeps its hash."""
+    """BRZ-2: md5 of the exact business columns, so that a reload of the same row keeps its hash."""
     if "_record_hash" in df.columns:
         return df
     chosen = cols or [c for c in df.columns if c not in METADATA]
-    kinds = dict(df.dtypes)
-    return df.withColumn("_record_hash", record_hash([(c, kinds[c]) for c in chosen]))
+    return df.withColumn("_record_hash", record_hash(chosen))
 
 
 def cdc_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

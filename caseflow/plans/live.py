@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseflow.plans.base import num, plain, query
-from caseflow.plans.raw import MERGED, updates
+from caseflow.plans.raw import MERGED, hash_sql, updates
 from caseflow.session import work_dir
 from caseflow.sources import store
 from caseflow.streaming import streams
@@ -21,7 +21,7 @@ def _collected(v, stream, purpose):
     return v.spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-EVENT_HASH = """md5(concat_ws('||', event_id, ts, user_id, event_type, CAST(value AS DECIMAL(18,2)), props))"""
+EVENT_HASH = hash_sql("event_id ts user_id event_type value props")
 
 
 @query(
@@ -72,8 +72,12 @@ def _(v):
 
 @query("str5_streaming_upsert", f"WITH {MERGED}")
 def _(v):
-    root = work_dir(v.spark, "str5")
-    store.save(v.claims, root, "claims", snapshot=0)
-    order = ["ts", "event_id"]
-    streams.upsert_stream(updates(_events(v)), root, "claims", f"{root}/checkpoint", order)
+    root, order = work_dir(v.spark, "str5"), ["ts", "event_id"]
+    # Two saves before the stream starts, a run, a compaction, and a second stream over the same files.
+    store.save(v.claims.limit(0), root, "claims")
+    store.save(v.claims, root, "claims")
+    streams.upsert_stream(updates(_events(v)), root, "claims", f"{root}/first", order)
+    streams.compact(v.spark, root, "claims", order)
+    streams.upsert_stream(updates(_events(v)), root, "claims", f"{root}/first", order)
+    streams.upsert_stream(updates(_events(v)), root, "claims", f"{root}/second", order)
     return streams.upserted(v.spark, root, "claims", order).select("claim_id", "status")

@@ -192,15 +192,12 @@ def _(v):
     return plain(twice.select("claim_id", "_ingestion_timestamp", "_source_system"))
 
 
-def _hash(columns: str) -> str:
-    parts = [
-        f"coalesce(CAST({'CAST(claim_amount AS DECIMAL(18,2))' if c == 'claim_amount' else c} AS VARCHAR), chr(1))"
-        for c in columns.split()
-    ]
-    return f"md5(concat_ws('||', {', '.join(parts)}))"
+def hash_sql(columns: str) -> str:
+    parts = [f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns.split()]
+    return f"md5(concat_ws('|', {', '.join(parts)}))"
 
 
-CLAIM_HASH = _hash(
+CLAIM_HASH = hash_sql(
     "claim_id policy_id claimant_id claim_type incident_date filing_date claim_amount description "
     "diagnosis_code procedure_code status is_fraud"
 )

@@ -6,6 +6,8 @@ position and state in the checkpoint folder, and stops.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,14 @@ from caseflow.operators import audit, bronze, ranking
 from caseflow.sources import store
 
 
-def read_files(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet") -> DataFrame:
-    """Stream of new parquet files in a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def read_files(
+    spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None
+) -> DataFrame:
+    """Stream of new parquet files in a folder; ``files_per_batch`` cuts a large backlog into batches."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
 
 
 def run_to_files(df: DataFrame, target: str, checkpoint: str) -> None:
@@ -80,21 +87,28 @@ def rolling_monitor(df: DataFrame, ts: str, value: str, error, delay: str) -> Da
     )
 
 
-def _changes(root: str, table: str) -> str:
-    return f"{root}/{table}_changes"
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identity that Spark gave the stream of this checkpoint folder."""
+    lines = [row[0] for row in spark.read.text(f"{checkpoint}/metadata").collect()]  # one short file
+    return json.loads("".join(lines))["id"]
 
 
-def upsert_stream(updates: DataFrame, root: str, table: str, checkpoint: str, order: list[str]) -> None:
+def upsert_stream(
+    updates: DataFrame, root: str, table: str, checkpoint: str, order: list[str]
+) -> None:
     """STR-5: collect status changes next to a stored table.
 
-    A micro-batch writes only its own changes, the last one per claim, into the folder of its
-    number, so a repeated batch replaces itself and the table is not rewritten. ``upserted``
-    reads table and changes together, ``compact`` folds them into a new snapshot.
+    A micro-batch writes only its own changes, the last one per claim by ``order``, into the folder
+    of its stream and number, so a repeated batch replaces itself, a new checkpoint begins a
+    folder of its own, and the table is not rewritten. ``upserted`` reads table and changes
+    together, ``compact`` folds them into a new snapshot.
     """
+    spark = updates.sparkSession
 
     def keep(batch: DataFrame, number: int) -> None:
+        stream = _stream_id(spark, checkpoint)
         last = ranking.latest_by(batch, "claim_id", order)
-        last.write.mode("overwrite").parquet(f"{_changes(root, table)}/batch={number}")
+        last.write.mode("overwrite").parquet(f"{store.changes_path(root, table)}/stream={stream}/batch={number}")
 
     (
         updates.writeStream.foreachBatch(keep)
@@ -105,17 +119,43 @@ def upsert_stream(updates: DataFrame, root: str, table: str, checkpoint: str, or
     )
 
 
-def upserted(spark: SparkSession, root: str, table: str, order: list[str]) -> DataFrame:
-    """The table with all changes. Snapshot n already holds the batches before n."""
+def _pending(spark: SparkSession, root: str, table: str) -> dict[str, list[int]]:
+    """Finished batches by stream that the live snapshot does not count yet."""
+    live = store.snapshots(spark, root, table)
+    counted = store.positions(spark, root, table, live[-1]) if live else {}
+    found = store.change_batches(spark, root, table)
+    return {stream: [n for n in batches if n > counted.get(stream, -1)] for stream, batches in found.items()}
+
+
+def _with_changes(spark: SparkSession, root: str, table: str, order: list[str], pending: dict[str, list[int]]) -> DataFrame:
     base = store.load(spark, root, table)
-    if not store.exists(spark, _changes(root, table)):
+    folder = store.changes_path(root, table)
+    paths = [f"{folder}/stream={s}/batch={n}" for s, batches in pending.items() for n in batches]
+    if not paths:
         return base
-    newest = max(store.snapshots(spark, root, table), default=0)
-    changes = spark.read.parquet(_changes(root, table)).filter(F.col("batch") >= newest)
-    return audit.merge_status(base, changes, ["batch", *order])
+    changes = spark.read.option("basePath", folder).parquet(*paths)
+    return audit.merge_status(base, changes, order)
+
+
+def upserted(spark: SparkSession, root: str, table: str, order: list[str]) -> DataFrame:
+    """The table with all changes its live snapshot does not count yet; the last by ``order`` wins.
+
+    ``order`` belongs to the changes, whichever stream or batch brought them. What a snapshot
+    counts has no order any more: a change that comes after it wins.
+    """
+    return _with_changes(spark, root, table, order, _pending(spark, root, table))
 
 
 def compact(spark: SparkSession, root: str, table: str, order: list[str]) -> int:
-    """Fold the changes into a new snapshot of the table."""
-    last = spark.read.parquet(_changes(root, table)).agg(F.max("batch")).first()[0]
-    return store.save(upserted(spark, root, table, order), root, table, snapshot=last + 1)
+    """Fold the changes into a new snapshot of the table; returns its number.
+
+    The claim of the snapshot names the batches it holds before anything is written, so changes that
+    arrive meanwhile stay pending, and a run that fails leaves table and changes as they were.
+    """
+    live = store.snapshots(spark, root, table)
+    pending = _pending(spark, root, table)
+    if live and not any(pending.values()):
+        return live[-1]
+    counted = store.positions(spark, root, table, live[-1]) if live else {}
+    counted |= {stream: max(batches) for stream, batches in pending.items() if batches}
+    return store.save(_with_changes(spark, root, table, order, pending), root, table, counted=counted)

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from caseflow.operators import dashboards
+from caseflow.operators import bronze, dashboards
 from caseflow.sources import dims, store
 from caseflow.streaming import streams
 
@@ -122,3 +122,105 @@ def test_upsert_collects_changes_and_compacts(spark, root):
     assert {r.claim_id: r.status for r in store.load(spark, root, "claims").collect()} == {1: "second", 2: "new"}
     _land(spark, f"{root}/in", (2, 5, "third", 0.0))
     assert run() == {1: "second", 2: "third"}
+
+
+CLAIM = "claim_id long, status string"
+
+
+def _statuses(df):
+    return {r.claim_id: r.status for r in df.collect()}
+
+
+def _stream(spark, root, checkpoint="cp"):
+    streams.upsert_stream(streams.read_files(spark, f"{root}/in", SCHEMA), root, "claims", f"{root}/{checkpoint}", ["ts"])
+    return _statuses(streams.upserted(spark, root, "claims", ["ts"]))
+
+
+def test_append_to_a_saved_table(spark, root):
+    store.save(spark.range(3), root, "t")
+    store.append(spark.range(3, 5), root, "t")
+    assert sorted(r.id for r in store.load(spark, root, "t").collect()) == [0, 1, 2, 3, 4]
+    store.save(spark.range(1), root, "t")
+    assert store.load(spark, root, "t").count() == 1
+
+
+def test_a_number_is_never_used_twice(spark, root):
+    store.save(spark.range(1), root, "t")
+    spark.range(9).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{root}/t/snapshot=1")
+    assert store._claim(spark, root, "t", {}) == 2
+    assert store.save(spark.range(2), root, "t") == 3
+    assert store.load(spark, root, "t").count() == 2
+
+
+def test_changes_after_several_saves(spark, root):
+    for status in ("old", "newer"):
+        store.save(spark.createDataFrame([(1, status), (2, status)], CLAIM), root, "claims")
+    _land(spark, f"{root}/in", (1, 1, "changed", 0.0))
+    assert _stream(spark, root) == {1: "changed", 2: "newer"}
+
+
+def test_a_save_replaces_streamed_changes(spark, root):
+    store.save(spark.createDataFrame([(1, "old"), (2, "old")], CLAIM), root, "claims")
+    for at in (1, 2, 3):
+        _land(spark, f"{root}/in", (1, at, f"change {at}", 0.0))
+        _stream(spark, root)
+    store.save(spark.createDataFrame([(1, "replaced"), (2, "replaced")], CLAIM), root, "claims")
+    assert _statuses(streams.upserted(spark, root, "claims", ["ts"])) == {1: "replaced", 2: "replaced"}
+    _land(spark, f"{root}/in", (2, 4, "after", 0.0))
+    assert _stream(spark, root) == {1: "replaced", 2: "after"}
+
+
+def test_compact_in_any_order_and_pruning(spark, root):
+    store.save(spark.createDataFrame([(1, "old"), (2, "old")], CLAIM), root, "claims")
+    store.save(spark.createDataFrame([(1, "old"), (2, "old")], CLAIM), root, "claims")
+    assert streams.compact(spark, root, "claims", ["ts"]) == 1
+    _land(spark, f"{root}/in", (1, 1, "first", 0.0))
+    _stream(spark, root)
+    assert streams.compact(spark, root, "claims", ["ts"]) == 2
+    assert streams.compact(spark, root, "claims", ["ts"]) == 2
+    store.save(store.load(spark, root, "claims"), root, "claims")
+    _land(spark, f"{root}/in", (2, 2, "second", 0.0))
+    assert _stream(spark, root) == {1: "first", 2: "second"}
+    streams.compact(spark, root, "claims", ["ts"])
+    store.prune(spark, root, "claims", keep=1)
+    assert len(store.snapshots(spark, root, "claims")) == 1
+    assert not any(store.change_batches(spark, root, "claims").values())
+    assert _statuses(streams.upserted(spark, root, "claims", ["ts"])) == {1: "first", 2: "second"}
+
+
+def test_a_new_checkpoint_keeps_earlier_changes(spark, root):
+    store.save(spark.createDataFrame([(1, "old"), (2, "old")], CLAIM), root, "claims")
+    _land(spark, f"{root}/in", (1, 5, "late", 0.0))
+    _stream(spark, root, "one")
+    _land(spark, f"{root}/in", (2, 1, "other", 0.0))
+    assert _stream(spark, root, "two") == {1: "late", 2: "other"}
+    assert len(store.change_batches(spark, root, "claims")) == 2
+
+
+def test_a_failed_compaction_leaves_the_table(spark, root):
+    store.save(spark.createDataFrame([(1, "old")], CLAIM), root, "claims")
+    _land(spark, f"{root}/in", (1, 1, "changed", 0.0))
+    _stream(spark, root)
+    # What a compaction leaves that dies while it writes: a claim, and files without _SUCCESS.
+    number = store._claim(spark, root, "claims", {s: max(b) for s, b in store.change_batches(spark, root, "claims").items()})
+    spark.createDataFrame([(1, "half")], CLAIM).write.option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false"
+    ).parquet(f"{root}/claims/snapshot={number}")
+    assert _statuses(store.load(spark, root, "claims")) == {1: "old"}
+    assert _statuses(streams.upserted(spark, root, "claims", ["ts"])) == {1: "changed"}
+    assert streams.compact(spark, root, "claims", ["ts"]) == number + 1
+    assert _statuses(store.load(spark, root, "claims")) == {1: "changed"}
+
+
+def test_record_hash_sees_every_change(spark):
+    def diff(old, new):
+        schema = "id int, x double, a string, b string"
+        frames = [spark.createDataFrame([(1, *r)], schema) for r in (old, new)]
+        return bronze.cdc_diff(*frames, "id").first()["change_type"]
+
+    assert diff((0.1234, "a", "b"), (0.1244, "a", "b")) == "update"
+    assert diff((10.0, "a", "b"), (10.004, "a", "b")) == "update"
+    assert diff((1e17, "a", "b"), (1e17, "a", "b")) == "unchanged"
+    assert diff((1.0, "a|b", "c"), (1.0, "a", "b|c")) == "update"
+    assert diff((1.0, "a||b", "c"), (1.0, "a", "b||c")) == "update"
+    assert diff((1.0, "-", "c"), (1.0, None, "c")) == "update" and diff((1.0, "", "c"), (1.0, None, "c")) == "update"
