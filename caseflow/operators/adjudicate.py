@@ -36,6 +36,11 @@ APPROVE_ACTIONS = ["Process payment", "Update claim status", "Notify claimant of
 REVIEWERS = {"fraud": FRAUD, "legal": LEGAL, "medical": MEDICAL, "financial": FINANCIAL}
 
 
+def _medical() -> Column:
+    """Claims that need a medical review; a claim without a type does not."""
+    return F.coalesce(F.col("claim_type").isin(dims.MEDICAL_TYPES), F.lit(False))
+
+
 def _judge(df: DataFrame, kind: str, branches: list[tuple], otherwise: tuple) -> DataFrame:
     """Columns ``kind``_verdict, _confidence and _rationale from the first branch that holds.
 
@@ -55,6 +60,9 @@ def _judge(df: DataFrame, kind: str, branches: list[tuple], otherwise: tuple) ->
     return df.withColumns({f"{kind}_{name}": chosen(i) for i, name in enumerate(parts, start=1)})
 
 
+# The rationale texts inside the four reviews are fixed values.
+
+
 def review_fraud(df: DataFrame, similar: DataFrame | None = None) -> DataFrame:
     """ADJ-1: needs INV-2's columns. ``similar`` (claim_id, similar_fraud_count, ...) is reported, not judged."""
     score = F.col("fraud_risk_score")
@@ -114,7 +122,7 @@ def review_medical(df: DataFrame) -> DataFrame:
         "medical",
         [
             (
-                ~F.col("claim_type").isin(dims.MEDICAL_TYPES), "N/A", 1.0,
+                ~_medical(), "N/A", 1.0,
                 "Not a medical claim - no medical review required.",
             ),
             (high.isNull(), "REVIEW", 0.5, "Medical codes not in database - manual review recommended."),
@@ -168,7 +176,12 @@ def review_financial(df: DataFrame) -> DataFrame:
         ("APPROVE", 0.85, "Financial metrics within acceptable parameters."),
     )
     return judged.withColumns(
-        {"exposure_ratio": rounded(exposure, 4), "recommended_reserve": cents(amount * 1.1)}
+        {
+            "exposure_ratio": rounded(exposure, 4),
+            "recommended_reserve": cents(amount * 1.1),
+            "claimant_total_claimed": total,
+            "claimant_avg_claim": average,
+        }
     ).drop("_exposure", "_total", "_average")
 
 
@@ -180,11 +193,7 @@ def route(df: DataFrame, priority: Column | str = "normal") -> DataFrame:
 
 
 def _urgent() -> Column:
-    return F.col("priority").isin(dims.URGENT_PRIORITIES)
-
-
-def _medical() -> Column:
-    return F.col("claim_type").isin(dims.MEDICAL_TYPES)
+    return F.coalesce(F.col("priority").isin(dims.URGENT_PRIORITIES), F.lit(False))
 
 
 def _in_order(by_name: dict[str, Column]) -> Column:
@@ -210,8 +219,60 @@ def reviewed(df: DataFrame, priority: Column | str = "normal", similar: DataFram
     return route(judged, priority)
 
 
-def reviews() -> Column:
-    """The consulted reviews of a row as an array."""
+def _analyses(columns: list[str]) -> dict[str, dict[str, Column]]:
+    """What each reviewer looked at, by reviewer and name."""
+    fraud, total = F.col("prior_fraud_count"), F.col("total_claims_count")
+    history = F.struct(
+        total.alias("total_claims"),
+        F.col("claimant_total_claimed").alias("total_claimed"),
+        F.col("claimant_avg_claim").alias("average_claim"),
+        fraud.alias("fraud_count"),
+        investigate.risk_pattern(fraud, total).alias("risk_pattern"),
+    )
+    parts = {
+        kind: F.struct(*[F.col(f"{kind}_{part}").alias(part) for part in names])
+        for kind, names in {
+            "diagnosis": ("code", "description", "category", "severity", "note"),
+            "procedure": ("code", "description", "cost_min", "cost_max", "cost_avg", "note"),
+        }.items()
+    }
+    similar = {c: F.col(c) for c in ("similar_fraud_count", "total_similar_claims") if c in columns}
+    return {
+        "fraud": {
+            "fraud_risk_score": F.col("fraud_risk_score"), "risk_level": F.col("risk_level"),
+            "risk_factors": F.col("risk_factors"), **similar, "claimant_history": history,
+        },
+        "legal": {
+            "policy_valid": F.col("policy_valid"), "validations": investigate.validations(),
+            "failed_checks": F.col("failed_checks"), "warning_checks": F.col("warning_checks"),
+        },
+        "medical": {**parts, "claim_amount": F.col("claim_amount")},
+        "financial": {
+            "claim_amount": F.col("claim_amount"), "policy_limit": F.col("policy_limit"),
+            "claim_to_limit_ratio": F.col("exposure_ratio"),
+            "claimant_total_claimed": F.col("claimant_total_claimed"),
+            "claimant_avg_claim": F.col("claimant_avg_claim"),
+            "recommended_reserve": F.col("recommended_reserve"),
+        },
+    }
+
+
+def reviews(analyses_of: list[str] | None = None) -> Column:
+    """The consulted reviews of a row as an array; with the row's columns, their analyses too.
+
+    All analyses have the same fields, so that they fit one array; those of other reviewers are
+    NULL, which JSON leaves out.
+    """
+    analyses = _analyses(analyses_of) if analyses_of else {}
+    fields = {field: column for own in analyses.values() for field, column in own.items()}
+
+    def analysis(name: str) -> list[Column]:
+        if not analyses:
+            return []
+        own = analyses[name]
+        values = [(own[f] if f in own else F.when(F.lit(False), c)).alias(f) for f, c in fields.items()]
+        return [F.struct(*values).alias("analysis")]
+
     return _in_order(
         {
             name: F.struct(
@@ -219,6 +280,7 @@ def reviews() -> Column:
                 F.col(f"{name}_verdict").alias("recommendation"),
                 F.col(f"{name}_confidence").alias("confidence"),
                 F.col(f"{name}_rationale").alias("rationale"),
+                *analysis(name),
             )
             for name, agent in REVIEWERS.items()
         }
@@ -245,13 +307,10 @@ def decide(df: DataFrame) -> DataFrame:
     def votes_for(verdict):
         return added([flag(v == verdict) for v in votes.values()])
 
-    def confidence(*names):
-        return added([F.when(votes[n] != "N/A", F.col(f"{n}_confidence")).otherwise(0.0) for n in names])
-
-    # Added in the order of consultation, which decides the last binary digit.
-    total = F.when(_urgent(), confidence("fraud", "legal", "medical", "financial")).otherwise(
-        confidence("fraud", "legal", "financial", "medical")
-    )
+    # Added in the order of consultation, which decides the last binary digit. Over an array, because the
+    # optimizer takes sums for equal whatever their order.
+    shares = {n: F.when(votes[n] != "N/A", F.col(f"{n}_confidence")).otherwise(0.0) for n in REVIEWERS}
+    total = F.aggregate(_in_order(shares), F.lit(0.0), lambda sum_, share: sum_ + share)
     asked = added([flag(v != "N/A") for v in votes.values()])
     deny, investigations = F.col("deny_votes"), F.col("investigate_votes")
     verdict = F.col("final_recommendation")
@@ -303,7 +362,7 @@ def decide(df: DataFrame) -> DataFrame:
 
 
 def investigation_log(decisions: DataFrame, as_of) -> DataFrame:
-    """ADJ-7: one log row per decided claim, ready for ``store.append``."""
+    """ADJ-7: one log row per decided claim, ready for ``store.append``, with every reviewer's analysis."""
     return decisions.withColumn("investigation_timestamp", F.lit(as_of).cast("timestamp")).select(
         "claim_id",
         "investigation_timestamp",
@@ -322,7 +381,7 @@ def investigation_log(decisions: DataFrame, as_of) -> DataFrame:
                     "claimant_id", "policy_id", "claim_type", "claim_amount", "incident_date", "filing_date",
                     "description", "diagnosis_code", "procedure_code", "policy_limit", "status",
                 ).alias("claim_data"),
-                reviews().alias("agent_responses"),
+                reviews(decisions.columns).alias("agent_responses"),
                 "final_recommendation",
                 "confidence",
                 "rationale",

@@ -9,20 +9,22 @@ from caseflow.functions.features import preview
 from caseflow.sources import dims
 
 
-def merge_status(claims: DataFrame, updates: DataFrame, order: list[str] | None = None, as_of=None) -> DataFrame:
+def merge_status(
+    claims: DataFrame, updates: DataFrame, order: list[str] | None = None, as_of=None, at: str | None = None
+) -> DataFrame:
     """SNK-5: set ``status`` on matching claims; the last update per claim by ``order`` wins.
 
-    With ``as_of`` the touched claims also get ``updated_at``.
+    The touched claims also get ``updated_at``: ``as_of``, or the value of the update's column ``at``.
     """
     rank = F.struct(*[F.col(c) for c in [*(order or []), "status"]])
-    last = updates.groupBy("claim_id").agg(F.max_by("status", rank).alias("_status"))
-    merged = claims.join(last, "claim_id", "left").withColumn("status", F.coalesce("_status", "status"))
-    if as_of is not None:
+    when = F.col(at) if at else F.lit(as_of).cast("timestamp")
+    last = updates.groupBy("claim_id").agg(F.max_by(F.struct("status", when.alias("at")), rank).alias("_last"))
+    merged = claims.join(last, "claim_id", "left").withColumn("status", F.coalesce("_last.status", "status"))
+    if at is not None or as_of is not None:
         kept = F.col("updated_at") if "updated_at" in claims.columns else F.lit(None).cast("timestamp")
-        merged = merged.withColumn(
-            "updated_at", F.when(F.col("_status").isNotNull(), F.lit(as_of).cast("timestamp")).otherwise(kept)
-        )
-    return merged.drop("_status")
+        touched = F.col("_last.status").isNotNull()
+        merged = merged.withColumn("updated_at", F.when(touched, F.col("_last.at")).otherwise(kept))
+    return merged.drop("_last")
 
 
 def _previous_status(accepted: DataFrame) -> DataFrame:
@@ -45,10 +47,15 @@ def _previous_status(accepted: DataFrame) -> DataFrame:
     )
 
 
+# The messages, id prefixes and default author below are fixed values.
+
+
 def apply_status(claims: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """WRT-1: (claims with new status, audit rows, rejected requests).
 
-    ``requests`` has request_id, claim_id, new_status, reason, updated_by, requested_at.
+    ``requests`` has request_id, claim_id, new_status, reason, updated_by, requested_at. The time of the
+    last applied request becomes ``updated_at``. A request without a time has no place in the order
+    of changes and is rejected, so that no change goes without its audit row.
     """
     current = claims.select("claim_id", F.col("status").alias("current_status"), F.lit(True).alias("_exists"))
     allowed = F.col("new_status").isin(dims.CLAIM_STATUSES)
@@ -57,7 +64,9 @@ def apply_status(claims: DataFrame, requests: DataFrame) -> tuple[DataFrame, Dat
         F.when(
             ~F.coalesce(allowed, F.lit(False)),
             F.lit(f"Invalid status. Must be one of: {', '.join(dims.CLAIM_STATUSES)}"),
-        ).when(F.col("_exists").isNull(), F.concat(F.lit("Claim "), F.col("claim_id").cast("string"), F.lit(" not found"))),
+        )
+        .when(F.col("_exists").isNull(), F.concat(F.lit("Claim "), F.coalesce(F.col("claim_id").cast("string"), F.lit("NULL")), F.lit(" not found")))
+        .when(F.col("requested_at").isNull(), F.lit("Request without a time")),
     )
     accepted = checked.filter(F.col("message").isNull())
     rejected = checked.filter(F.col("message").isNotNull()).select(*requests.columns, "message")
@@ -74,7 +83,7 @@ def apply_status(claims: DataFrame, requests: DataFrame) -> tuple[DataFrame, Dat
         F.col("requested_at").alias("update_timestamp"),
     )
     updates = accepted.select("claim_id", F.col("new_status").alias("status"), "requested_at", "request_id")
-    return merge_status(claims, updates, ["requested_at", "request_id"]), audit, rejected
+    return merge_status(claims, updates, ["requested_at", "request_id"], at="requested_at"), audit, rejected
 
 
 def _stable_id(prefix: str, parts: list[str]):

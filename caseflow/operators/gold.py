@@ -18,7 +18,12 @@ def _month(column: str):
     return F.date_trunc("month", column).cast("date")
 
 
-def claims_summary(df: DataFrame) -> DataFrame:
+def _stamp(as_of):
+    """Load time; now unless given."""
+    return F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
+
+
+def claims_summary(df: DataFrame, as_of=None) -> DataFrame:
     """GLD-1: by type, provider, state and incident month."""
     n, denied = F.col("total_claims"), F.col("denied_count")
     return (
@@ -39,12 +44,13 @@ def claims_summary(df: DataFrame) -> DataFrame:
                 "fraud_rate_pct": F.col("fraud_count") / n * 100,
                 "approval_rate_pct": (n - denied) / n * 100,
                 "avg_approved_amount": F.col("approved_amount") / F.greatest(n - denied, F.lit(1)),
+                "created_at": _stamp(as_of),
             }
         )
     )
 
 
-def fraud_alerts(features: DataFrame, silver: DataFrame | None = None) -> DataFrame:
+def fraud_alerts(features: DataFrame, silver: DataFrame | None = None, as_of=None) -> DataFrame:
     """GLD-2: claims worth a look, with a composite score and priority.
 
     ``features`` may already carry the descriptive columns (the silver table does); give
@@ -81,14 +87,20 @@ def fraud_alerts(features: DataFrame, silver: DataFrame | None = None) -> DataFr
         "rapid_filing",
         "has_prior_fraud",
         "total_claims_count",
+        _stamp(as_of).alias("alert_timestamp"),
     )
 
 
-def claimant_profiles(df: DataFrame) -> DataFrame:
-    """GLD-3: lifetime behaviour and risk tier per claimant."""
+def claimant_profiles(df: DataFrame, claimants: DataFrame | None = None, as_of=None) -> DataFrame:
+    """GLD-3: lifetime behaviour and risk tier per claimant.
+
+    With ``claimants`` (claimant_id, full_name, address_state) the name and state are joined to the
+    finished profiles, one row per claimant; without, they come from the claims.
+    """
     n, days = F.col("lifetime_claims"), F.col("days_active")
-    return (
-        df.groupBy("claimant_id", "full_name", "address_state")
+    attributes = ["full_name", "address_state"]
+    profiles = (
+        df.groupBy("claimant_id", *([] if claimants is not None else attributes))
         .agg(
             F.count(F.lit(1)).alias("lifetime_claims"),
             F.sum("claim_amount").alias("lifetime_claimed"),
@@ -97,8 +109,9 @@ def claimant_profiles(df: DataFrame) -> DataFrame:
             count_where(FRAUD).alias("fraud_claims_count"),
             F.min("incident_date").alias("first_claim_date"),
             F.max("incident_date").alias("last_claim_date"),
-            F.countDistinct("insurance_provider").alias("unique_providers"),
-            F.countDistinct("claim_type").alias("unique_claim_types"),
+            # Few different values each: sets cost less than expanding every claim.
+            F.size(F.collect_set("insurance_provider")).cast("long").alias("unique_providers"),
+            F.size(F.collect_set("claim_type")).cast("long").alias("unique_claim_types"),
             F.avg("days_to_file").alias("avg_filing_delay"),
         )
         .withColumn("fraud_rate", F.col("fraud_claims_count") / n)
@@ -111,10 +124,15 @@ def claimant_profiles(df: DataFrame) -> DataFrame:
             .when(F.col("claims_per_year") > 2, "Medium Risk - Active")
             .otherwise("Low Risk"),
         )
+        .withColumn("profile_updated_at", _stamp(as_of))
     )
+    if claimants is None:
+        return profiles
+    named = profiles.join(claimants.select("claimant_id", *attributes), "claimant_id", "left")
+    return named.select("claimant_id", *attributes, *[c for c in profiles.columns if c != "claimant_id"])
 
 
-def provider_metrics(df: DataFrame) -> DataFrame:
+def provider_metrics(df: DataFrame, as_of=None) -> DataFrame:
     """GLD-4: exposure, losses and rates per provider and quarter."""
     n = F.col("total_claims")
     return (
@@ -136,12 +154,13 @@ def provider_metrics(df: DataFrame) -> DataFrame:
                 "fraud_loss_ratio": ratio(F.col("fraud_losses"), F.col("total_exposure")),
                 "approval_rate_pct": F.col("approved_count") / n * 100,
                 "claims_per_claimant": ratio(n, F.col("unique_claimants")),
+                "metrics_date": _stamp(as_of),
             }
         )
     )
 
 
-def weekly_series(df: DataFrame) -> DataFrame:
+def weekly_series(df: DataFrame, as_of=None) -> DataFrame:
     """GLD-5: weekly counts per type with averages over the last four rows.
 
     The window runs over the aggregate, one row per week and type.
@@ -161,6 +180,7 @@ def weekly_series(df: DataFrame) -> DataFrame:
                 "claims_4week_avg": F.avg("claims_count").over(recent),
                 "amount_4week_avg": F.avg("total_amount").over(recent),
                 "fraud_rate_pct": F.col("fraud_count") / F.col("claims_count") * 100,
+                "created_at": _stamp(as_of),
             }
         )
     )

@@ -81,7 +81,8 @@ def rule_risk(features: DataFrame) -> DataFrame:
 
 
 def policy_checks(df: DataFrame) -> DataFrame:
-    """The three policy checks on rows that already carry the policy terms.
+    """The three policy checks on rows that already carry the policy terms, and ``policy_found``
+    if the join marked it.
 
     Adds policy_found, policy_valid and, per check, a status and a message. The statuses are
     NULL where there is no policy.
@@ -90,8 +91,11 @@ def policy_checks(df: DataFrame) -> DataFrame:
     start, end = F.col("policy_start_date"), F.col("policy_end_date")
     limit = F.when(F.col("policy_limit") != 0, F.col("policy_limit"))
     deductible = F.when(F.col("deductible") != 0, F.col("deductible"))
-    terms = ["insurance_provider", "policy_limit", "deductible", "premium_annual", "policy_start_date"]
-    found = F.coalesce(*[F.col(c).cast("string") for c in terms]).isNotNull()
+    if "policy_found" in df.columns:
+        found = F.coalesce("policy_found", F.lit(False))
+    else:  # a table from elsewhere: any term tells of a policy
+        terms = ["insurance_provider", "policy_limit", "deductible", "premium_annual", "policy_start_date"]
+        found = F.coalesce(*[F.col(c).cast("string") for c in terms]).isNotNull()
 
     undated = start.isNull() | end.isNull()
     outside = (incident < start) | (incident > end)
@@ -150,7 +154,7 @@ def validations():
 
 def verify_policy(claims: DataFrame, policies: DataFrame) -> DataFrame:
     """INV-3, J-9: policy terms and checks per claim; a claim without a policy has no checks."""
-    joined = with_policy(claims, policies, {"policy_type": "policy_type", "status": "policy_status"})
+    joined = with_policy(claims, policies, {"policy_type": "policy_type", "status": "policy_status"}, marked=True)
     checked = policy_checks(joined)
     return checked.select(
         "claim_id",
@@ -196,9 +200,20 @@ def medical_lookup(claims: DataFrame) -> DataFrame:
     return looked_up.withColumns(unknown)
 
 
+def risk_pattern(fraud, total):
+    """Words for a claimant's history. Fixed values."""
+    return (
+        F.when(fraud > 0, "High - Prior fraud detected").when(total > 5, "Medium - Frequent claimant").otherwise("Low - Normal history")
+    )
+
+
 def payment_history(claims: DataFrame, n: int = 5) -> DataFrame:
-    """INV-5: totals, risk pattern and the ``n`` latest claims per claimant."""
-    fraud, total = F.col("fraud_count"), F.col("total_claims")
+    """INV-5: totals, risk pattern and the ``n`` latest claims per claimant; claims without a claimant
+    are one history.
+
+    Both sides are cut down before their shuffle, to one row and to ``n`` rows per claimant and task,
+    so that a claimant with very many claims is no load; their join moves these few rows only.
+    """
     totals = claims.groupBy("claimant_id").agg(
         F.count(F.lit(1)).alias("total_claims"),
         cents(F.sum("claim_amount")).alias("total_claimed"),
@@ -219,12 +234,9 @@ def payment_history(claims: DataFrame, n: int = 5) -> DataFrame:
             )
         ).alias("recent_claims")
     )
-    return totals.withColumn(
-        "risk_pattern",
-        F.when(fraud > 0, "High - Prior fraud detected")
-        .when(total > 5, "Medium - Frequent claimant")
-        .otherwise("Low - Normal history"),
-    ).join(recent, "claimant_id", "left")
+    described = totals.withColumn("risk_pattern", risk_pattern(F.col("fraud_count"), F.col("total_claims")))
+    recent = recent.withColumnRenamed("claimant_id", "_of")
+    return described.join(recent, F.col("claimant_id").eqNullSafe(F.col("_of")), "left").drop("_of")
 
 
 def keyword_search(

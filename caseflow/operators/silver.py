@@ -48,10 +48,12 @@ def mask_pii(df: DataFrame, strict: bool = False) -> DataFrame:
     return masked.drop("first_name", "last_name", "date_of_birth") if strict else masked
 
 
-def with_policy(claims: DataFrame, policies: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
+def with_policy(
+    claims: DataFrame, policies: DataFrame, extra: dict[str, str] | None = None, marked: bool = False
+) -> DataFrame:
     """Claims with their policy terms; claims without a policy are kept.
 
-    ``extra`` asks for more policy columns under a new name each.
+    ``extra`` asks for more policy columns under a new name each, ``marked`` for ``policy_found``.
     """
     terms = policies.select(
         "policy_id",
@@ -62,9 +64,11 @@ def with_policy(claims: DataFrame, policies: DataFrame, extra: dict[str, str] |
         F.col("start_date").alias("policy_start_date"),
         F.col("end_date").alias("policy_end_date"),
         *[F.col(column).alias(name) for column, name in (extra or {}).items()],
+        *([F.lit(True).alias("policy_found")] if marked else []),
     )
     metadata = [c for c in METADATA_COLUMNS if c in claims.columns]
-    return claims.select(*CLAIM_COLUMNS, *metadata).join(terms, "policy_id", "left")
+    joined = claims.select(*CLAIM_COLUMNS, *metadata).join(terms, "policy_id", "left")
+    return joined.withColumn("policy_found", F.coalesce("policy_found", F.lit(False))) if marked else joined
 
 
 def _people(claimants: DataFrame) -> DataFrame:
@@ -118,79 +122,130 @@ def financial_features(df: DataFrame) -> DataFrame:
     )
 
 
-def claim_sequence(df: DataFrame) -> DataFrame:
-    """SLV-5: position of each claim in its claimant's filing order."""
-    ranked = ranking.with_rank(df, ["claimant_id"], "filing_date", "claim_id", "claim_sequence_num")
-    return ranked.withColumn("is_first_claim", flag(F.col("claim_sequence_num") == 1))
+# Claims of one claimant from which on they are not handled by one task.
+HOT_CLAIMS = 100_000
+
+
+def hot_claimants(claims: DataFrame, most: int = HOT_CLAIMS) -> DataFrame:
+    """Claimants (``_hot_id``, NULL included) with more than ``most`` claims: fewer than one row per
+    ``most`` claims, usually none, so they may be broadcast."""
+    counted = claims.groupBy("claimant_id").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > most)
+    return counted.select(F.col("claimant_id").alias("_hot_id"))
+
+
+def _split(df: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(claims of ordinary claimants, claims of hot ones)."""
+    hot = F.broadcast(hot_claimants(df) if hot is None else hot)
+    same = F.col("claimant_id").eqNullSafe(F.col("_hot_id"))
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+
+
+def _number(df: DataFrame) -> DataFrame:
+    ordered = Window.partitionBy("claimant_id").orderBy("filing_date", ranking.tie_break("claim_id"), "claim_id")
+    return df.withColumn("claim_sequence_num", F.row_number().over(ordered))
+
+
+def _number_sliced(df: DataFrame) -> DataFrame:
+    return ranking.with_rank(df, ["claimant_id"], "filing_date", "claim_id", "claim_sequence_num")
+
+
+def _first(df: DataFrame) -> DataFrame:
+    return df.withColumn("is_first_claim", flag(F.col("claim_sequence_num") == 1))
+
+
+def claim_sequence(df: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """SLV-5: position of each claim in its claimant's filing order.
+
+    Ordinary claimants are ranked by one window; the claims of hot ones are ranked in slices.
+    """
+    ordinary, sliced = _split(df, hot)
+    numbered = _number_sliced(sliced).withColumn("claim_sequence_num", F.col("claim_sequence_num").cast("int"))
+    return _first(_number(ordinary).unionByName(numbered))
+
+
+def _totals(over=None) -> dict:
+    """Aggregates of a claimant's claims, as such or over a window."""
+
+    def made(column):
+        return column if over is None else F.when(F.col("claimant_id").isNotNull(), column.over(over))
+
+    amount = F.col("claim_amount")
+    return {
+        "total_claims_count": made(F.count(F.lit(1))),
+        "total_claimed_amount": made(F.sum(amount)),
+        "avg_claim_amount": made(F.avg(amount)),
+        "max_claim_amount": made(F.max(amount)),
+        "prior_fraud_count": made(count_where(F.col("is_fraud"))),
+        "_providers": made(F.collect_set("insurance_provider")),
+    }
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    known = F.col("_providers").isNotNull()
+    return df.withColumn("provider_count", F.when(known, F.size("_providers").cast("long"))).drop("_providers")
 
 
 def claimant_totals(df: DataFrame) -> DataFrame:
-    """Per-claimant totals over all claims of the claimant."""
-    return df.groupBy("claimant_id").agg(
-        F.count(F.lit(1)).alias("total_claims_count"),
-        F.sum("claim_amount").alias("total_claimed_amount"),
-        F.avg("claim_amount").alias("avg_claim_amount"),
-        F.max("claim_amount").alias("max_claim_amount"),
-        count_where(F.col("is_fraud")).alias("prior_fraud_count"),
-        F.countDistinct("insurance_provider").alias("provider_count"),
-    )
+    """Per-claimant totals over all claims of the claimant, combined before the shuffle."""
+    return _counted(df.groupBy("claimant_id").agg(*[c.alias(n) for n, c in _totals().items()]))
 
 
-def claimant_history(df: DataFrame) -> DataFrame:
-    """SLV-6: the claimant's totals on every claim."""
-    return df.join(claimant_totals(df), "claimant_id", "left")
+def _total(df: DataFrame) -> DataFrame:
+    return _counted(df.withColumns(_totals(Window.partitionBy("claimant_id"))))
 
 
-def _behaviour_cell():
-    return ranking.cell(["claimant_id"], "filing_date", "claim_id")
+def _total_sliced(df: DataFrame) -> DataFrame:
+    # One row per hot claimant; a NULL claimant finds none.
+    return df.join(F.broadcast(claimant_totals(df)), "claimant_id", "left")
 
 
-def _claimant_cells(claims: DataFrame, policies: DataFrame, claimants: DataFrame | None) -> DataFrame:
-    """One narrow row per cell: claimant attributes, claimant totals, claims in earlier cells.
+def claimant_history(df: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """SLV-6: the claimant's totals on every claim, later claims and the claim itself included.
 
-    Reads the id, date, amount and label of the claims; only the provider count needs policies.
+    Ordinary claimants get them in one window, without a join; hot ones from a broadcast table of
+    one row each, so their claims stay where they are. ``hot`` spares counting ``df`` again.
     """
-    cells = (
-        claims.withColumn("_cell", _behaviour_cell())
-        .groupBy("_cell")
+    ordinary, sliced = _split(df, hot)
+    return _total(ordinary).unionByName(_total_sliced(sliced))
+
+
+def history_before(df: DataFrame) -> DataFrame:
+    """SLV-6, point in time: the claimant's totals over claims filed on earlier days only.
+
+    What a model may know when a claim is filed: neither its own label nor later ones. Claims are added
+    up per claimant and day first, so a claimant of any size is as many rows as days. Without
+    claimant or filing date there is no history: NULL. No earlier claim: counts and sum are 0.
+    """
+    daily = (
+        df.filter(F.col("claimant_id").isNotNull() & F.col("filing_date").isNotNull())
+        .groupBy(F.col("claimant_id").alias("_who"), F.col("filing_date").alias("_day"))
         .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.sum("claim_amount").alias("_amount"),
+            F.count(F.lit(1)).alias("_n"),
+            F.sum("claim_amount").alias("_sum"),
             F.count("claim_amount").alias("_amounts"),
-            F.max("claim_amount").alias("_largest"),
+            F.max("claim_amount").alias("_max"),
             count_where(F.col("is_fraud")).alias("_frauds"),
+            F.collect_set("insurance_provider").alias("_set"),
         )
-        .withColumn("claimant_id", F.col("_cell.k0"))
     )
-    whole = Window.partitionBy("claimant_id")
-    earlier = whole.orderBy("_cell.at", "_cell.slice").rowsBetween(Window.unboundedPreceding, -1)
-    known = F.col("claimant_id").isNotNull()
-
-    def total(column):
-        return F.when(known, column.over(whole))
-
-    providers = (
-        claims.select("claimant_id", "policy_id")
-        .join(policies.select("policy_id", F.col("provider").alias("insurance_provider")), "policy_id", "left")
-        .groupBy("claimant_id", "insurance_provider")
-        .agg(F.lit(1).alias("_seen"))
-        .groupBy("claimant_id")
-        .agg(F.count("insurance_provider").alias("provider_count"))
+    earlier = Window.partitionBy("_who").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+
+    def added(column):
+        return F.coalesce(F.sum(column).over(earlier), F.lit(0))
+
+    seen = F.array_distinct(F.flatten(F.collect_list("_set").over(earlier)))
+    before = daily.select(
+        "_who",
+        "_day",
+        added("_n").alias("total_claims_count"),
+        added("_sum").cast("double").alias("total_claimed_amount"),
+        ratio(F.sum("_sum").over(earlier), F.sum("_amounts").over(earlier)).alias("avg_claim_amount"),
+        F.max("_max").over(earlier).alias("max_claim_amount"),
+        added("_frauds").alias("prior_fraud_count"),
+        F.size(seen).cast("long").alias("provider_count"),
     )
-    counted = cells.select(
-        "_cell",
-        "claimant_id",
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
-        total(F.sum("_rows")).alias("total_claims_count"),
-        total(F.sum("_amount")).alias("total_claimed_amount"),
-        ratio(total(F.sum("_amount")), total(F.sum("_amounts"))).alias("avg_claim_amount"),
-        total(F.max("_largest")).alias("max_claim_amount"),
-        total(F.sum("_frauds")).alias("prior_fraud_count"),
-    )
-    described = counted.join(providers, "claimant_id", "left")
-    if claimants is not None:
-        described = described.join(_people(claimants), "claimant_id", "left")
-    return described.drop("claimant_id")
+    same = (F.col("claimant_id") == F.col("_who")) & (F.col("filing_date") == F.col("_day"))
+    return df.join(before, same, "left").drop("_who", "_day")
 
 
 def risk_flags(df: DataFrame) -> DataFrame:
@@ -265,22 +320,34 @@ def with_coordinates(df: DataFrame, claimant_state: str, claim_state: str | None
 
 
 def build(
-    claims: DataFrame, policies: DataFrame, claimants: DataFrame | None = None, weather: DataFrame | None = None
+    claims: DataFrame,
+    policies: DataFrame,
+    claimants: DataFrame | None = None,
+    weather: DataFrame | None = None,
+    point_in_time: bool = False,
+    hot: int = HOT_CLAIMS,
 ) -> DataFrame:
     """The whole silver table; without ``claimants``, the same less their attributes.
 
-    Equal to chaining the single steps, but claims move twice only: by policy, then by cell,
-    where claimant attributes, totals and the rank offset arrive in one narrow table.
+    Equal to chaining the single steps, but the claims are read twice only, for the count per
+    claimant and for the rows, and move twice: by policy, then by claimant, where sequence, totals
+    and attributes share one distribution. Claimants with more than ``hot`` claims go another
+    way, which no ordinary data takes. ``point_in_time`` takes the totals of earlier days only.
     """
-    base = with_policy(claims, policies).withColumn("_cell", _behaviour_cell())
-    joined = (
-        base.withColumn("_in_cell", ranking.rank_in_cell("claim_id"))
-        .join(_claimant_cells(claims, policies, claimants), "_cell", "left")
-        .withColumn("claim_sequence_num", F.col("_before") + F.col("_in_cell"))
-        .withColumn("is_first_claim", flag(F.col("claim_sequence_num") == 1))
-        .drop("_cell", "_before", "_in_cell")
-    )
-    featured = text_features(risk_flags(financial_features(temporal_features(joined))))
+    ordinary, sliced = _split(claims, hot_claimants(claims, hot))
+    whole, parts = _number(with_policy(ordinary, policies, marked=True)), with_policy(sliced, policies, marked=True)
+    numbered = _number_sliced(parts).withColumn("claim_sequence_num", F.col("claim_sequence_num").cast("int"))
+    if point_in_time:
+        joined = history_before(whole.unionByName(numbered))
+        if claimants is not None:
+            joined = joined.join(_people(claimants), "claimant_id", "left")
+    else:
+        whole, numbered = _total(whole), _total_sliced(numbered)
+        if claimants is not None:
+            whole = whole.join(_people(claimants), "claimant_id", "left")
+            numbered = numbered.join(_people(claimants), "claimant_id", "left")
+        joined = whole.unionByName(numbered)
+    featured = text_features(risk_flags(financial_features(temporal_features(_first(joined)))))
     return _arrange(with_weather(featured, weather))
 
 

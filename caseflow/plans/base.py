@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseflow.functions import features
 from caseflow.sources.fixtures import Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,16 +30,17 @@ def query(name: str, sql: str | None = None):
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Columns as every engine prints them: doubles with four decimals, dates as text.
+    """Columns as every engine prints them: dates as text, doubles rounded.
 
-    Doubles are moved by 1.234567e-8 first, so that an exact half does not depend on the order in
-    which it was summed.
+    Doubles keep six decimals, from 1,000 on four: sums of many amounts differ beyond that with the
+    order in which they were added. Halves are decided in decimals, see ``features.rounded``.
     """
     columns = []
     for field in df.schema.fields:
         column, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
         if kind in ("double", "float"):
-            column = F.round(column.cast("double") + 1.234567e-8, 4)
+            value = column.cast("double")
+            column = F.when(F.abs(value) < 1000, features.rounded(value, 6)).otherwise(features.rounded(value, 4))
         elif kind == "date":
             column = column.cast("string")
         elif kind.startswith("timestamp"):
@@ -48,7 +50,8 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def num(expression: str, name: str | None = None) -> str:
-    return f"round(CAST({expression} AS DOUBLE) + 1.234567e-8, 4) AS {name or expression}"
+    value = f"CAST({expression} AS DOUBLE)"
+    return f"CASE WHEN abs({value}) < 1000 THEN {rounded(value, 6)} ELSE {rounded(value, 4)} END AS {name or expression}"
 
 
 def nums(names: str) -> str:
@@ -184,6 +187,7 @@ SELECT *, round(least(1e0, CASE WHEN rapid_filing=1 THEN 0.15e0 ELSE 0e0 END
   + CASE WHEN days_to_file>60 THEN 0.1e0 ELSE 0e0 END), 3) AS fraud_risk_score
 FROM silver)"""
 
+# The two code tables.
 ICD = """icd(code, description, category, severity) AS (VALUES
 ('S06.9','Head injury, unspecified','Traumatic injury','High'), ('S83.5','Sprain of knee','Soft tissue injury','Medium'),
 ('M54.5','Low back pain','Musculoskeletal','Low'), ('S52.5','Fracture of lower end of radius','Fracture','High'),
@@ -198,9 +202,10 @@ CPT = """cpt(code, description, cost_min, cost_max) AS (VALUES
 ('97140','Manual therapy techniques',60e0,180e0), ('29125','Application of short arm splint',100e0,300e0),
 ('27447','Total knee arthroplasty',15000e0,40000e0), ('73562','Radiologic examination, knee',100e0,300e0))"""
 
-# Verdict and confidence of the four reviewers, and the vote at normal priority.
-VOTES = f"""{RISK}, {CPT}, checked AS (
-SELECT r.*, cpt.cost_min, cpt.cost_max,
+def votes_sql(urgent: str) -> str:
+    """Verdict and confidence of the four reviewers, and the vote; ``urgent`` says which claims are."""
+    return f"""{RISK}, {CPT}, checked AS (
+SELECT r.*, cpt.cost_min, cpt.cost_max, {urgent} AS urgent,
   insurance_provider IS NOT NULL AS policy_found,
   CASE WHEN incident_date < policy_start_date OR incident_date > policy_end_date THEN 'FAIL' ELSE 'PASS' END AS period_status,
   CASE WHEN coalesce(policy_limit,0)=0 OR claim_amount > policy_limit THEN 'WARN' ELSE 'PASS' END AS limit_status,
@@ -227,7 +232,7 @@ SELECT claim_id, 'Fraud Detection Agent' AS agent, fraud_verdict AS recommendati
 UNION ALL SELECT claim_id, 'Legal Compliance Agent', legal_verdict, legal_confidence FROM weighed
 UNION ALL SELECT claim_id, 'Financial Analysis Agent', financial_verdict, financial_confidence FROM weighed
 UNION ALL SELECT claim_id, 'Medical Review Agent', medical_verdict, medical_confidence FROM weighed
-  WHERE claim_type IN ('Health','Workers Comp')), votes AS (
+  WHERE urgent OR claim_type IN ('Health','Workers Comp')), votes AS (
 SELECT claim_id, CAST(count(*) AS INT) AS agent_count,
   CAST(count(*) FILTER (WHERE recommendation='DENY') AS INT) AS deny_votes,
   CAST(count(*) FILTER (WHERE recommendation='INVESTIGATE') AS INT) AS investigate_votes,
@@ -236,8 +241,14 @@ SELECT claim_id, CAST(count(*) AS INT) AS agent_count,
 FROM reviews GROUP BY claim_id), decisions AS (
 SELECT w.*, agent_count, deny_votes, investigate_votes, review_votes, approve_votes,
   CASE WHEN claim_type IN ('Health','Workers Comp')
-       THEN round((fraud_confidence+legal_confidence+financial_confidence+medical_confidence)/4, 3)
-       ELSE round((fraud_confidence+legal_confidence+financial_confidence)/3, 3) END AS confidence,
-  CASE WHEN deny_votes>0 THEN 'DENY' WHEN investigate_votes>=2 THEN 'INVESTIGATE'
+       THEN CAST(round(CAST(CAST(CASE WHEN urgent THEN fraud_confidence+legal_confidence+medical_confidence+financial_confidence
+         ELSE fraud_confidence+legal_confidence+financial_confidence+medical_confidence END/4 AS VARCHAR) AS DECIMAL(20,18)), 3) AS DOUBLE)
+       ELSE CAST(round(CAST(CAST((fraud_confidence+legal_confidence+financial_confidence)/3 AS VARCHAR) AS DECIMAL(20,18)), 3) AS DOUBLE) END AS confidence,
+  CASE WHEN deny_votes>0 THEN 'DENY' WHEN investigate_votes>=2 OR (urgent AND investigate_votes>=1) THEN 'INVESTIGATE'
        WHEN review_votes+investigate_votes>approve_votes THEN 'REVIEW' ELSE 'APPROVE' END AS final_recommendation
 FROM weighed w JOIN votes v ON w.claim_id = v.claim_id)"""
+
+
+VOTES = votes_sql("false")
+# Claims under investigation are critical, all others normal.
+MIXED_VOTES = votes_sql("status='Under Investigation'")

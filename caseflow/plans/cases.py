@@ -13,6 +13,7 @@ from caseflow.plans.base import (
     ICD,
     POLICIES,
     RISK,
+    MIXED_VOTES,
     VOTES,
     cents,
     day,
@@ -254,21 +255,20 @@ def _(v):
     )
 
 
+FINANCIAL_TEXT = f"""CASE WHEN exposure>0.9 THEN 'Claim represents ' || format('{{:.1f}}', exposure*100) || '% of policy limit - high financial exposure'
+WHEN financial_verdict='REVIEW' THEN 'Claim ' || {_money('claim_amount')} || ' is 3x claimant''s average ' || {_money('average_claim')}
+WHEN financial_verdict='INVESTIGATE' THEN 'Claimant''s lifetime claims ' || {_money('total_claimed')} || ' exceed 2x policy limit'
+ELSE 'Financial metrics within acceptable parameters.' END"""
+
+
 @query(
     "adj4_financial_review",
-    f"""WITH {VOTES} SELECT claim_id, financial_verdict AS recommendation, {num('financial_confidence', 'confidence')},
+    f"""WITH {VOTES} SELECT claim_id, financial_verdict AS recommendation, {num('financial_confidence', 'confidence')}, {FINANCIAL_TEXT} AS rationale,
 {num(rounded('exposure', 4), 'exposure_ratio')}, {num(cents('claim_amount*1.1e0'), 'recommended_reserve')} FROM weighed""",
 )
 def _(v):
     reviewed = adjudicate.review_financial(v.cases)
-    return plain(
-        reviewed.select(
-            "claim_id",
-            *_review("financial")[:2],
-            "exposure_ratio",
-            "recommended_reserve",
-        )
-    )
+    return plain(reviewed.select("claim_id", *_review("financial"), "exposure_ratio", "recommended_reserve"))
 
 
 def _priority(column="status"):
@@ -287,12 +287,38 @@ def _(v):
     return routed.select("claim_id", "priority", F.explode("reviewers").alias("reviewer"))
 
 
-@query(
-    "adj5_reviews_long", f"WITH {VOTES} SELECT claim_id, agent, recommendation, {num('confidence')} FROM reviews"
-)
+# The reviews' texts: each reviewer's own query checks every case of its rationale.
+MEDICAL_TEXT = f"""CASE WHEN medical_verdict='N/A' THEN 'Not a medical claim - no medical review required.'
+ WHEN cost_max IS NULL THEN 'Medical codes not in database - manual review recommended.'
+ WHEN medical_verdict='INVESTIGATE' THEN 'Claim amount ' || {_money('claim_amount')} || ' significantly exceeds typical range '
+  || {_money('cost_min')} || '-' || {_money('cost_max')}
+ WHEN medical_verdict='REVIEW' THEN 'Claim amount unusually low for procedure ' || procedure_code
+ ELSE 'Medical codes valid and claim amount within expected range.' END"""
+LONG = f"""SELECT r.claim_id, CASE WHEN urgent THEN 'critical' ELSE 'normal' END AS priority, agent, recommendation, {num('r.confidence', 'confidence')},
+CASE agent WHEN 'Financial Analysis Agent' THEN {FINANCIAL_TEXT} WHEN 'Medical Review Agent' THEN {MEDICAL_TEXT}
+ ELSE split_part(agent, ' ', 1) END AS rationale
+FROM reviews r JOIN weighed w ON r.claim_id=w.claim_id"""
+
+
+def _long(reviews):
+    # Fraud and legal texts are checked by adj1 and adj2.
+    text = F.when(F.col("agent").isin(adjudicate.FINANCIAL, adjudicate.MEDICAL), F.col("rationale"))
+    return plain(
+        reviews.select(
+            "claim_id", "priority", "agent", "recommendation", "confidence",
+            F.coalesce(text, F.substring_index("agent", " ", 1)).alias("rationale"),
+        )
+    )
+
+
+@query("adj5_reviews_long", f"WITH {VOTES} {LONG}")
 def _(v):
-    reviews = adjudicate.reviews_long(adjudicate.reviewed(v.cases))
-    return plain(reviews.select("claim_id", "agent", "recommendation", "confidence"))
+    return _long(adjudicate.reviews_long(adjudicate.reviewed(v.cases)))
+
+
+@query("adj5_reviews_mixed_priority", f"WITH {MIXED_VOTES} {LONG}")
+def _(v):
+    return _long(adjudicate.reviews_long(adjudicate.reviewed(v.cases, _priority())))
 
 
 RATIONALE = """CASE final_recommendation WHEN 'DENY' THEN 'Denial recommended by Legal Compliance Agent'
@@ -301,55 +327,86 @@ WHEN 'REVIEW' THEN 'Mixed signals from agents - manual review recommended'
 ELSE 'Majority of agents recommend approval with no major concerns' END AS rationale"""
 
 
-@query(
-    "adj6_vote",
-    f"""WITH {VOTES} SELECT claim_id, final_recommendation, {num('confidence')}, {RATIONALE},
+DECISIONS = f"""SELECT claim_id, final_recommendation, {num('confidence')}, {RATIONALE},
 CASE final_recommendation WHEN 'DENY' THEN 'Send denial letter|Document denial reason|Close claim'
 WHEN 'INVESTIGATE' THEN 'Assign to senior adjuster|Request additional documentation|Conduct field investigation if needed'
 WHEN 'REVIEW' THEN 'Senior adjuster review|Verify documentation|Contact claimant for clarification'
 ELSE 'Process payment|Update claim status|Notify claimant of approval' END AS next_actions,
-deny_votes, investigate_votes, review_votes, approve_votes FROM decisions""",
-)
-def _(v):
-    decided = adjudicate.decide(adjudicate.reviewed(v.cases))
+deny_votes, investigate_votes, review_votes, approve_votes, agent_count FROM decisions"""
+
+
+def _decisions(decided):
     return plain(
         decided.select(
-            "claim_id",
-            "final_recommendation",
-            "confidence",
-            "rationale",
+            "claim_id", "final_recommendation", "confidence", "rationale",
             F.array_join("next_actions", "|").alias("next_actions"),
-            "deny_votes",
-            "investigate_votes",
-            "review_votes",
-            "approve_votes",
+            "deny_votes", "investigate_votes", "review_votes", "approve_votes", "agent_count",
         )
-    )
+    )
 
 
-AGENTS = """CASE WHEN claim_type IN ('Health','Workers Comp')
-THEN 'Fraud Detection Agent, Legal Compliance Agent, Financial Analysis Agent, Medical Review Agent'
-ELSE 'Fraud Detection Agent, Legal Compliance Agent, Financial Analysis Agent' END AS agents_consulted"""
+@query("adj6_vote", f"WITH {VOTES} {DECISIONS}")
+def _(v):
+    return _decisions(adjudicate.decide(adjudicate.reviewed(v.cases)))
 
 
-@query(
-    "adj7_investigation_log",
-    f"""WITH {VOTES} SELECT claim_id, {instant(f"'{AS_OF}'", 'investigation_timestamp')}, 'normal' AS priority, final_recommendation,
-{num('confidence')}, {RATIONALE}, agent_count, {AGENTS}, claim_type AS json_claim_type, legal_verdict AS json_legal_verdict FROM decisions""",
-)
+@query("adj6_vote_mixed_priority", f"WITH {MIXED_VOTES} {DECISIONS}")
 def _(v):
-    log = adjudicate.investigation_log(adjudicate.decide(adjudicate.reviewed(v.cases)), AS_OF)
-    text = F.col("investigation_json")
+    return _decisions(adjudicate.decide(adjudicate.reviewed(v.cases, _priority())))
+
+
+AGENTS = """CASE WHEN urgent THEN 'Fraud Detection Agent, Legal Compliance Agent, Medical Review Agent, Financial Analysis Agent'
+WHEN claim_type IN ('Health','Workers Comp') THEN 'Fraud Detection Agent, Legal Compliance Agent, Financial Analysis Agent, Medical Review Agent'
+ELSE 'Fraud Detection Agent, Legal Compliance Agent, Financial Analysis Agent' END AS agents_consulted"""
+# What the JSON says: the claim, the order of the answers, and a value of every reviewer's analysis.
+LOG = f"""SELECT claim_id, {instant(f"'{AS_OF}'", 'investigation_timestamp')}, CASE WHEN urgent THEN 'critical' ELSE 'normal' END AS priority,
+final_recommendation, {num('confidence')}, {RATIONALE}, agent_count, {AGENTS}, claim_type AS json_claim_type, legal_verdict AS json_legal_verdict,
+{num('fraud_risk_score', 'json_risk_score')}, CAST(total_claims_count AS BIGINT) AS json_total_claims,
+CASE WHEN policy_found THEN 3 ELSE 0 END AS json_checks, {num(cents('claim_amount*1.1e0'), 'json_reserve')},
+CASE WHEN urgent OR claim_type IN ('Health','Workers Comp') THEN procedure_code END AS json_procedure, status AS json_status FROM decisions"""
+
+
+def _log(decided):
+    log = adjudicate.investigation_log(decided, AS_OF)
+    record = F.from_json(
+        "investigation_json",
+        "claim_data struct<claim_type:string,status:string>, agent_responses array<struct<agent:string,recommendation:string,"
+        "analysis:struct<fraud_risk_score:double,claimant_history:struct<total_claims:bigint>,"
+        "validations:array<struct<check:string>>,recommended_reserve:double,procedure:struct<code:string>>>>",
+    )
+
+    def answer_of(agent):
+        return F.get(F.filter("_record.agent_responses", lambda x: x["agent"] == agent), F.lit(0))
+
+    answer = {name: answer_of(agent) for name, agent in adjudicate.REVIEWERS.items()}
     return plain(
-        log.withColumns(
+        log.withColumn("_record", record)
+        .withColumns(
             {
-                "json_claim_type": F.get_json_object(text, "$.claim_data.claim_type"),
-                "json_legal_verdict": F.get_json_object(text, "$.agent_responses[1].recommendation"),
+                "json_claim_type": F.col("_record.claim_data.claim_type"),
+                "json_status": F.col("_record.claim_data.status"),
+                "json_legal_verdict": answer["legal"]["recommendation"],
+                "json_risk_score": answer["fraud"]["analysis"]["fraud_risk_score"],
+                "json_total_claims": answer["fraud"]["analysis"]["claimant_history"]["total_claims"],
+                "json_checks": F.size(answer["legal"]["analysis"]["validations"]),
+                "json_reserve": answer["financial"]["analysis"]["recommended_reserve"],
+                "json_procedure": answer["medical"]["analysis"]["procedure"]["code"],
             }
-        ).drop("investigation_json")
+        )
+        .drop("investigation_json", "_record")
     )
 
 
+@query("adj7_investigation_log", f"WITH {VOTES} {LOG}")
+def _(v):
+    return _log(adjudicate.decide(adjudicate.reviewed(v.cases)))
+
+
+@query("adj7_log_mixed_priority", f"WITH {MIXED_VOTES} {LOG}")
+def _(v):
+    return _log(adjudicate.decide(adjudicate.reviewed(v.cases, _priority())))
+
+
 # Every claim asks for a status by its present one; fraud claims ask again an hour later;
 # liability claims ask under an id that does not exist.
 REQUESTS = f"""{CLAIMS}, requests AS (
@@ -393,11 +450,12 @@ def requests(v):
 
 @query(
     "wrt1_status_claims",
-    f"""WITH {REQUESTS}, last AS (SELECT claim_id, max_by(new_status, requested_at) AS new_status FROM valid GROUP BY claim_id)
-SELECT claims.claim_id, coalesce(new_status, status) AS status FROM claims LEFT JOIN last ON claims.claim_id=last.claim_id""",
+    f"""WITH {REQUESTS}, last AS (SELECT claim_id, max_by(new_status, requested_at) AS new_status,
+max(requested_at) AS asked FROM valid GROUP BY claim_id)
+SELECT claims.claim_id, coalesce(new_status, status) AS status, {instant('asked', 'updated_at')} FROM claims LEFT JOIN last ON claims.claim_id=last.claim_id""",
 )
 def _(v):
-    return audit.apply_status(v.claims, requests(v))[0].select("claim_id", "status")
+    return plain(audit.apply_status(v.claims, requests(v))[0].select("claim_id", "status", "updated_at"))
 
 
 @query(
@@ -484,3 +542,15 @@ CASE WHEN is_fraud THEN 'urgent' WHEN claim_amount>300000 THEN 'high' ELSE 'medi
 @query("wrt3_assign_tasks", f"WITH {TASKS} SELECT * FROM tasks")
 def _(v):
     return plain(audit.assign_tasks(tasks(v), AS_OF)[0])
+
+
+@query(
+    "wrt3_rejected_tasks",
+    f"""WITH {TASKS} SELECT claim_id, 'now' AS priority, 'Invalid priority. Must be one of: low, medium, high, urgent' AS message
+FROM claims WHERE status='Paid'""",
+)
+def _(v):
+    paid = v.claims.filter("status = 'Paid'").select("claim_id")
+    asked = tasks(v).join(paid.withColumn("paid", F.lit(True)), "claim_id", "left")
+    wrong = asked.withColumn("priority", F.when(F.col("paid"), "now").otherwise(F.col("priority"))).drop("paid")
+    return audit.assign_tasks(wrong, AS_OF)[1].select("claim_id", "priority", "message")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from caseflow.operators import evaluate, investigate, model, similarity
+from caseflow.operators import evaluate, investigate, model, silver, similarity
 from caseflow.plans.base import AS_OF, CLAIMS, RISK, instant, num, plain, query
 from caseflow.plans.cases import PAIRS
 from caseflow.plans.quality_loop import report_sql
@@ -77,7 +78,10 @@ def _(v):
     return plain(similarity.embedding_table(v.table("embeddings"), "supplied-64", AS_OF).drop("embedding"))
 
 
-@query("sim4_text_vectors")
+@query(
+    "sim4_text_vectors",
+    f"SELECT doc_id, CAST(384 AS INT) AS embedding_dim, {num('1e0', 'vector_length')} FROM documents",
+)
 def _(v):
     vectors = similarity.text_vectors(v.table("documents").select("doc_id", "text"), "text")
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
@@ -115,53 +119,85 @@ def _(v):
     return plain(model.class_balance(v.claims))
 
 
+SPLIT = f"""{CLAIMS}, ranked AS (SELECT claim_id, is_fraud, row_number() OVER (PARTITION BY is_fraud ORDER BY md5(CAST(claim_id AS VARCHAR))) AS position,
+count(*) OVER (PARTITION BY is_fraud) AS label_size FROM claims), parts AS (
+SELECT claim_id, is_fraud, CASE WHEN position<=floor(label_size*0.2e0) THEN 'test' ELSE 'train' END AS split FROM ranked)"""
+
+
 @query(
     "ml2_stratified_split",
-    f"""WITH {CLAIMS}, ranked AS (SELECT claim_id, is_fraud, row_number() OVER (PARTITION BY is_fraud ORDER BY md5(CAST(claim_id AS VARCHAR))) AS position,
-count(*) OVER (PARTITION BY is_fraud) AS label_size FROM claims)
-SELECT claim_id, is_fraud, CASE WHEN position<=floor(label_size*0.2e0) THEN 'test' ELSE 'train' END AS split FROM ranked""",
+    f"WITH {SPLIT} SELECT * FROM parts",
 )
 def _(v):
     return model.stratified_split(v.claims.select("claim_id", "is_fraud"), "is_fraud")
 
 
-_FITTED: dict = {}
+class _Fitted:
+    """The trained model and the split feature table of one session and data folder.
 
+    Three queries read the same training; asking for another folder releases the last one.
+    """
 
-def _fitted(v):
-    """The trained model and the split feature table, once per session and data folder."""
-    key = (v.spark.sparkContext.applicationId, v.sf_dir)
-    if key not in _FITTED:
-        # The split and the training read the features several times.
-        features = model.cut_lineage(v.features)
-        parts = model.cut_lineage(model.stratified_split(features, "is_fraud"))
-        _FITTED[key] = model.train(parts.filter("split = 'train'")), parts
-    return _FITTED[key]
+    key: tuple | None = None
+    value: tuple | None = None
+
+    @classmethod
+    def of(cls, v):
+        key = (v.spark.sparkContext.applicationId, v.sf_dir)
+        if cls.key != key:
+            cls.key, cls.value = None, None
+            # The split and the training read the features several times.
+            features = model.cut_lineage(v.features)
+            parts = model.cut_lineage(model.stratified_split(features, "is_fraud"))
+            cls.value = model.train(parts.filter("split = 'train'")), parts
+            cls.key = key
+        return cls.value
 
 
 def _test_predictions(v):
-    fitted, parts = _fitted(v)
+    fitted, parts = _Fitted.of(v)
     return model.predict(fitted, parts.filter("split = 'test'"), as_of=AS_OF)
 
 
-@query("ml3_train_and_test")
+# Trees differ between engines; what must hold of any training can be said in SQL.
+METRICS = ", ".join(f"('{m}')" for m in "accuracy precision recall f1_score roc_auc avg_precision".split())
+
+
+@query("ml3_train_and_test", f"SELECT metric, true AS in_range FROM (VALUES {METRICS}) AS m(metric)")
 def _(v):
     predictions = model.cut_lineage(_test_predictions(v))
     metrics = [
         scores.unpivot([], scores.columns, "metric", "value")
         for scores in (model.binary_metrics(predictions), model.ranking_metrics(predictions))
     ]
-    return plain(metrics[0].unionByName(metrics[1]))
+    return metrics[0].unionByName(metrics[1]).select("metric", F.col("value").between(0, 1).alias("in_range"))
 
 
-@query("ml4_predictions")
+@query(
+    "ml4_predictions",
+    f"""WITH {SPLIT} SELECT claim_id, CAST(is_fraud AS INT) AS actual_fraud, true AS consistent, 'v1' AS model_version,
+{instant(f"'{AS_OF}'", 'prediction_timestamp')} FROM parts WHERE split='test'""",
+)
 def _(v):
-    return plain(_test_predictions(v))
+    guess, chance = F.col("predicted_fraud"), F.col("fraud_probability")
+    right = F.col("prediction_correct") == (guess == F.col("actual_fraud")).cast("int")
+    consistent = chance.between(0, 1) & (guess == (chance > 0.5).cast("int")) & right
+    return plain(
+        _test_predictions(v).select("claim_id", "actual_fraud", consistent.alias("consistent"), "model_version", "prediction_timestamp")
+    )
 
 
-@query("ml9_feature_importance")
+@query(
+    "ml9_feature_importance",
+    "SELECT feature, true AS in_range, true AS adds_up FROM (VALUES "
+    + ", ".join(f"('{f}')" for f in silver.FEATURES)
+    + ") AS f(feature)",
+)
 def _(v):
-    return plain(model.importances(_fitted(v)[0], v.spark).limit(15))
+    share = F.col("importance")
+    listed = model.importances(_Fitted.of(v)[0], v.spark)
+    total = F.sum(share).over(Window.partitionBy())  # one row per feature
+    return listed.select("feature", share.between(0, 1).alias("in_range"), (F.abs(total - 1) < 1e-9).alias("adds_up"))
 
 
 # The rule score stands in for a probability: it is the same in every engine.

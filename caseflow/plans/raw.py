@@ -157,10 +157,15 @@ def updates(events):
     )
 
 
-@query("snk5_merge_status", f"WITH {MERGED}")
+@query(
+    "snk5_merge_status",
+    f"WITH {MERGED}".replace(
+        "AS status FROM claims LEFT", f"AS status, CASE WHEN new_status IS NOT NULL THEN '{AS_OF}' END AS updated_at FROM claims LEFT"
+    ),
+)
 def _(v):
     merged = audit.merge_status(v.claims, updates(v.table("events")), ["ts", "event_id"], as_of=AS_OF)
-    return merged.select("claim_id", "status")
+    return plain(merged.select("claim_id", "status", "updated_at"))
 
 
 @query("snk6_create_if_absent", f"WITH {FEEDBACK} SELECT agent_recommendation, count(*) AS row_count FROM feedback GROUP BY ALL")
@@ -268,17 +273,17 @@ def _(v):
     return plain(quality.violations(v.table("customer"), F.col("c_acctbal") <= 0).select("c_custkey", "c_acctbal"))
 
 
-CHECKED = "claim_id is_fraud claim_to_limit_ratio claim_to_premium_ratio days_since_policy_start provider_count has_medical_code".split()
+CHECKED = ["claim_id", "is_fraud", *silver.FEATURES]
 
 
 @query(
     "dq6_completeness",
     f"WITH {SILVER} "
     + " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count, "
-        + num(f"(1 - count(*) FILTER (WHERE {c} IS NULL) / count(*)) * 100", "completeness_pct")
+        f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {f} IS NULL) AS null_count, "
+        + num(f"(1 - count(*) FILTER (WHERE {f} IS NULL) / count(*)) * 100", "completeness_pct")
         + " FROM silver"
-        for c in CHECKED
+        for c, f in ((c, "claim_sequence_num" if c == "is_first_claim" else c) for c in CHECKED)
     ),
 )
 def _(v):
@@ -342,9 +347,11 @@ def _(v):
 
 @query(
     "ddp1_latest_per_key",
-    f"""WITH {WEATHER} SELECT claim_id, enrichment_source, api_status, {instant('enrichment_timestamp')} FROM weather
+    f"""WITH {WEATHER} SELECT claim_id, enrichment_source, api_status, {instant('enrichment_timestamp')},
+{num('precipitation_inches')}, {num('wind_speed_mph')}, conditions_summary FROM weather
 QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY enrichment_timestamp DESC)=1""",
 )
 def _(v):
-    latest = ranking.latest_by(v.weather.drop("enrichment_data"), "claim_id", ["enrichment_timestamp"])
-    return plain(latest)
+    latest = ranking.latest_by(v.weather, "claim_id", ["enrichment_timestamp"])
+    payload = F.from_json("enrichment_data", "precipitation_inches double, wind_speed_mph double, conditions_summary string")
+    return plain(latest.withColumn("payload", payload).select("*", "payload.*").drop("enrichment_data", "payload"))

@@ -6,7 +6,22 @@ from pyspark.sql import functions as F
 
 from caseflow.operators import gold, investigate, quality, silver
 from caseflow.functions.features import weather_summary
-from caseflow.plans.base import CLAIMANTS, CLAIMS, ENRICHED, ICD, POLICIES, SILVER, WEATHER, day, num, nums, plain, query
+from caseflow.plans.base import (
+    AS_OF,
+    CLAIMANTS,
+    CLAIMS,
+    ENRICHED,
+    ICD,
+    POLICIES,
+    SILVER,
+    WEATHER,
+    day,
+    instant,
+    num,
+    nums,
+    plain,
+    query,
+)
 
 ENRICHED_SQL = f"""WITH {ENRICHED} SELECT claim_id, policy_id, claimant_id, claim_type, {day('incident_date')},
 {day('filing_date')}, {num('claim_amount')}, description, diagnosis_code, procedure_code, status, is_fraud,
@@ -72,14 +87,28 @@ HISTORY = (
 
 @query("slv6_claimant_history", HISTORY_SQL)
 def _(v):
-    history = silver.claimant_history(silver.with_policy(v.claims, v.policies))
+    history = silver.claimant_history(silver.with_policy(v.claims, v.policies), silver.hot_claimants(v.claims))
+    return plain(history.select("claim_id", "claimant_id", *HISTORY))
+
+
+@query(
+    "slv6_history_point_in_time",
+    f"""WITH {ENRICHED} SELECT claim_id, claimant_id, count(*) OVER earlier AS total_claims_count,
+{num('coalesce(sum(claim_amount) OVER earlier, 0)', 'total_claimed_amount')}, {num('avg(claim_amount) OVER earlier', 'avg_claim_amount')},
+{num('max(claim_amount) OVER earlier', 'max_claim_amount')}, count(*) FILTER (WHERE is_fraud) OVER earlier AS prior_fraud_count,
+coalesce(len(list_distinct(list(insurance_provider) OVER earlier)), 0) AS provider_count FROM enriched
+WINDOW earlier AS (PARTITION BY claimant_id ORDER BY filing_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)""",
+)
+def _(v):
+    history = silver.history_before(silver.with_policy(v.claims, v.policies))
     return plain(history.select("claim_id", "claimant_id", *HISTORY))
 
 
 @query("slv7_risk_flags", f"WITH {SILVER} SELECT claim_id, {', '.join(RISK_FLAGS)} FROM silver")
 def _(v):
     timed = silver.temporal_features(silver.with_policy(v.claims, v.policies))
-    return silver.risk_flags(silver.claimant_history(timed)).select("claim_id", *RISK_FLAGS)
+    history = silver.claimant_history(timed, silver.hot_claimants(v.claims))
+    return silver.risk_flags(history).select("claim_id", *RISK_FLAGS)
 
 
 @query("slv8_text_features", f"WITH {SILVER} SELECT claim_id, {', '.join(TEXT)} FROM silver")
@@ -88,19 +117,43 @@ def _(v):
 
 
 WEATHER_LATEST = f"""{WEATHER}, latest AS (SELECT claim_id, CAST(precipitation_inches AS FLOAT) AS weather_precipitation_in,
-CAST(wind_speed_mph AS FLOAT) AS weather_wind_speed_mph, conditions_summary AS weather_conditions FROM weather
+CAST(wind_speed_mph AS FLOAT) AS weather_wind_speed_mph, conditions_summary AS weather_conditions,
+CAST(NULL AS DOUBLE) AS weather_temp_max_f, CAST(NULL AS DOUBLE) AS weather_temp_min_f, {instant('enrichment_timestamp', 'weather_api_timestamp')} FROM weather
 WHERE enrichment_source='weather' AND api_status='success'
 QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY enrichment_timestamp DESC)=1)"""
 
 
 @query(
     "slv9_parse_weather",
-    f"""WITH {WEATHER_LATEST} SELECT claim_id, {nums('weather_precipitation_in weather_wind_speed_mph')},
-weather_conditions FROM latest""",
+    f"""WITH {WEATHER_LATEST} SELECT claim_id, {nums('weather_precipitation_in weather_wind_speed_mph weather_temp_max_f weather_temp_min_f')},
+weather_conditions, weather_api_timestamp FROM latest""",
 )
 def _(v):
     parsed = silver.parse_weather(v.weather)
-    return plain(parsed.select("claim_id", "weather_precipitation_in", "weather_wind_speed_mph", "weather_conditions"))
+    return plain(parsed.withColumn("weather_api_timestamp", F.col("weather_api_timestamp").cast("timestamp")))
+
+
+WEATHER_NAMES = "weather_precipitation_in weather_wind_speed_mph weather_temp_max_f weather_temp_min_f"
+
+
+@query(
+    "slv13_silver_with_weather",
+    f"""WITH {SILVER}, {WEATHER_LATEST} SELECT silver.claim_id, claimant_id, claim_sequence_num, total_claims_count, full_name,
+{num('claim_to_limit_ratio')}, {nums(WEATHER_NAMES)}, weather_conditions, weather_api_timestamp,
+CASE WHEN weather_precipitation_in>0.5 OR weather_wind_speed_mph>25 THEN 1 ELSE 0 END AS had_severe_weather,
+CASE WHEN weather_conditions IS NOT NULL THEN 1 ELSE 0 END AS weather_enriched
+FROM silver LEFT JOIN latest ON silver.claim_id=latest.claim_id""",
+)
+def _(v):
+    whole = silver.build(v.claims, v.policies, v.claimants, silver.parse_weather(v.weather))
+    return plain(
+        whole.select(
+            "claim_id", "claimant_id", "claim_sequence_num", "total_claims_count", "full_name", "claim_to_limit_ratio",
+            *WEATHER_NAMES.split(), "weather_conditions",
+            F.col("weather_api_timestamp").cast("timestamp").alias("weather_api_timestamp"),
+            "had_severe_weather", "weather_enriched",
+        )
+    )
 
 
 @query(
@@ -173,11 +226,12 @@ total_claims, {nums('total_claimed_amount avg_claim_amount min_claim_amount max_
 {num('fraud_count*100e0/total_claims', 'fraud_rate_pct')},
 {num('(total_claims-denied_count)*100e0/total_claims', 'approval_rate_pct')},
 {num('approved_amount/greatest(total_claims-denied_count, 1)', 'avg_approved_amount')} FROM grouped)"""
+STAMP = instant(f"'{AS_OF}'", "{}")
 
 
-@query("gld1_claims_summary", f"{SUMMARY} SELECT * FROM summary")
+@query("gld1_claims_summary", f"{SUMMARY} SELECT *, {STAMP.format('created_at')} FROM summary")
 def claims_summary(v):
-    return plain(gold.claims_summary(v.dated))
+    return plain(gold.claims_summary(v.dated, AS_OF))
 
 
 ALERTS = f"""{SILVER}, scored AS (SELECT *, claim_to_limit_ratio*0.3e0+rapid_filing*0.2e0+has_prior_fraud*0.3e0
@@ -189,9 +243,9 @@ coalesce(is_fraud OR risk_score>0.6, false) AS investigation_required, is_fraud,
 {num('claim_to_limit_ratio')}, rapid_filing, has_prior_fraud, total_claims_count FROM scored)"""
 
 
-@query("gld2_fraud_alerts", f"WITH {ALERTS} SELECT * FROM alerts")
+@query("gld2_fraud_alerts", f"WITH {ALERTS} SELECT *, {STAMP.format('alert_timestamp')} FROM alerts")
 def _(v):
-    return plain(gold.fraud_alerts(v.silver))
+    return plain(gold.fraud_alerts(v.silver, as_of=AS_OF))
 
 
 PROFILES = f"""{ENRICHED}, grouped AS (SELECT claimant_id, full_name, address_state, count(*) AS lifetime_claims,
@@ -209,10 +263,12 @@ WHEN claims_per_year>2 THEN 'Medium Risk - Active' ELSE 'Low Risk' END AS risk_t
     "gld3_claimant_profiles",
     f"""WITH {PROFILES} SELECT claimant_id, full_name, address_state, lifetime_claims,
 {nums('lifetime_claimed avg_claim_size max_claim_size')}, fraud_claims_count, {day('first_claim_date')}, {day('last_claim_date')},
-unique_providers, unique_claim_types, {nums('avg_filing_delay fraud_rate')}, days_active, {num('claims_per_year')}, risk_tier FROM profiles""",
+unique_providers, unique_claim_types, {nums('avg_filing_delay fraud_rate')}, days_active, {num('claims_per_year')}, risk_tier,
+{STAMP.format('profile_updated_at')} FROM profiles""",
 )
 def _(v):
-    return plain(gold.claimant_profiles(v.dated))
+    timed = silver.temporal_features(silver.with_policy(v.claims, v.policies))
+    return plain(gold.claimant_profiles(timed, silver.mask_pii(v.claimants), AS_OF))
 
 
 PROVIDERS = f"""{ENRICHED}, grouped AS (SELECT insurance_provider, date_trunc('quarter', incident_date) AS quarter,
@@ -226,10 +282,10 @@ fraud_count, approved_count, denied_count, {num('avg_processing_time')}, unique_
 {num('approved_count*100e0/total_claims', 'approval_rate_pct')}, {num('total_claims/unique_claimants', 'claims_per_claimant')} FROM grouped)"""
 
 
-@query("gld4_provider_metrics", f"WITH {PROVIDERS} SELECT * FROM providers")
+@query("gld4_provider_metrics", f"WITH {PROVIDERS} SELECT *, {STAMP.format('metrics_date')} FROM providers")
 def _(v):
     terms = silver.temporal_features(silver.with_policy(v.claims, v.policies))
-    return plain(gold.provider_metrics(terms))
+    return plain(gold.provider_metrics(terms, AS_OF))
 
 
 WEEKS = f"""{CLAIMS}, grouped AS (SELECT date_trunc('week', incident_date) AS incident_week, claim_type, count(*) AS claims_count,
@@ -241,9 +297,9 @@ SELECT {day('incident_week')}, claim_type, claims_count, {nums('total_amount avg
 WINDOW recent AS (PARTITION BY claim_type ORDER BY grouped.incident_week ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))"""
 
 
-@query("gld5_weekly_series", f"WITH {WEEKS} SELECT * FROM weeks")
+@query("gld5_weekly_series", f"WITH {WEEKS} SELECT *, {STAMP.format('created_at')} FROM weeks")
 def _(v):
-    return plain(gold.weekly_series(v.claims))
+    return plain(gold.weekly_series(v.claims, AS_OF))
 
 
 @query(
@@ -268,7 +324,7 @@ address_state, incident_month LIMIT 10""",
 )
 def _(v):
     tie = ["claim_type", "insurance_provider", "address_state", "incident_month"]
-    return plain(gold.top(gold.claims_summary(v.dated), "total_claims", 10, tie))
+    return plain(gold.top(gold.claims_summary(v.dated), "total_claims", 10, tie).drop("created_at"))
 
 
 @query(
@@ -277,12 +333,12 @@ def _(v):
 )
 def _(v):
     terms = silver.temporal_features(silver.with_policy(v.claims, v.policies))
-    return plain(gold.top(gold.provider_metrics(terms), "total_exposure", 10, ["insurance_provider", "quarter"]))
+    return plain(gold.top(gold.provider_metrics(terms), "total_exposure", 10, ["insurance_provider", "quarter"]).drop("metrics_date"))
 
 
 @query("gld7_newest_weeks", f"WITH {WEEKS} SELECT * FROM weeks ORDER BY incident_week DESC, claim_type LIMIT 10")
 def _(v):
-    return plain(gold.top(gold.weekly_series(v.claims), "incident_week", 10, ["claim_type"]))
+    return plain(gold.top(gold.weekly_series(v.claims), "incident_week", 10, ["claim_type"]).drop("created_at"))
 
 
 # Joins as such: each runs the operator that owns the join shape.
@@ -317,7 +373,7 @@ def _(v):
 
 @query("j4_inner_features_silver", f"WITH {ALERTS} SELECT * FROM alerts")
 def _(v):
-    return plain(gold.fraud_alerts(v.features, v.enriched))
+    return plain(gold.fraud_alerts(v.features, v.enriched).drop("alert_timestamp"))
 
 
 @query(

@@ -1,6 +1,8 @@
 import datetime as dt
 
 from builders import claims, column, policies
+from pyspark.sql import functions as F
+
 from caseflow.operators import audit, bronze, quality
 
 T0 = dt.datetime(2024, 1, 1, 9, 0)
@@ -96,3 +98,14 @@ def test_quality_report_counts_every_rule(spark):
     assert quality.null_counts(data).first().policy_id == 1
     filled = {r.column_name: r.completeness_pct for r in quality.completeness(data, ["policy_id", "claim_id"]).collect()}
     assert filled == {"policy_id": 75.0, "claim_id": 100.0}
+
+
+def test_no_change_without_an_audit_row(spark):
+    data = claims(spark, dict(claim_id=1), dict(claim_id=2))
+    asked = _requests(spark, (1, "Pending", 0), (1, "Denied", 60), (2, "Closed", 0), (None, "Closed", 0))
+    asked = asked.withColumn("requested_at", F.when(F.col("claim_id") != 2, F.col("requested_at")).otherwise(F.when(F.col("claim_id").isNull(), F.lit(T0))))
+    changed, log, rejected = audit.apply_status(data, asked)
+    assert column(changed, "status") == {1: "Denied", 2: "Submitted"}
+    assert column(changed, "updated_at") == {1: T0 + dt.timedelta(seconds=60), 2: None}
+    assert log.count() == 2 and rejected.count() == 2
+    assert column(rejected, "message")[2] == "Request without a time"

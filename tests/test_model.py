@@ -1,10 +1,13 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
-from caseflow.operators import evaluate, model
+from caseflow.operators import evaluate, model, similarity
+from caseflow.operators.silver import FEATURES
 
 
 def _toy(spark, n=400):
@@ -31,7 +34,7 @@ def test_training_separates_a_separable_label(spark):
     assert preds.count() == 80
     assert model.ranking_metrics(preds).first().roc_auc > 0.9
     assert model.importances(fitted, spark, ["a", "b"]).first().feature == "a"
-    assert model.PARAMS["maxIter"] == 200 and len(model.MODEL_FEATURES) == 27
+    assert model.PARAMS["maxIter"] == 200 and model.MODEL_FEATURES == FEATURES and len(FEATURES) == 28
 
 
 def _preds(spark, scores, labels):
@@ -103,3 +106,25 @@ def test_variant_of_unknown_experiment_is_a(spark):
     assert rows[("123", "e")] == "B" and rows[("123", "none")] == "A"
     closed = spark.createDataFrame([("e", 0.808)], "experiment_id string, allocation_ratio double")
     assert evaluate.assign_variant(claims, closed).filter("claim_id = '123' and experiment_id = 'e'").first().variant == "A"
+
+
+def test_text_vectors_are_tf_idf(spark):
+    texts = ["a b b c", "a c", None, "", "B x"]
+    rows = similarity.text_vectors(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string"), "text", 64).collect()
+    place = HashingTF(numFeatures=64).indexOf
+    words = [(t or "").lower().split(" ") for t in texts]
+    seen = Counter(i for w in words for i in {place(x) for x in w})
+    for row in rows:
+        expected = np.zeros(64)
+        for word in words[row.id]:
+            expected[place(word)] += np.log((len(texts) + 1) / (seen[place(word)] + 1))
+        length = np.linalg.norm(expected)
+        assert np.allclose(row.embedding, expected / length if length else expected, atol=1e-6)
+
+
+def test_bands_follow_the_number_of_scores(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    preds = _preds(spark, rng.random(500), rng.random(500) < 0.3)
+    wanted = model.curves(preds).orderBy("threshold").collect()
+    monkeypatch.setattr(model, "_BAND_ROWS", 20)
+    assert model.curves(preds).orderBy("threshold").collect() == wanted

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,38 @@ def test_keyword_search_scores(spark):
     rows = investigate.keyword_search(data, "water slip floor damage", k=7).orderBy("similarity_score").collect()
     assert [r.similarity_score for r in rows] == [0.45, 0.45, 0.53, 0.61, 0.69, 0.77, 0.85]
     assert rows[-1].claim_id == 0
+
+
+def test_claims_without_type_need_no_medical_review(spark):
+    data = claims(spark, dict(claim_id=1, claim_type=None), dict(claim_id=2, claim_type="Health"))
+    table = silver.build(data, policies(spark))
+    for priority in ("normal", "critical"):
+        decided = adjudicate.decide(adjudicate.reviewed(table, priority=priority))
+        assert column(decided, "medical_verdict") == {1: "N/A", 2: "REVIEW"}
+        assert column(decided, "agent_count") == {1: 3 if priority == "normal" else 4, 2: 4}
+        assert column(decided, "review_votes")[1] == column(decided, "review_votes")[2] - 1
+
+
+def test_an_empty_policy_is_found(spark):
+    blank = policies(
+        spark, dict(policy_id=10, provider=None, policy_limit=None, deductible=None, premium_annual=None, start_date=None, end_date=None))
+    checked = investigate.verify_policy(claims(spark, dict(claim_id=1), dict(claim_id=2, policy_id=99)), blank)
+    assert column(checked, "policy_found") == {1: True, 2: False}
+    assert column(checked, "period_status") == {1: "WARN", 2: None}
+
+
+def test_payment_history_of_unknown_claimants(spark):
+    rows = [dict(claim_id=i, claimant_id=None if i < 7 else 5, filing_date=dt.date(2000, 1, i)) for i in range(1, 9)]
+    history = {r.claimant_id: r for r in investigate.payment_history(claims(spark, *rows)).collect()}
+    assert [c.claim_id for c in history[None].recent_claims] == [6, 5, 4, 3, 2] and history[None].total_claims == 6
+    assert [c.claim_id for c in history[5].recent_claims] == [8, 7]
+
+
+def test_the_log_holds_every_analysis(spark):
+    table = silver.build(claims(spark, dict(claim_id=1, claim_type="Health", procedure_code="72148")), policies(spark))
+    log = adjudicate.investigation_log(adjudicate.decide(adjudicate.reviewed(table)), "2024-01-01").first()
+    answers = {a["agent"]: a["analysis"] for a in json.loads(log.investigation_json)["agent_responses"]}
+    assert answers[adjudicate.FRAUD]["claimant_history"]["total_claims"] == 1 and "risk_level" in answers[adjudicate.FRAUD]
+    assert len(answers[adjudicate.LEGAL]["validations"]) == 3 and answers[adjudicate.LEGAL]["policy_valid"] is True
+    assert answers[adjudicate.MEDICAL]["procedure"]["code"] == "72148" and "recommended_reserve" not in answers[adjudicate.MEDICAL]
+    assert answers[adjudicate.FINANCIAL]["recommended_reserve"] == 1100.0

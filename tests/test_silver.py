@@ -80,8 +80,10 @@ def _hot_claims(spark, n=600):
     return claims(spark, *rows)
 
 
-def test_sequence_of_a_hot_claimant_is_exact(spark):
-    df = silver.claim_sequence(_hot_claims(spark))
+@pytest.mark.parametrize("hot", [100, 1000])
+def test_sequence_of_a_hot_claimant_is_exact(spark, hot):
+    data = _hot_claims(spark)
+    df = silver.claim_sequence(data, silver.hot_claimants(data, hot))
     rows = df.select("claim_id", "claimant_id", "filing_date", "claim_sequence_num", F.md5(F.col("claim_id").cast("string")).alias("m")).collect()
     groups = {}
     for row in rows:
@@ -97,10 +99,13 @@ def test_no_cell_holds_a_hot_day(spark):
     assert cells.agg(F.max("count")).first()[0] <= 4
 
 
-def test_build_equals_the_single_steps(spark):
+@pytest.mark.parametrize("hot", [0, 30, 100, 1000])
+def test_build_equals_the_single_steps(spark, hot):
     data, terms = _hot_claims(spark), policies(spark, *[dict(policy_id=10 + i, provider=f"P{i}") for i in range(3)])
     who = people(spark, *[dict(claimant_id=i) for i in (7, *range(100, 140))])
-    built = silver.build(data, terms, who)
+    built = silver.build(data, terms, who, hot=hot)
+    assert column(built, "policy_found") == {i: i % 4 < 3 for i in range(600)}
+    built = built.drop("policy_found")
     steps = silver.enrich(data, terms, who)
     for step in (silver.temporal_features, silver.financial_features, silver.claim_sequence, silver.claimant_history,
                  silver.risk_flags, silver.text_features, silver.with_weather):
@@ -115,6 +120,39 @@ def test_build_equals_the_single_steps(spark):
     assert built.count() == 600
 
 
+def test_hot_claimants_are_few_and_their_days_are_sliced(spark):
+    data = _hot_claims(spark)
+    assert [r[0] for r in silver.hot_claimants(data, 100).collect()] == [7]
+    assert {r[0] for r in silver.hot_claimants(data, 30).collect()} == {7, None}
+    slices = data.filter("claimant_id = 7").groupBy(ranking.cell(["claimant_id"], "filing_date", "claim_id")).count()
+    assert slices.agg(F.max("count")).first()[0] <= 4
+
+
+def test_the_ordinary_plan_moves_claims_twice(spark):
+    """Ordinary claimants: by policy, then by claimant for sequence and totals alike."""
+    data, terms = _hot_claims(spark), policies(spark)
+    plan = silver._total(silver._number(silver.with_policy(data, terms)))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(claimant_id") == 1
+    assert text.count("Exchange hashpartitioning(policy_id") <= 2
+
+
+def test_history_before_knows_earlier_days_only(spark):
+    rows = [
+        dict(claim_id=1, filing_date=day(0), claim_amount=10.0, is_fraud=True), dict(claim_id=2, filing_date=day(0), claim_amount=20.0),
+        dict(claim_id=3, filing_date=day(1), claim_amount=40.0, policy_id=11), dict(claim_id=4, filing_date=day(5), claim_amount=None),
+        dict(claim_id=5, filing_date=None), dict(claim_id=6, filing_date=day(9), claimant_id=None),
+    ]
+    df = silver.history_before(silver.with_policy(claims(spark, *rows), policies(spark, {}, dict(policy_id=11, provider="P2"))))
+    assert column(df, "total_claims_count") == {1: 0, 2: 0, 3: 2, 4: 3, 5: None, 6: None}
+    assert column(df, "total_claimed_amount") == {1: 0.0, 2: 0.0, 3: 30.0, 4: 70.0, 5: None, 6: None}
+    assert column(df, "avg_claim_amount") == {1: None, 2: None, 3: 15.0, 4: pytest.approx(70 / 3), 5: None, 6: None}
+    assert column(df, "prior_fraud_count") == {1: 0, 2: 0, 3: 1, 4: 1, 5: None, 6: None}
+    assert column(df, "provider_count") == {1: 0, 2: 0, 3: 1, 4: 2, 5: None, 6: None}
+    built = silver.build(claims(spark, *rows), policies(spark), people(spark), point_in_time=True)
+    assert column(built, "prior_fraud_count")[4] == 1 and column(built, "claim_sequence_num")[4] == 5
+
+
 def test_weather_keeps_the_latest_success_and_survives_bad_json(spark):
     log = spark.createDataFrame(
         [
