@@ -25,7 +25,8 @@ UNKNOWN = "und"
 DICTIONARY_BYTES = 200_000
 DICTIONARIES_BYTES = 32 << 20
 MOST_LANGUAGES = 1000
-EXCERPT = 512
+EXCERPT = 1024
+SAMPLE = 20_000
 SEGMENT = 4096
 LEVEL = 3
 # Share of the bytes by which the best language must beat the next one.
@@ -42,26 +43,33 @@ def letters(text: str | None) -> bytes:
 def fit(labelled: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries by language from ``labelled`` (text, lang), the most frequent language first.
 
-    The sample is bounded: of each language the excerpts (first 512 characters) with the smallest
-    hashes, different from each other, until the dictionary is full. All dictionaries together stay
-    below 32 MB; beyond 1,000 languages the most frequent ones are learned.
+    The sample is bounded: of each language about 20,000 texts by hash, of these the excerpts (first
+    1,024 characters) with the smallest hashes, different from each other, until the
+    dictionary is full. All dictionaries together stay below 32 MB; beyond 1,000 languages the most
+    frequent ones are learned.
     """
-    # Letters of an excerpt can be few, so a few more excerpts are read than fill a dictionary.
-    excerpts = 4 * dictionary_bytes // EXCERPT
     rows = labelled.filter("lang is not null and text is not null").select(
         F.col("lang").cast("string").alias("lang"), F.substring(F.col("text").cast("string"), 1, EXCERPT).alias("text")
     )
     common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    names = [row["lang"] for row in common.collect()]
-    if not names:
+    sizes = {row["lang"]: row["n"] for row in common.collect()}
+    if not sizes:
         return {}
-    room = min(dictionary_bytes, DICTIONARIES_BYTES // len(names))
-    excerpts = min(excerpts, max(8, 4 * room // EXCERPT))
+    room = min(dictionary_bytes, DICTIONARIES_BYTES // len(sizes))
+    # Letters of an excerpt can be few, so more excerpts are read than fill a dictionary. Spark keeps
+    # up to 1,000 rows per key before a shuffle, so no language meets in one task.
+    excerpts = min(1000, max(8, 4 * room // EXCERPT))
+    shares = labelled.sparkSession.createDataFrame(
+        [(name, min(1.0, SAMPLE / n)) for name, n in sizes.items()], "lang string, share double"
+    )
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    # Copies of one text are one row before any rank is given.
+    chosen = rows.join(F.broadcast(shares), "lang").filter(place < F.col("share")).select("lang", "text").distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    texts: dict[str, list[bytes]] = {name: [] for name in names}
-    for row in rows.withColumn("nth", nth).filter(F.col("nth") <= excerpts).orderBy("lang", "nth").toLocalIterator():
-        if row["lang"] in texts:
-            texts[row["lang"]].append(letters(row["text"]))
+    texts: dict[str, list[bytes]] = {name: [] for name in sizes}
+    ranked = chosen.withColumn("nth", nth).filter(F.col("nth") <= excerpts)
+    for row in ranked.orderBy("lang", "nth").toLocalIterator():  # 1,000 excerpts per language at most
+        texts[row["lang"]].append(letters(row["text"]))
     made = {name: b" ".join(t for t in dict.fromkeys(parts) if t)[:room] for name, parts in texts.items()}
     return {name: content for name, content in made.items() if content}
 
