@@ -137,7 +137,48 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-@query("op7_secret_ownership")
+def _matches_sql(kind: int, pattern: str, group: int) -> str:
+    """Matches of one kind, with the text between them, for every document."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT rid, doc_id, source, {kind} AS kind, unnest(regexp_extract_all(t, '{quoted}', 0)) AS hit,
+  unnest(regexp_extract_all(t, '{quoted}', {group})) AS value, unnest(string_split_regex(t, '{quoted}')) AS gap,
+  generate_subscripts(string_split_regex(t, '{quoted}'), 1) AS nth FROM docs"""
+
+
+_LISTED = "string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+_SECRETS_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+hits AS (
+  {_matches_sql(0, secrets.ASSIGN, 2)}
+  UNION ALL {_matches_sql(1, "AKIA[A-Z0-9]{12,}", 0)}
+  UNION ALL {_matches_sql(2, "[0-9a-f]{32,}", 0)}
+  UNION ALL {_matches_sql(3, "[A-Za-z+/_.=-]*[0-9][A-Za-z0-9+/_.=-]*", 0)}),
+placed AS (
+  SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY rid, kind ORDER BY nth) AS stop FROM hits WHERE hit IS NOT NULL),
+spans AS (
+  SELECT rid, doc_id, source, kind, value, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop,
+    ['assign', 'access', 'hex', 'bare'][kind + 1] AS name
+  FROM placed WHERE kind IN (1, 2) OR length(value) >= 8),
+base AS (SELECT * FROM spans WHERE kind < 3),
+owners AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) < 3 AS live FROM base GROUP BY value),
+judged AS (
+  SELECT base.*, live FROM base JOIN owners USING (value)
+  UNION ALL SELECT bare.*, live FROM spans bare JOIN owners USING (value)
+  WHERE bare.kind = 3 AND live
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = bare.rid AND b.start < bare.stop AND bare.start < b.stop)),
+own AS (
+  SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+    count(*) FILTER (WHERE kind = 2) AS n_hex, {_LISTED} AS listed FROM base GROUP BY rid),
+every AS (
+  SELECT rid, {_LISTED} AS spans, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_example
+  FROM judged GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(listed, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+  coalesce(n_example, 0) AS n_example
+FROM docs LEFT JOIN own USING (rid) LEFT JOIN every USING (rid)"""
+
+
+@query("op7_secret_ownership", _SECRETS_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(_table(spark, sf_dir, "documents")))
 
