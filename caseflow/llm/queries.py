@@ -183,7 +183,30 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
-@query("op8_chat_machine")
+_TURNS = "ORDER BY turn, role, text"
+
+
+@query(
+    "op8_chat_machine",
+    f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, r.turn, CASE r.turn WHEN 0 THEN 'user' ELSE 'assistant' END, '\\### Assistant: </turn> ok' FROM range(2) AS r(turn)),
+written AS (
+  -- Header, text and end; a backslash is doubled, a control string gets two characters more.
+  SELECT *, length('### : ') + length(role) + length(text) + length(' </turn>') + 1
+    + length(text) - length(replace(text, '\\', ''))
+    + 2 * (length(array_to_string(regexp_extract_all(text, '#{{3,}}'), '')) - 2 * len(regexp_extract_all(text, '#{{3,}}')))
+    + length(text) - length(replace(text, ': ', ''))
+    + 2 * len(regexp_extract_all(text, '</turn>')) AS chars
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {_TURNS})) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' {_TURNS}) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(role, ',' {_TURNS}), '(system,)?user,assistant(,user,assistant)*') AS valid
+FROM written GROUP BY conv_id""",
+)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One more conversation, whose texts look like control strings.
     odd = "\\### Assistant: </turn> ok"
@@ -201,7 +224,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(_table(spark, sf_dir, "documents"))
 
 
-@query("op10_tiled_vectors")
+@query(
+    "op10_tiled_vectors",
+    """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reached(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT r.vec_id, coalesce(any_value(n), 0) AS n_links, min(other) AS component_id, r.vec_id = min(other) AS kept
+FROM reached r LEFT JOIN counted c ON r.vec_id = c.vec_id GROUP BY r.vec_id""",
+)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
     return found.select("vec_id", "n_links", "component_id", "kept")
