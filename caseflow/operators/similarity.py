@@ -1,6 +1,6 @@
-"""Vector similarity (SIM-*): exact cosine top-k.
+"""Vector similarity (SIM-*): cosine top-k, exact unless ``cosine_topk_approx`` is called by name.
 
-Three ways, chosen by measured sizes, all with the same result:
+Three exact ways, chosen by measured sizes, all with the same result:
 
 * few queries: their matrix goes to every task, stored vectors are scanned once;
 * few stored vectors: their matrix goes to every task, queries are scanned once;
@@ -244,15 +244,67 @@ def _cell_join(queries: DataFrame, stored: DataFrame, k: int, limits: Limits) ->
         "floor", F.when(F.col("n") >= k, F.col("floor")).otherwise(-1.0)
     )
     second = _block_join(floors.mapInPandas(visit(True), routed), homes, k, limits.block)
+    return _unfold(first.unionByName(second), homes, marked, k)
+
+
+def _unfold(found: DataFrame, distinct: DataFrame, marked: DataFrame, k: int, hot: int = 100_000) -> DataFrame:
+    """From the best distinct vectors of each distinct query to the k best ids of each query row.
+
+    Rows of a query vector that more than ``hot`` rows share stay where they are: its k results are
+    broadcast, fewer than k rows for every ``hot`` rows of the table.
+    """
     order = [F.col("score").desc(), F.col("id")]
-    close = ranking.top_per_key(first.unionByName(second), ["query"], order, k, "nth").drop("nth")
+    close = ranking.top_per_key(found, ["query"], order, k, "nth").drop("nth")
     # Each close vector stands for its copies: its k smallest ids are enough.
-    folded = homes.select(F.col("first_id").alias("id"), "ids")
+    folded = distinct.select(F.col("first_id").alias("id"), "ids")
     copies = close.join(folded, "id").select("query", "score", F.explode("ids").alias("claim_id"))
-    short = ranking.top_per_key(copies, ["query"], [F.col("score").desc(), F.col("claim_id")], k, "nth")
-    return marked.select("query_id", F.col("vector").alias("query")).join(short, "query").select(
-        "query_id", "claim_id", F.col("score").alias("similarity_score")
+    short = cut_lineage(
+        ranking.top_per_key(copies, ["query"], [F.col("score").desc(), F.col("claim_id")], k, "nth").drop("nth")
     )
+    rows = marked.select("query_id", F.col("vector").alias("query"))
+    frequent = F.broadcast(rows.groupBy("query").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("query"))
+    ordinary = rows.join(frequent, "query", "left_anti").join(short, "query")
+    shared = rows.join(F.broadcast(short.join(frequent, "query", "left_semi")), "query")
+    return ordinary.unionByName(shared).select("query_id", "claim_id", F.col("score").alias("similarity_score"))
+
+
+def cosine_topk_approx(
+    queries: DataFrame, stored: DataFrame, k: int = 5, tables: int = 16, bits: int = 6, seed: int = 17, block: int = 4096
+) -> DataFrame:
+    """The approximate counterpart of ``cosine_topk``, same columns: locality-sensitive hashing.
+
+    A vector's cell in each of ``tables`` tables is the side it lies on of ``bits`` random
+    hyperplanes. A query is compared with the vectors that share a cell with it: more tables find
+    more, more bits compare less. Every vector is sent to ``tables`` cells, whatever the number
+    of vectors; cells of any size are joined block by block. Pairs that share no cell are missed.
+    """
+    queries = queries.select("query_id", "embedding").filter("embedding is not null")
+    stored = stored.select("claim_id", "embedding").filter("embedding is not null")
+    marked, asked = _fold(queries, "query_id", None)
+    _, distinct = _fold(stored, "claim_id", k)
+    distinct = cut_lineage(distinct)
+
+    def hashed(df: DataFrame, slot: int) -> DataFrame:
+        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if not len(frame):
+                    continue
+                rows = vec.unit(vec.matrix(frame["embedding"]), slot)
+                planes = np.random.default_rng(seed).normal(size=(rows.shape[1], tables * bits))
+                sides = (rows @ planes >= 0).reshape(len(rows), tables, bits)
+                cells = sides @ (1 << np.arange(bits)) + np.arange(tables) * (1 << bits)
+                routed = frame.loc[frame.index.repeat(tables)].copy()
+                routed["cell"] = cells.reshape(-1).astype(np.int32)
+                yield routed
+
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        return df.mapInPandas(scan, f"{fields}, cell int")
+
+    homes = cut_lineage(hashed(distinct.drop("ids"), STORED))
+    routed = cut_lineage(hashed(asked.withColumnRenamed("vector", "query"), QUERY))
+    found = _block_join(routed, homes, k * tables, block).groupBy("query", "id").agg(F.max("score").alias("score"))
+    order = [F.col("similarity_score").desc(), F.col("claim_id")]
+    return ranking.top_per_key(_unfold(found, distinct, marked, k), ["query_id"], order, k, "position")
 
 
 def _block_join(routed: DataFrame, homes: DataFrame, k: int, block: int) -> DataFrame:
@@ -302,15 +354,20 @@ def _block_join(routed: DataFrame, homes: DataFrame, k: int, block: int) -> Data
 
 
 def similar_fraud(
-    vectors: DataFrame, k: int = 5, exclude_self: bool = False, limits: Limits = Limits()
+    vectors: DataFrame, k: int = 5, exclude_self: bool = False, limits: Limits = Limits(), approx: dict | None = None
 ) -> DataFrame:
     """SIM-2: for every claim, how many of its k most similar claims were fraud.
 
     ``vectors`` has (claim_id, embedding, is_fraud). A claim counts as similar to itself unless
-    ``exclude_self``.
+    ``exclude_self``. Neighbours are exact; ``approx`` asks for ``cosine_topk_approx`` with these
+    parameters, for tables whose pairs are too many to compare.
     """
     queries = vectors.select(F.col("claim_id").alias("query_id"), "embedding")
-    found = cosine_topk(queries, vectors, k + 1 if exclude_self else k, limits)
+    wanted = k + 1 if exclude_self else k
+    if approx is None:
+        found = cosine_topk(queries, vectors, wanted, limits)
+    else:
+        found = cosine_topk_approx(queries, vectors, wanted, **approx)
     if exclude_self:
         others = found.filter("query_id != claim_id").drop("position")
         order = [F.col("similarity_score").desc(), F.col("claim_id")]

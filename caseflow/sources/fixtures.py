@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.operators import silver
-from caseflow.session import tune
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -139,7 +138,7 @@ class Views:
     """Lazy frames over one folder of test tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = tune(spark)
+        self.spark = spark
         self.sf_dir = sf_dir
         self._tables: dict[str, DataFrame] = {}
 

@@ -101,3 +101,37 @@ def test_text_vectors_have_length_one(spark):
     df = spark.createDataFrame([(1, "slip and fall"), (2, None), (3, "water damage and fall")], "id int, text string")
     rows = {r.id: np.array(r.embedding) for r in similarity.text_vectors(df, "text", 64).collect()}
     assert np.linalg.norm(rows[1]) == pytest.approx(1, abs=1e-6) and len(rows[1]) == 64
+
+
+def _random_vectors(spark, n, dim=12, seed=4):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(20, dim))
+    rows = [(i, [float(x) for x in centers[i % 20] + 0.3 * rng.normal(size=dim)], i % 3 == 0) for i in range(n)]
+    return spark.createDataFrame(rows, "claim_id long, embedding array<float>, is_fraud boolean")
+
+
+def test_approximate_neighbours_reach_their_recall(spark):
+    stored = _random_vectors(spark, 600)
+    queries = stored.filter("claim_id % 5 = 0").select(F.col("claim_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.claim_id): r.similarity_score for r in similarity.cosine_topk(queries, stored, 5).collect()}
+    near = similarity.cosine_topk_approx(queries, stored, 5, block=50).collect()
+    found = {(r.query_id, r.claim_id): r.similarity_score for r in near}
+    hits = set(exact) & set(found)
+    assert len(hits) >= 0.9 * len(exact) and all(abs(exact[p] - found[p]) < 1e-9 for p in hits)
+    assert all(r.position <= 5 for r in near)
+    few = similarity.cosine_topk_approx(queries, stored, 5, tables=1, bits=6, block=50)
+    assert few.join(spark.createDataFrame(list(exact), "query_id long, claim_id long"), ["query_id", "claim_id"]).count() < len(hits)
+    assert similarity.similar_fraud(stored, 3, approx={"tables": 16}).count() == 600
+
+
+def test_rows_of_a_frequent_vector_are_not_moved(spark):
+    same = spark.range(300).select(F.col("id").alias("query_id"), F.lit("v").alias("vector"))
+    other = spark.range(300, 310).select(F.col("id").alias("query_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("vector"))
+    marked = same.unionByName(other)
+    found = marked.select(F.col("vector").alias("query")).distinct().withColumn("id", F.lit(1)).withColumn("score", F.lit(0.5))
+    distinct = spark.createDataFrame([(1, [1, 2, 3])], "first_id int, ids array<int>")
+    for hot in (100, 1000):
+        rows = similarity._unfold(found, distinct, marked, 2, hot)
+        assert sorted((r.query_id, r.claim_id) for r in rows.collect()) == [(q, c) for q in range(310) for c in (1, 2)]
+    plan = similarity._unfold(found, distinct, marked, 2, 100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2
