@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.llm import vectors
 from caseflow.llm.common import ship, stored
+from caseflow.llm.vectors import folded, matrix, usable
 
 ship(__name__)
 
@@ -132,7 +132,7 @@ def _search(nodes: DataFrame, asked: DataFrame, width: int, k: int, trees: int,
     """(asked, node, score): the k best candidates of each asked node among vectors of one length."""
     size, questions = nodes.count(), asked.count()
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow()
-    chosen = _unit(vectors.matrix(sample.column("embedding").combine_chunks(), width))
+    chosen = _unit(matrix(sample.column("embedding").combine_chunks(), width))
     # A table that a query may look at as a whole needs one leaf only.
     depth = 0 if size <= least else max(0, min(depth, int(np.log2(len(chosen) / LEAST_LEAF))))
     trees = trees if depth else 1
@@ -141,7 +141,7 @@ def _search(nodes: DataFrame, asked: DataFrame, width: int, k: int, trees: int,
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = vectors.matrix(batch.column(0), width)
+            rows = matrix(batch.column(0), width)
             found = forest.leaves(_unit(rows)) + np.arange(trees) * leaves
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(found), pa.list_(pa.int64())), batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary())],
@@ -184,7 +184,7 @@ def _search(nodes: DataFrame, asked: DataFrame, width: int, k: int, trees: int,
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = vectors.matrix(batch.column(0), width)
+            rows = matrix(batch.column(0), width)
             units, asked_nodes = _unit(rows), batch.column(1).to_pylist()
             out: dict[tuple, list] = {}
             for i, unit in enumerate(units):
@@ -239,10 +239,10 @@ def nearest(
       any answer can use. Rows repeated with the same id count once; an id is no candidate of its own.
     * Fewer than k candidates: all of them. An empty table, or no query, gives an empty result.
     """
-    rows = table.filter(F.col("vec_id").isNotNull() & vectors.usable()).select(
+    rows = table.filter(F.col("vec_id").isNotNull() & usable()).select(
         F.col("vec_id").cast("long").alias("vec_id"), "embedding"
     )
-    nodes = stored(vectors.folded(rows, k + 1).drop("copies"), "vectors")
+    nodes = stored(folded(rows, k + 1).drop("copies"), "vectors")
     queries = (
         rows.filter(asked)
         .distinct()

@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm import graph, vectors
 from caseflow.llm.common import replace_columns, ship, stored
+from caseflow.llm.graph import components, local_labels
+from caseflow.llm.vectors import folded, matrix, usable
 
 ship(__name__)
 
@@ -130,7 +131,7 @@ def _compare(nodes: np.ndarray, copies: np.ndarray, pairs: Iterator[tuple]) -> p
 
     def joined() -> np.ndarray:
         every = np.arange(len(nodes))
-        return graph.local_labels(len(nodes), np.concatenate([every, *left]), np.concatenate([labels, *right]))
+        return local_labels(len(nodes), np.concatenate([every, *left]), np.concatenate([labels, *right]))
 
     for a, b in pairs:
         count += np.bincount(a, weights=copies[b], minlength=len(nodes)).astype(np.int64)
@@ -150,7 +151,7 @@ def _links(nodes: DataFrame, width: int, threshold: float) -> DataFrame:
     """(node, n_links, linked) between vectors of one length, several rows per node."""
     size = nodes.count()
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow()
-    chosen = _unit(vectors.matrix(sample.column("embedding").combine_chunks(), width))
+    chosen = _unit(matrix(sample.column("embedding").combine_chunks(), width))
     axes = _axes(chosen)
     leading = min(LEADING, width)
     depth = max(0, min(int(np.ceil(np.log2(max(1, size / TILE)))), int(np.log2(MOST_TILES))))
@@ -158,7 +159,7 @@ def _links(nodes: DataFrame, width: int, threshold: float) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = vectors.matrix(batch.column(0), width)
+            rows = matrix(batch.column(0), width)
             turned = (_unit(rows) @ axes)[:, :leading]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -225,9 +226,9 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95) -> DataFrame:
     * Repeated rows stay and count as other rows. An empty table stays empty. Columns named like
       the new ones give way.
     """
-    part = F.col("vec_id").isNotNull() & vectors.usable()
+    part = F.col("vec_id").isNotNull() & usable()
     rows = table.filter(part).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    nodes = stored(vectors.folded(rows).drop("ids"), "vectors")
+    nodes = stored(folded(rows).drop("ids"), "vectors")
     found = None
     for row in nodes.select(F.size("embedding").alias("width")).distinct().collect():
         links = _links(nodes.filter(F.size("embedding") == row["width"]), row["width"], threshold)
@@ -238,7 +239,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95) -> DataFrame:
     else:
         found = stored(found, "vector-links")
         counts = found.groupBy("node").agg(F.sum("n_links").alias("n"))
-        joined = graph.components(found.select(F.col("node").alias("a"), F.col("linked").alias("b")))
+        joined = components(found.select(F.col("node").alias("a"), F.col("linked").alias("b")))
         linked = (
             nodes.join(counts, "node", "left")
             .join(joined, "node", "left")

@@ -16,8 +16,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.llm import graph
 from caseflow.llm.common import replace_columns, ship
+from caseflow.llm.graph import components, local_labels
 from caseflow.session import cut_lineage
 
 ship(__name__)
@@ -190,7 +190,7 @@ def _forest(keys: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) ->
     waiting = 0
 
     def joined() -> np.ndarray:
-        return graph.local_labels(len(keys), np.concatenate([np.arange(len(keys)), *left]), np.concatenate([labels, *right]))
+        return local_labels(len(keys), np.concatenate([np.arange(len(keys)), *left]), np.concatenate([labels, *right]))
 
     for a, b in pairs:
         left.append(a)
@@ -263,7 +263,7 @@ def _grouped(docs: DataFrame, budget: int, shingle: int) -> DataFrame:
     work = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     prints = cut_lineage(fingerprints(work, shingle, "fp").select("doc_id", "mark", "fp"))
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = graph.components(links(nodes, budget))
+    joined = components(links(nodes, budget))
     placed = nodes.join(joined, nodes["fp"] == joined["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root")
     )
