@@ -33,6 +33,8 @@ LEVEL = 3
 MARGIN = 0.001
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+# What is left of a text by the line above, for Spark.
+_LETTER = r"[\p{L}\p{Nl}\p{No}]"
 
 
 def letters(text: str | None) -> bytes:
@@ -40,31 +42,52 @@ def letters(text: str | None) -> bytes:
     return _NOT_LETTERS.sub(" ", (text or "").lower()).strip().encode("utf-8", "replace")
 
 
+def _excerpt(text: Column) -> Column:
+    """1,024 characters at a place chosen by the hash of the whole text, or from its first letter
+    where that place has none."""
+    places = F.greatest(F.length(text) - EXCERPT + 1, F.lit(1))
+    part = F.substr(text, (F.pmod(F.xxhash64(text), places) + 1).cast("int"), F.lit(EXCERPT))
+    return F.when(part.rlike(_LETTER), part).otherwise(
+        F.substr(text, F.regexp_instr(text, F.lit(_LETTER)), F.lit(EXCERPT))
+    )
+
+
 def fit(labelled: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries by language from ``labelled`` (text, lang), the most frequent language first.
 
-    The sample is bounded: of each language about 20,000 texts by hash, of these the excerpts (first
-    1,024 characters) with the smallest hashes, different from each other, until the
-    dictionary is full. All dictionaries together stay below 32 MB; beyond 1,000 languages the most
-    frequent ones are learned.
+    The sample is bounded: of the different excerpts of each language about 20,000 by hash, of these
+    the ones with the smallest hashes, until the dictionary is full. An excerpt is 1,024 characters
+    at a place that the hash of its text chooses, so copies of a text are one excerpt and texts
+    with a common beginning are many. All dictionaries together stay below 32 MB; beyond 1,000
+    languages the most frequent ones are learned.
     """
-    rows = labelled.filter("lang is not null and text is not null").select(
-        F.col("lang").cast("string").alias("lang"), F.substring(F.col("text").cast("string"), 1, EXCERPT).alias("text")
+    rows = (
+        labelled.filter("lang is not null and text is not null")
+        .select(F.col("lang").cast("string").alias("lang"), _excerpt(F.col("text").cast("string")).alias("text"))
+    )
+    taught = F.approx_count_distinct(F.when(F.col("text").rlike(_LETTER), F.col("text"))).alias("different")
+    common = (
+        rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), taught).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
     )
-    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    sizes = {row["lang"]: row["n"] for row in common.collect()}
+    sizes = {row["lang"]: row["different"] for row in common.collect()}
     if not sizes:
         return {}
     room = min(dictionary_bytes, DICTIONARIES_BYTES // len(sizes))
-    # Letters of an excerpt can be few, so more excerpts are read than fill a dictionary. Spark keeps
-    # up to 1,000 rows per key before a shuffle, so no language meets in one task.
+    # Letters of an excerpt can be few, so more excerpts are read than fill a dictionary. One task ranks
+    # the sample of a language, about 20,000 excerpts at most whatever the table.
     excerpts = min(1000, max(8, 4 * room // EXCERPT))
+    # Far more than are read, so that chance and the rounding of the count leave no language short.
+    wanted = max(SAMPLE, 8 * excerpts)
     shares = labelled.sparkSession.createDataFrame(
-        [(name, min(1.0, SAMPLE / n)) for name, n in sizes.items()], "lang string, share double"
+        [(name, min(1.0, wanted / max(1, n))) for name, n in sizes.items()], "lang string, share double"
     )
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 32)) / F.lit(float(1 << 32))
     # Copies of one text are one row before any rank is given.
-    chosen = rows.join(F.broadcast(shares), "lang").filter(place < F.col("share")).select("lang", "text").distinct()
+    chosen = (
+        rows.join(F.broadcast(shares), "lang")
+        .filter((place < F.col("share")) & F.col("text").rlike(_LETTER))
+        .select("lang", "text").distinct()
+    )
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
     texts: dict[str, list[bytes]] = {name: [] for name in sizes}
     ranked = chosen.withColumn("nth", nth).filter(F.col("nth") <= excerpts)

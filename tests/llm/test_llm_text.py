@@ -136,6 +136,20 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.95
 
 
+def test_copies_and_common_beginnings_leave_no_language_thin(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 100)
+    word = lambda i: "q" + "".join(chr(97 + int(c)) for c in f"{i:04d}")
+    texts = [("xx", "all the same words " * 5)] * 5000 + [("xx", f"{word(i)} " * 20) for i in range(300)]
+    texts += [("yy", "one license for each of them " * 50 + f"{word(i)} " * 600) for i in range(300)]
+    texts += [("zz", "0123456789 " * 400 + f"{word(i)} " * 4) for i in range(300)]
+    rows = [(i, text, lang, "s") for i, (lang, text) in enumerate(texts)]
+    model = langid.fit(docs(spark, rows), 20_000)
+    assert list(model) == ["xx", "yy", "zz"]
+    found = {lang: len(set(re.findall(rb"q[a-j]{4}", content))) for lang, content in model.items()}
+    # 78 excerpts are read; those of yy are long and fill the dictionary before.
+    assert found["xx"] >= 70 and found["yy"] >= 15 and found["zz"] >= 70
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     parts = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
