@@ -3,7 +3,7 @@
 Candidates are found by pattern and identified by the hash of their value. The corpus is then
 asked how many distinct repositories and owners hold each value: one that many owners share is a
 widely copied example, one of few owners looks live. Live values are also found where they stand
-without a telling name before them.
+without a telling name before them, whatever they are made of: anywhere but inside a longer word.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 # is long enough, so these two need no filter afterwards.
 _LONG_ACCESS = r"AKIA[A-Z0-9]{%d,}" % (LEAST_ACCESS - 4)
 _LONG_HEX = r"[0-9a-f]{%d,}" % LEAST_HEX
-# A run of value characters with a digit: what a value looks like without its name.
-_BARE = r"[A-Za-z+/_.=-]*+[0-9][A-Za-z0-9+/_.=-]*+"
+# A value consists of words and the characters between them.
+_WORD = r"[A-Za-z0-9]"
 _BLOCK = 256
 
 
@@ -48,12 +48,12 @@ def _running(column: str) -> Column:
     return F.when(F.size(values) > 0, F.flatten(inside)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _found(df: DataFrame, text: str, kind: str, pattern: str, group: int = 0) -> DataFrame:
+def _found(df: DataFrame, text: str, kind: str, pattern: str | Column, group: int = 0) -> DataFrame:
     """Add ``_kind``: an array of (start, end, value) of all matches, in order.
 
     The pieces between matches and the matches themselves give the positions.
     """
-    at = F.lit(pattern)
+    at = F.lit(pattern) if isinstance(pattern, str) else pattern
     lengths = F.transform(
         F.arrays_zip(F.col(f"_{kind}_gaps").alias("gap"), F.col(f"_{kind}_all").alias("match")),
         lambda x: (F.length(x["gap"]) + F.length(x["match"])).cast("long"),
@@ -62,7 +62,7 @@ def _found(df: DataFrame, text: str, kind: str, pattern: str, group: int = 0) ->
         {
             f"_{kind}_all": F.regexp_extract_all(text, at, 0),
             f"_{kind}_value": F.regexp_extract_all(text, at, group),
-            f"_{kind}_gaps": F.split(text, pattern, -1),
+            f"_{kind}_gaps": F.split(F.col(text), at, F.lit(-1)),
         }
     )
     df = df.withColumn(f"_{kind}_gaps", F.slice(f"_{kind}_gaps", F.lit(1), F.size(f"_{kind}_all")))
@@ -77,12 +77,13 @@ def _found(df: DataFrame, text: str, kind: str, pattern: str, group: int = 0) ->
             F.lit(KINDS.index(kind)).alias("kind"),
             F.sha2(x["value"], 256).alias("hash"),
             F.length(x["value"]).alias("chars"),
+            x["value"].alias("value"),
         ),
     )
     return df.withColumn(f"_{kind}", spans).drop(*[f"_{kind}_{x}" for x in ("all", "value", "gaps", "steps", "ends")])
 
 
-_SPAN = "array<struct<start:bigint,end:bigint,kind:int,hash:string,chars:int>>"
+_SPAN = "array<struct<start:bigint,end:bigint,kind:int,hash:string,chars:int,value:string>>"
 
 
 def _suspect(text: Column) -> Column:
@@ -91,48 +92,86 @@ def _suspect(text: Column) -> Column:
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``bare``: arrays of (start, end, kind, hash, chars), by start.
+    """``docs`` with ``base``: the spans of the three kinds (start, end, kind, hash, chars, value), by start.
 
-    ``base`` has the spans of the three kinds; ``bare`` has runs that could be a value, outside
-    all base spans. Positions count code points, ends are exclusive. NULL text counts as empty.
+    Positions count code points, ends are exclusive. NULL text counts as empty.
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     df = docs.withColumn("_text", whole)
     df = df.withColumn("_base_text", F.when(_suspect(F.col("_text")), F.col("_text")))
-    df = df.withColumn("_bare_text", F.when(F.col("_text").rlike("[0-9]"), F.col("_text")))
     df = _found(df, "_base_text", "assign", ASSIGN, 2)
     df = _found(df, "_base_text", "access", _LONG_ACCESS)
     df = _found(df, "_base_text", "hex", _LONG_HEX)
-    df = _found(df, "_bare_text", "bare", _BARE)
     none = F.array().cast(_SPAN)
     named = F.filter("_assign", lambda s: s["chars"] >= LEAST_VALUE)
     df = df.withColumn("_base", F.coalesce(F.array_sort(F.concat(named, "_access", "_hex")), none).cast(_SPAN))
-    long = F.filter("_bare", lambda s: s["chars"] >= LEAST_VALUE)
-    apart = F.filter(
-        long, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    )
-    df = df.withColumn("_apart", F.coalesce(apart, none).cast(_SPAN))
-    found = replace_columns(df, {"base": F.col("_base"), "bare": F.col("_apart")})
-    return found.drop("_text", "_base_text", "_bare_text", "_assign", "_access", "_hex", "_bare", "_base", "_apart")
+    found = replace_columns(df, {"base": F.col("_base")})
+    return found.drop("_text", "_base_text", "_assign", "_access", "_hex", "_base")
 
 
 def ownership(found: DataFrame, repository: str, owner: str, example_owners: int) -> DataFrame:
-    """(hash, repositories, owners, live) of every value of a base span.
+    """(hash, value, repositories, owners, live) of every value of a base span.
 
     Grouping by value, owner and repository first keeps a value that is everywhere from meeting in
     one task. NULL owners or repositories count as one.
     """
+    value = ["hash", "value"]
     spread = (
-        found.select(F.explode("base.hash").alias("hash"), F.col(owner).alias("_owner"), F.col(repository).alias("_repo"))
-        .groupBy("hash", "_owner", "_repo")
+        found.select(F.explode("base").alias("_s"), F.col(owner).alias("_owner"), F.col(repository).alias("_repo"))
+        .select("_s.hash", "_s.value", "_owner", "_repo")
+        .groupBy(*value, "_owner", "_repo")
         .agg(F.lit(1).alias("_one"))
-        .groupBy("hash", "_owner")
+        .groupBy(*value, "_owner")
         .agg(F.count(F.lit(1)).alias("_repos"))
     )
-    counted = spread.groupBy("hash").agg(F.sum("_repos").alias("repositories"), F.count(F.lit(1)).alias("owners"))
+    counted = spread.groupBy(*value).agg(F.sum("_repos").alias("repositories"), F.count(F.lit(1)).alias("owners"))
     return counted.withColumn("live", F.col("owners") < example_owners)
 
 
+def _longest_word(value: Column) -> Column:
+    """The longest word of a value; a value without one stands for itself."""
+    words = F.regexp_extract_all(value, F.lit(_WORD + "+"), F.lit(0))
+    sized = F.transform(words, lambda w: F.struct(F.length(w).alias("chars"), w.alias("word")))
+    return F.coalesce(F.array_max(sized)["word"], value)
+
+
+def _alone(value: Column) -> Column:
+    """Pattern of a value that is not part of a longer word."""
+    before = F.when(value.rlike("^" + _WORD), F.lit(f"(?<!{_WORD})")).otherwise(F.lit(""))
+    after = F.when(value.rlike(_WORD + "$"), F.lit(f"(?!{_WORD})")).otherwise(F.lit(""))
+    # No value holds a backslash.
+    return F.concat(before, F.lit("\\Q"), value, F.lit("\\E"), after)
+
+
+def bare(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """(doc_id, mark, bare): where live values stand in texts, of every text with at least one.
+
+    A text is asked for a value only if it holds the longest word of it. Only such texts are read again.
+    """
+    live = owners.filter("live").select(
+        _longest_word(F.col("value")).alias("word"), F.struct("value", "owners", "repositories").alias("_known")
+    )
+    plain = live.filter(F.col("word").rlike(_WORD))
+    least = plain.agg(F.min(F.length("word"))).first()[0] or LEAST_VALUE
+    word = "%s{%d,}+|[+/_.=-]{%d,}+" % (_WORD, least, LEAST_VALUE)
+    words = rows.select(
+        "doc_id", "mark", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), F.lit(0)))).alias("word")
+    )
+    asked = words.join(live, "word").groupBy("doc_id", "mark").agg(F.collect_set("_known").alias("_known"))
+    # Written once, so that its size is known when the texts are joined.
+    asked = stored(asked, "secret-words").withColumnsRenamed({"doc_id": "_id", "mark": "_of"})
+    texts = rows.select("doc_id", "mark", F.col("text").alias("_bare_text"))
+    each = texts.join(asked, texts["doc_id"].eqNullSafe(asked["_id"]) & (texts["mark"] == asked["_of"])).select(
+        "doc_id", "mark", "_bare_text", F.explode("_known").alias("_known")
+    )
+    placed = _found(each, "_bare_text", "bare", _alone(F.col("_known.value")))
+    spans = placed.select("doc_id", "mark", "_known", F.explode("_bare").alias("_span")).select(
+        "doc_id", "mark",
+        F.struct("_span.start", "_span.end", "_span.kind", F.lit(True).alias("live"), "_known.owners", "_known.repositories").alias("_span"),
+    )
+    return spans.groupBy("doc_id", "mark").agg(F.collect_set("_span").alias("bare"))
+
+
 def _text_of(spans: Column) -> Column:
     name = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(
@@ -145,7 +184,7 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", exa
     """One row per row of ``docs``: doc_id, mark, base, extra and judged.
 
     ``base`` holds the spans found by pattern, ``extra`` the ones the corpus adds: bare occurrences
-    of live values outside all base spans. ``judged`` has every base and extra span with its value's
+    of live values outside all base spans, of those within each other the longest. ``judged`` has every base and extra span with its value's
     repositories, owners and ``live``: fewer than ``example_owners`` distinct owners hold it.
     ``mark`` is a hash of the text.
 
@@ -154,24 +193,39 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", exa
     * An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     rows = docs.select(
-        "doc_id", F.col(repository).alias("_repository"), F.col(owner).alias("_holder"), "text",
-        F.xxhash64("text").alias("mark"),
+        "doc_id", F.col(repository).alias("_repository"), F.col(owner).alias("_holder"),
+        F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("mark"),
     )
     narrow = candidates(rows).drop("text").withColumn("_row", F.monotonically_increasing_id())
     # Written once: row numbers stay the same whatever is computed again later.
     narrow = stored(narrow, "secret-candidates")
-    owners = ownership(narrow, "_repository", "_holder", example_owners)
-    spans = narrow.select("_row", F.explode(F.concat("base", "bare")).alias("_span")).select("_row", "_span.*")
+    owners = stored(ownership(narrow, "_repository", "_holder", example_owners), "secret-owners")
+    spans = narrow.select("_row", F.explode("base").alias("_span")).select("_row", "_span.*")
     judged = (
-        spans.join(owners, "hash")
-        .filter(F.col("live") | (F.col("kind") < KINDS.index("bare")))
+        spans.join(owners.drop("value"), "hash")
         .groupBy("_row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "live", "owners", "repositories"))).alias("judged"))
     )
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:int,live:boolean,owners:bigint,repositories:bigint>>")
-    joined = narrow.join(judged, "_row", "left").withColumn("judged", F.coalesce("judged", none))
-    extra = F.filter("judged", lambda s: s["kind"] == KINDS.index("bare"))
-    return joined.select("doc_id", "mark", "base", extra.alias("extra"), "judged")
+    loose = bare(rows, owners).withColumnsRenamed({"doc_id": "_id", "mark": "_of"})
+    joined = narrow.join(judged, "_row", "left").join(
+        loose, narrow["doc_id"].eqNullSafe(loose["_id"]) & (narrow["mark"] == loose["_of"]), "left"
+    )
+    apart = F.filter(
+        F.coalesce("bare", none), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    )
+    joined = joined.withColumn("_apart", apart)
+    outer = F.filter(
+        "_apart",
+        lambda s: ~F.exists(
+            "_apart",
+            lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"]),
+        ),
+    )
+    joined = joined.withColumn("extra", F.array_sort(outer))
+    every = F.array_sort(F.concat(F.coalesce("judged", none), "extra")).alias("judged")
+    own = F.transform("base", lambda s: F.struct(*[s[x].alias(x) for x in ("start", "end", "kind", "hash", "chars")]))
+    return joined.select("doc_id", "mark", own.alias("base"), "extra", every)
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -215,8 +269,8 @@ def _without(text: Column, spans: Column, sign: str) -> Column:
 def redact(docs: DataFrame, sign: str = "[SECRET]", **how) -> DataFrame:
     """The documents with live secrets replaced by a sign; widely copied examples stay.
 
-    Every row and column is kept. Only documents that have a candidate are joined with their
-    spans; all others, nearly all, pass without a shuffle.
+    Every row and column is kept. The table of spans is written first: while it is small, no text is
+    moved to be joined with it.
     """
     found = scan(docs, **how)
     live = F.filter("judged", lambda s: s["live"])
@@ -226,10 +280,8 @@ def redact(docs: DataFrame, sign: str = "[SECRET]", **how) -> DataFrame:
         .groupBy("_id", "_of")
         .agg(F.first("_live").alias("_live"))
     )
-    own = F.coalesce(F.col("text"), F.lit(""))
-    suspect = _suspect(own) | own.rlike("[0-9]")
-    marked = docs.filter(suspect).withColumn("_mark", F.xxhash64("text"))
+    marks = stored(marks, "secret-marks")
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
     joined = marked.join(marks, marked["doc_id"].eqNullSafe(marks["_id"]) & (marked["_mark"] == marks["_of"]), "left")
     cleaned = F.when(F.col("_live").isNotNull(), _without(F.col("text"), F.col("_live"), sign)).otherwise(F.col("text"))
-    changed = joined.withColumn("text", cleaned).select(*[f"`{c}`" for c in docs.columns])
-    return docs.filter(~suspect).unionByName(changed)
+    return joined.withColumn("text", cleaned).select(*[f"`{c}`" for c in docs.columns])

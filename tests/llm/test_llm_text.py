@@ -305,6 +305,24 @@ def test_redaction_keeps_all_rows_and_examples(spark):
     assert texts[4] != rows[3][1] and "deadbeef" not in texts[4]
 
 
+def test_live_values_are_found_whatever_stands_around_them(spark):
+    named = ["password: correct-horse-battery", "token=hunter2hunter2", "secret: abcdefgh1", "secret: ab/cd=efgh==", "token: correct-horse"]
+    bare = [
+        ("so correct-horse-battery it is", "so [SECRET] it is"),
+        ("It was hunter2hunter2.", "It was [SECRET]."),
+        ("x/abcdefgh1 y=abcdefgh1,", "x/[SECRET] y=[SECRET],"),
+        ("at x/ab/cd=efgh==.", "at x/[SECRET]."),
+        ("xcorrect-horse-battery hunter2hunter23 abcdefgh", "xcorrect-horse-battery hunter2hunter23 abcdefgh"),
+    ]
+    rows = [(i, text, "en", "a") for i, text in enumerate(named, 1)]
+    rows += [(10 + i, text, "en", "b") for i, (text, _) in enumerate(bare)] + [(None, bare[1][0], "en", "b")] * 2
+    texts = sorted((r["doc_id"] or 99, r["text"]) for r in secrets.redact(docs(spark, rows)).collect())
+    assert [t for i, t in texts if i in range(10, 20)] == [t for _, t in bare]
+    assert texts[-2:] == [(99, bare[1][1])] * 2
+    spans = {r["doc_id"]: r["spans"] for r in secrets.report(secrets.scan(docs(spark, rows))).collect()}
+    assert spans[10] == "bare:3:24" and spans[12] == "bare:2:11,bare:14:23" and spans[14] == ""
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     folder = "/root/testdata/sf0.01"  # the smallest documents hold no secret
