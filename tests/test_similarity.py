@@ -124,6 +124,20 @@ def test_approximate_neighbours_reach_their_recall(spark):
     assert similarity.similar_fraud(stored, 3, approx={"tables": 16}).count() == 600
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_approximate_neighbours_reach_their_recall_on_the_supplied_vectors(spark, folder):
+    stored = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").withColumnRenamed("vec_id", "claim_id")
+    queries = stored.filter("claim_id % 5 = 0").select(F.col("claim_id").alias("query_id"), "embedding")
+
+    def others(found):
+        return {(r.query_id, r.claim_id) for r in found.filter("query_id != claim_id").collect()}
+
+    exact = others(similarity.cosine_topk(queries, stored, 6))
+    recall = len(exact & others(similarity.cosine_topk_approx(queries, stored, 6))) / len(exact)
+    print(folder, recall)
+    assert recall >= 0.9
+
+
 def test_rows_of_a_frequent_vector_are_not_moved(spark):
     same = spark.range(300).select(F.col("id").alias("query_id"), F.lit("v").alias("vector"))
     other = spark.range(300, 310).select(F.col("id").alias("query_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("vector"))
