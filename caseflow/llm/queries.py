@@ -8,7 +8,9 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import ann, chat, hmm, langid, merkle, mixing, neardup, packing, secrets, simhash
+from caseflow.llm import (
+    ann, chat, collocations, fim, fmindex, hmm, langid, merkle, mixing, neardup, packing, secrets, simhash,
+)
 from caseflow.llm.common import stored
 from caseflow.session import cut_lineage
 
@@ -238,3 +240,101 @@ FROM reached r LEFT JOIN counted c ON r.vec_id = c.vec_id GROUP BY r.vec_id""",
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
     return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+_LOWER = f"translate(coalesce(text, ''), '{fmindex.UPPER}', '{fmindex.LOWER}')"
+
+
+@query(
+    "op11_fm_index",
+    f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '{fmindex.WORD}') AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER}, '{fmindex.WORD}') AS w FROM benchmark),
+wanted AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS phrase
+  FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(p) WHERE len(w) > 0),
+places AS (
+  SELECT rid, p, size, array_to_string(w[p:p + size - 1], ' ') AS phrase
+  FROM docs, (SELECT DISTINCT size FROM wanted) AS sizes, unnest(range(1, len(w) - size + 2)) AS r(p)),
+hits AS (SELECT rid, p, size, item_id FROM places JOIN wanted USING (size, phrase)),
+covered AS (
+  SELECT rid, count(DISTINCT x) AS n_hit FROM (SELECT DISTINCT rid, p, size FROM hits) AS h, unnest(range(p, p + size)) AS r(x)
+  GROUP BY rid),
+named AS (
+  SELECT rid, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256
+  FROM (SELECT DISTINCT rid, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    found = fmindex.contamination(docs, benchmark)
+    words = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
+    return found.select(
+        F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_words", words.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (words > 0).alias("contaminated"),
+    )
+
+
+@query(
+    "op12_block_rotation",
+    """
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS x,
+    CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS y, CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS z,
+    CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS s FROM docs),
+cut AS (
+  SELECT *, array_to_string(u[1:least(x, y)], '') AS prefix, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS middle,
+    array_to_string(u[greatest(x, y) + 1:n], '') AS suffix,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR z >= 90 THEN 'plain'
+      WHEN s < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM cut""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restore(fim.transform(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+@query(
+    "op13_misra_gries",
+    f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM words GROUP BY lang),
+runs AS (
+  SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase
+  FROM words, unnest(range(1, 6)) AS s(k), unnest(range(1, len(w) - k + 2)) AS r(p)),
+counts AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM runs GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, j, array_to_string(string_split(c.phrase, ' ')[1:j], ' ') AS first,
+    array_to_string(string_split(c.phrase, ' ')[j + 1:c.k], ' ') AS rest
+  FROM counts c, unnest(range(1, c.k)) AS r(j)),
+best AS (
+  SELECT cuts.lang, cuts.phrase, a, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score
+  FROM cuts JOIN totals ON totals.lang = cuts.lang JOIN counts x ON x.lang = cuts.lang AND x.phrase = cuts.first
+  JOIN counts y ON y.lang = cuts.lang AND y.phrase = cuts.rest
+  QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY (1000 * a * n) // (x.f * y.f), j) = 1),
+kept AS (
+  SELECT * FROM best WHERE NOT EXISTS (
+    SELECT 1 FROM counts longer WHERE longer.lang = best.lang AND longer.phrase <> best.phrase AND longer.f >= best.a
+      AND contains(' ' || longer.phrase || ' ', ' ' || best.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
