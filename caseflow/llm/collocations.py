@@ -29,13 +29,13 @@ LONGEST = 5
 #: Counters of a partition: this many times its mass divided by the threshold.
 SLACK = 4
 #: Words of a block.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
 #: Bytes of text per hash partition, and the most partitions.
 PARTITION_BYTES, MOST_PARTITIONS = 8 << 20, 1 << 15
 #: Survivors that are counted (and broadcast) at a time.
 ROUND = 4 << 20
 #: Words that keep their numbers from block to block.
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 17
 _CHUNK, _FILTER = 1 << 20, 1 << 25
 
 # What ends a piece, and what lies between words.
