@@ -16,11 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm.common import ship, stored
-from caseflow.operators.ranking import top_per_key
 
 ship(__name__)
 
@@ -36,6 +35,10 @@ PARTITION_BYTES, MOST_PARTITIONS = 8 << 20, 1 << 15
 ROUND = 4 << 20
 #: Words that keep their numbers from block to block.
 KNOWN_WORDS = 1 << 17
+#: Phrases that a task adds up before it gives them out.
+HELD = 1 << 18
+#: Parts of a language that meet its total separately.
+SLICES = 64
 _CHUNK, _FILTER = 1 << 20, 1 << 25
 
 # What ends a piece, and what lies between words.
@@ -254,9 +257,10 @@ def survivors(found: DataFrame, least: int) -> DataFrame:
     return found.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, "hash long")
 
 
-def _counted(block: Block, wanted: np.ndarray, near: np.ndarray, bits: int, longest: int) -> Counter:
-    """(language, words, phrase): occurrences in a block of the runs whose hash is wanted."""
-    out, names = Counter(), block.words.names
+def _count(block: Block, wanted: np.ndarray, near: np.ndarray, bits: int, longest: int, into: dict) -> None:
+    """Add the runs of a block whose hash is wanted to the phrases of their language."""
+    names = block.words.names
+    mine = [into.setdefault(name, Counter()) for name in block.names]
     for length in range(1, longest + 1):
         at, value = block.hashes(length, bits)
         likely = near[value & np.uint64(len(near) - 1)]
@@ -274,10 +278,10 @@ def _counted(block: Block, wanted: np.ndarray, near: np.ndarray, bits: int, long
         for j in range(length):
             same &= block.ids[at + j] == block.ids[head[group] + j]
         number = np.bincount(group[same], minlength=len(head))
-        for start, n in [*zip(head.tolist(), number.tolist()), *((s, 1) for s in at[~same].tolist())]:
-            phrase = b" ".join([names[i] for i in block.ids[start : start + length].tolist()])
-            out[block.names[block.langs[start]], length, phrase] += n
-    return out
+        starts, often = np.concatenate([head, at[~same]]), np.append(number, np.ones(int((~same).sum()), dtype=np.int64))
+        runs = block.ids[starts[:, None] + np.arange(length)].tolist()
+        for lang, run, n in zip(block.langs[starts].tolist(), runs, often.tolist()):
+            mine[lang][b" ".join([names[i] for i in run])] += n
 
 
 COUNTS = "lang string, words int, phrase binary, n long"
@@ -293,15 +297,23 @@ def _count_round(rows: DataFrame, wanted: np.ndarray, bits: int, longest: int, t
         # Most hashes are ruled out by a look into a table that fits into the cache better.
         near = np.zeros(min(_FILTER, 1 << max(10, (8 * len(wanted)).bit_length())), dtype=bool)
         near[wanted & np.uint64(len(near) - 1)] = True
+        def batch(found: dict) -> pa.RecordBatch:
+            out = [(lang, p.count(b" ") + 1 if p else 0, p, n) for lang, phrases in found.items() for p, n in phrases.items()]
+            columns = list(zip(*out)) or [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        found: dict[str, Counter] = {}
         for block in blocks(batches, BLOCK_WORDS):
-            out = []
             if totals:
                 number = np.bincount(block.langs[block.starts(1)], minlength=len(block.names)).tolist()
-                out = [(name, 0, b"", n) for name, n in zip(block.names, number) if n]
+                for name, n in zip(block.names, number):
+                    found.setdefault(name, Counter())[b""] += n
             if len(wanted):
-                out += [(*key, n) for key, n in _counted(block, wanted, near, bits, longest).items()]
-            columns = list(zip(*out)) or [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+                _count(block, wanted, near, bits, longest, found)
+            if sum(map(len, found.values())) > HELD:
+                yield batch(found)
+                found = {}
+        yield batch(found)
 
     return rows.mapInArrow(run, COUNTS)
 
@@ -330,7 +342,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, round_
         part = _count_round(rows, wanted, bits, longest, totals=number == 0)
         counted = part if counted is None else counted.union(part)
     summed = counted.groupBy("lang", "words", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"))
-    return summed.filter((F.col("words") == 0) | (F.col("n") >= least))
+    return summed.filter(((F.col("words") == 0) & (F.col("n") > 0)) | (F.col("n") >= least))
 
 
 def _part(first, number) -> F.Column:
@@ -344,15 +356,18 @@ def scored(counts: DataFrame) -> DataFrame:
     Scores are quotients of whole numbers of up to 38 digits, rounded down.
     """
     wide = "decimal(38,0)"
-    totals = counts.filter("words = 0").select("lang", F.col("n").alias("total"))
+    # Every slice of a language gets the total, so that a common language is no hot key.
+    slices = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))
+    totals = counts.filter("words = 0").select("lang", F.col("n").alias("total"), slices.alias("slice"))
     parts = counts.filter("words > 0").select("lang", "phrase", "n")
     cut = counts.filter("words > 1").select(
-        "lang", "phrase", F.col("n").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k")
-    )
+        "lang", "phrase", F.col("n").alias("a"), "words", F.pmod(F.hash("phrase"), F.lit(SLICES)).alias("slice"),
+        F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"),
+    )
     cut = cut.withColumn("first", _part(F.lit(1), F.col("k"))).withColumn("rest", _part(F.col("k") + 1, F.col("words") - F.col("k")))
     first = parts.select("lang", F.col("phrase").alias("first"), F.col("n").alias("l"))
     rest = parts.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r"))
-    joined = cut.join(first, ["lang", "first"]).join(rest, ["lang", "rest"]).join(totals, "lang")
+    joined = cut.join(first, ["lang", "first"]).join(rest, ["lang", "rest"]).join(totals, ["lang", "slice"])
     ratio = F.expr(
         f"(cast(1000 as {wide}) * cast(a as {wide}) * cast(total as {wide})) div (cast(l as {wide}) * cast(r as {wide}))"
     )
@@ -376,6 +391,21 @@ def _covered(counts: DataFrame, share: int) -> DataFrame:
     return most.join(own, ["lang", "phrase"]).filter(F.col("held") * 100 >= F.col("n") * share).select("lang", "phrase")
 
 
+def _ranked(kept: DataFrame, top: int | None) -> DataFrame:
+    """``rank`` within each language. Rows are dealt by ranges of the order, so that a language is spread over
+    many tasks; ranks go on from one range to the next."""
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    placed = stored(kept.repartitionByRange("lang", *order).withColumn("range", F.spark_partition_id()), "phrase-ranges")
+    sizes = placed.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("rows"))
+    earlier = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("lang", "range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    if top is not None:
+        before = before.filter(F.col("before") < top)
+    nth = F.row_number().over(Window.partitionBy("lang", "range").orderBy(*order))
+    ranked = placed.withColumn("nth", nth).join(before, ["lang", "range"]).withColumn("rank", F.col("before") + F.col("nth"))
+    return ranked if top is None else ranked.filter(F.col("rank") <= top)
+
+
 def collocations(
     docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share: int = 100, top: int | None = 2000
 ) -> DataFrame:
@@ -391,11 +421,4 @@ def collocations(
     """
     counts = stored(frequent(docs, least, longest), "phrase-counts")
     kept = scored(counts).join(_covered(counts, share), ["lang", "phrase"], "left_anti")
-    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    columns = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
-    if top is not None:
-        # The first of each slice of a language, then the first of those: no language meets in one task.
-        sliced = kept.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(64)))
-        kept = top_per_key(sliced, ["lang", "slice"], order, top, "nth").drop("slice", "nth")
-        return top_per_key(kept, ["lang"], order, top, "rank").withColumn("rank", F.col("rank").cast("long")).select(columns)
-    return kept.withColumn("rank", F.lit(None).cast("long")).select(columns)
+    return _ranked(kept, top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -225,7 +225,7 @@ def test_collocations_match_plain_counts(spark, monkeypatch, small, share):
     rows = _talk()
     if small:
         # Cuts inside pieces, many partitions, several blocks and rounds.
-        for name, value in (("BLOCK_WORDS", 7), ("_CHUNK", 5), ("PARTITION_BYTES", 500), ("KNOWN_WORDS", 4)):
+        for name, value in (("BLOCK_WORDS", 7), ("_CHUNK", 5), ("PARTITION_BYTES", 500), ("KNOWN_WORDS", 4), ("HELD", 3)):
             monkeypatch.setattr(collocations, name, value)
         rows = [r for r in rows if not r[0] or len(r[0]) < 10_000]
     got = collocations.collocations(_speech(spark, rows), least=8, share=share).collect()
@@ -268,9 +268,10 @@ def test_equal_hashes_are_told_apart(spark, monkeypatch):
     rows = _talk(7)
     block = next(collocations.blocks(iter([_batch(rows)]), 1 << 20))
     wanted = np.arange(4, dtype=np.uint64)
-    got = collocations._counted(block, wanted, np.ones(1024, dtype=bool), 2, 5)
+    got = {}
+    collocations._count(block, wanted, np.ones(1024, dtype=bool), 2, 5, got)
     counts, _ = _counts(rows)
-    assert Counter({(lang, k, p.decode()): n for (lang, k, p), n in got.items()}) == counts
+    assert Counter({(g, p.count(b" ") + 1, p.decode()): n for g, found in got.items() for p, n in found.items()}) == counts
 
 
 def _batch(rows):
