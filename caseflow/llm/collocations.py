@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ ROUND = 4 << 20
 KNOWN_WORDS = 1 << 17
 #: Phrases that a task adds up before it gives them out.
 HELD = 1 << 18
+#: Phrases that are added up by one task.
+PART_PHRASES = 1 << 14
 #: Parts of a language that meet its total separately.
 SLICES = 64
 _CHUNK, _FILTER = 1 << 20, 1 << 25
@@ -284,21 +287,31 @@ def _count(block: Block, wanted: np.ndarray, near: np.ndarray, bits: int, longes
             mine[lang][b" ".join([names[i] for i in run])] += n
 
 
-COUNTS = "lang string, words int, phrase binary, n long"
+TABLES = "part int, lang string, phrases binary, counts binary"
+COUNTS = "lang string, words int, phrase string, n long"
 
 
-def _count_round(rows: DataFrame, wanted: np.ndarray, bits: int, longest: int, totals: bool) -> DataFrame:
+def _tables(rows: DataFrame, wanted: np.ndarray, parts: int, bits: int, longest: int, totals: bool) -> DataFrame:
+    """What the tasks count, as tables of phrases and numbers: one per part of the phrases and language."""
     shared = rows.sparkSession.sparkContext.broadcast(wanted)
-    names = [part.split()[0] for part in COUNTS.split(", ")]
-    types = [pa.string(), pa.int32(), pa.binary(), pa.int64()]
+    names = [part.split()[0] for part in TABLES.split(", ")]
+    types = [pa.int32(), pa.string(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
         # Most hashes are ruled out by a look into a table that fits into the cache better.
         near = np.zeros(min(_FILTER, 1 << max(10, (8 * len(wanted)).bit_length())), dtype=bool)
         near[wanted & np.uint64(len(near) - 1)] = True
+
         def batch(found: dict) -> pa.RecordBatch:
-            out = [(lang, p.count(b" ") + 1 if p else 0, p, n) for lang, phrases in found.items() for p, n in phrases.items()]
+            dealt: dict[tuple, list] = {}
+            for lang, phrases in found.items():
+                for phrase in phrases:
+                    dealt.setdefault((zlib.crc32(phrase) % parts, lang), []).append(phrase)
+            out = [
+                (part, lang, b"\n".join(mine), _packed(np.array([found[lang][p] for p in mine])))
+                for (part, lang), mine in dealt.items()
+            ]
             columns = list(zip(*out)) or [()] * len(types)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
@@ -315,7 +328,33 @@ def _count_round(rows: DataFrame, wanted: np.ndarray, bits: int, longest: int, t
                 found = {}
         yield batch(found)
 
-    return rows.mapInArrow(run, COUNTS)
+    return rows.mapInArrow(run, TABLES)
+
+
+def _summed(tables: DataFrame) -> DataFrame:
+    """The tables of each part added up; a task holds the phrases of one part. See ``COUNTS``."""
+    names = [part.split()[0] for part in COUNTS.split(", ")]
+    types = [pa.string(), pa.int32(), pa.string(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, Counter()
+
+        def done() -> pa.RecordBatch:
+            out = [(lang, p.count(b" ") + 1 if p else 0, p.decode(), n) for (lang, p), n in held.items()]
+            columns = list(zip(*out)) or [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        for batch in batches:
+            for row in zip(*batch.columns):
+                part, lang, phrases, counts = (x.as_py() for x in row)
+                if part != current:
+                    yield done()
+                    current, held = part, Counter()
+                for phrase, n in zip(phrases.split(b"\n"), _unpacked(counts).tolist()):
+                    held[lang, phrase] += n
+        yield done()
+
+    return tables.repartition("part").sortWithinPartitions("part").mapInArrow(run, COUNTS)
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, round_size: int = ROUND) -> DataFrame:
@@ -339,10 +378,10 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, round_
         low, high = (number << bits) // rounds, ((number + 1) << bits) // rounds
         mine = left.filter((F.col("hash") >= low) & (F.col("hash") < high))
         wanted = np.sort(mine.toArrow()["hash"].to_numpy()).astype(np.uint64)
-        part = _count_round(rows, wanted, bits, longest, totals=number == 0)
+        parts = max(1, math.ceil(len(wanted) / PART_PHRASES))
+        part = _summed(_tables(rows, wanted, parts, bits, longest, totals=number == 0))
         counted = part if counted is None else counted.union(part)
-    summed = counted.groupBy("lang", "words", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"))
-    return summed.filter(((F.col("words") == 0) & (F.col("n") > 0)) | (F.col("n") >= least))
+    return counted.filter(((F.col("words") == 0) & (F.col("n") > 0)) | (F.col("n") >= least))
 
 
 def _part(first, number) -> F.Column:

@@ -225,7 +225,7 @@ def test_collocations_match_plain_counts(spark, monkeypatch, small, share):
     rows = _talk()
     if small:
         # Cuts inside pieces, many partitions, several blocks and rounds.
-        for name, value in (("BLOCK_WORDS", 7), ("_CHUNK", 5), ("PARTITION_BYTES", 500), ("KNOWN_WORDS", 4), ("HELD", 3)):
+        for name, value in (("BLOCK_WORDS", 7), ("_CHUNK", 5), ("PARTITION_BYTES", 500), ("KNOWN_WORDS", 4), ("HELD", 3), ("PART_PHRASES", 2)):
             monkeypatch.setattr(collocations, name, value)
         rows = [r for r in rows if not r[0] or len(r[0]) < 10_000]
     got = collocations.collocations(_speech(spark, rows), least=8, share=share).collect()
