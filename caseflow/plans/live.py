@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
-from caseflow.plans.base import num, plain, query
-from caseflow.plans.raw import MERGED, hash_sql, updates
+from caseflow.plans.base import CLAIMS, instant, num, plain, query
+from caseflow.plans.raw import MERGED, UPDATES, hash_sql, updates
 from caseflow.session import work_dir
 from caseflow.sources import store
 from caseflow.streaming import streams
@@ -81,3 +83,22 @@ def _(v):
     streams.upsert_stream(updates(_events(v)), root, "claims", f"{root}/first", order)
     streams.upsert_stream(updates(_events(v)), root, "claims", f"{root}/second", order)
     return streams.upserted(v.spark, root, "claims", order).select("claim_id", "status")
+
+
+@query(
+    "str5_append_during_compaction",
+    f"""WITH {CLAIMS}, {UPDATES}, last AS (SELECT claim_id, max_by(status, event_id) AS new_status, max_by(ts, event_id) AS at
+FROM updates GROUP BY claim_id) SELECT claims.claim_id, coalesce(new_status, status) AS status, {instant('at', 'updated_at')}
+FROM claims LEFT JOIN last ON claims.claim_id=last.claim_id""",
+)
+def _(v):
+    root, order = work_dir(v.spark, "str5"), ["ts", "event_id"]
+    store.save(v.claims.filter("NOT is_fraud"), root, "claims")
+    streams.upsert_stream(updates(_events(v)), root, "claims", f"{root}/first", order)
+    # Whichever of the two publishes first, no row and no change is lost.
+    with ThreadPoolExecutor(2) as pool:
+        compacted = pool.submit(streams.compact, v.spark, root, "claims", order)
+        appended = pool.submit(store.append, v.claims.filter("is_fraud"), root, "claims")
+        compacted.result(), appended.result()
+    streams.upsert_stream(updates(_events(v)), root, "claims", f"{root}/second", order)
+    return plain(streams.upserted(v.spark, root, "claims", order).select("claim_id", "status", "updated_at"))

@@ -120,42 +120,57 @@ def upsert_stream(
 
 
 def _pending(spark: SparkSession, root: str, table: str) -> dict[str, list[int]]:
-    """Finished batches by stream that the live snapshot does not count yet."""
-    live = store.snapshots(spark, root, table)
-    counted = store.positions(spark, root, table, live[-1]) if live else {}
+    """Finished batches by stream that the newest version does not count yet."""
+    counted = store.newest(spark, root, table)[1].positions
     found = store.change_batches(spark, root, table)
     return {stream: [n for n in batches if n > counted.get(stream, -1)] for stream, batches in found.items()}
 
 
-def _with_changes(spark: SparkSession, root: str, table: str, order: list[str], pending: dict[str, list[int]]) -> DataFrame:
-    base = store.load(spark, root, table)
+def _changes(spark: SparkSession, root: str, table: str, pending: dict[str, list[int]]) -> DataFrame | None:
     folder = store.changes_path(root, table)
     paths = [f"{folder}/stream={s}/batch={n}" for s, batches in pending.items() for n in batches]
-    if not paths:
-        return base
-    changes = spark.read.option("basePath", folder).parquet(*paths)
-    return audit.merge_status(base, changes, order)
+    return spark.read.option("basePath", folder).parquet(*paths) if paths else None
+
+
+def _apply(claims: DataFrame, changes: DataFrame, order: list[str]) -> DataFrame:
+    """Claims with their last change. ``updated_at`` is its time, the first timestamp in ``order``."""
+    times = [c for c in order if changes.schema[c].dataType.typeName().startswith("timestamp")]
+    if not times:
+        return audit.merge_status(claims, changes, order)
+    timed = changes.withColumn("_changed_at", F.col(times[0]).cast("timestamp"))
+    return audit.merge_status(claims, timed, order, at="_changed_at")
 
 
 def upserted(spark: SparkSession, root: str, table: str, order: list[str]) -> DataFrame:
-    """The table with all changes its live snapshot does not count yet; the last by ``order`` wins.
+    """The table with all changes its newest version does not count yet; the last by ``order`` wins.
 
-    ``order`` belongs to the changes, whichever stream or batch brought them. What a snapshot
+    ``order`` belongs to the changes, whichever stream or batch brought them. What a version
     counts has no order any more: a change that comes after it wins.
     """
-    return _with_changes(spark, root, table, order, _pending(spark, root, table))
+    base = store.load(spark, root, table)
+    changes = _changes(spark, root, table, _pending(spark, root, table))
+    return base if changes is None else _apply(base, changes, order)
 
 
-def compact(spark: SparkSession, root: str, table: str, order: list[str]) -> int:
-    """Fold the changes into a new snapshot of the table; returns its number.
+def compact(spark: SparkSession, root: str, table: str, order: list[str], attempts: int = 5) -> int:
+    """Fold the changes into a new version of the table; returns its number.
 
-    The claim of the snapshot names the batches it holds before anything is written, so changes that
-    arrive meanwhile stay pending, and a run that fails leaves table and changes as they were.
+    The version names the batches it holds, so changes that arrive meanwhile stay pending. Rows appended
+    meanwhile get the changes too. A run that fails leaves table and changes as they were; one that finds
+    the table replaced begins again, ``attempts`` times.
     """
-    live = store.snapshots(spark, root, table)
-    pending = _pending(spark, root, table)
-    if live and not any(pending.values()):
-        return live[-1]
-    counted = store.positions(spark, root, table, live[-1]) if live else {}
-    counted |= {stream: max(batches) for stream, batches in pending.items() if batches}
-    return store.save(_with_changes(spark, root, table, order, pending), root, table, counted=counted)
+    for attempt in range(attempts):
+        number, _ = store.newest(spark, root, table)
+        pending = _pending(spark, root, table)
+        changes = _changes(spark, root, table, pending)
+        if number >= 0 and changes is None:
+            return number
+        counted = {stream: max(batches) for stream, batches in pending.items() if batches}
+        try:
+            return store.rewrite(
+                spark, root, table, lambda rows: rows if changes is None else _apply(rows, changes, order), counted
+            )
+        except store.Conflict:
+            if attempt + 1 == attempts:
+                raise
+    raise ValueError("attempts must be positive")

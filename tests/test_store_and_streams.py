@@ -1,5 +1,7 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
+import pytest
 from pyspark.sql import functions as F
 
 from caseflow.operators import bronze, dashboards
@@ -146,10 +148,21 @@ def test_append_to_a_saved_table(spark, root):
 
 def test_a_number_is_never_used_twice(spark, root):
     store.save(spark.range(1), root, "t")
-    spark.range(9).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{root}/t/snapshot=1")
-    assert store._claim(spark, root, "t", {}) == 2
-    assert store.save(spark.range(2), root, "t") == 3
+    number, content = store.newest(spark, root, "t")
+    assert not store._publish(spark, root, "t", number, content)
+    assert store.save(spark.range(2), root, "t") == number + 1
     assert store.load(spark, root, "t").count() == 2
+    # Other file systems than the local one decide by a rename.
+    name = f"{root}/t/{store._LOG}/"
+    (_, taken), (_, free) = (store._folder(spark, name + f) for f in ("000000000000.json", "000000000002.json"))
+    for file, allowed in ((taken, False), (free, True)):
+        fs, draft = store._folder(spark, name + ".draft-x")
+        fs.create(draft, True).close()
+        if allowed:
+            store._rename_new(spark, draft, file)
+        else:
+            with pytest.raises(FileExistsError):
+                store._rename_new(spark, draft, file)
 
 
 def test_changes_after_several_saves(spark, root):
@@ -201,15 +214,138 @@ def test_a_failed_compaction_leaves_the_table(spark, root):
     store.save(spark.createDataFrame([(1, "old")], CLAIM), root, "claims")
     _land(spark, f"{root}/in", (1, 1, "changed", 0.0))
     _stream(spark, root)
-    # What a compaction leaves that dies while it writes: a claim, and files without _SUCCESS.
-    number = store._claim(spark, root, "claims", {s: max(b) for s, b in store.change_batches(spark, root, "claims").items()})
-    spark.createDataFrame([(1, "half")], CLAIM).write.option(
-        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false"
-    ).parquet(f"{root}/claims/snapshot={number}")
+    # What a compaction leaves that dies while it writes: files that no version lists.
+    spark.createDataFrame([(1, "half")], CLAIM).write.parquet(f"{root}/claims/parts/_store_part=half")
+    number = store.newest(spark, root, "claims")[0]
     assert _statuses(store.load(spark, root, "claims")) == {1: "old"}
     assert _statuses(streams.upserted(spark, root, "claims", ["ts"])) == {1: "changed"}
     assert streams.compact(spark, root, "claims", ["ts"]) == number + 1
     assert _statuses(store.load(spark, root, "claims")) == {1: "changed"}
+    store.prune(spark, root, "claims", keep=1, abandoned_hours=0)
+    assert store._children(spark, f"{root}/claims/parts") == [p.removeprefix("parts/") for p in store.newest(spark, root, "claims")[1].parts]
+    assert _statuses(store.load(spark, root, "claims")) == {1: "changed"}
+
+
+def _ids(spark, root, merge=False):
+    return sorted(r.id for r in store.load(spark, root, "t", merge).collect())
+
+
+class _Meanwhile:
+    """Lets another writer act between a writer's part and its version."""
+
+    def __init__(self, monkeypatch, action):
+        self.publish, self.action, self.done = store._publish, action, False
+        monkeypatch.setattr(store, "_publish", self)
+
+    def __call__(self, *args):
+        if not self.done:
+            self.done = True
+            self.action()
+        return self.publish(*args)
+
+
+def test_rows_appended_during_a_save_stay(spark, root, monkeypatch):
+    store.save(spark.range(3), root, "t")
+    _Meanwhile(monkeypatch, lambda: store.append(spark.range(10, 12), root, "t"))
+    store.save(spark.range(1), root, "t")
+    assert _ids(spark, root) == [0, 10, 11]
+
+
+def test_a_save_during_an_append_keeps_the_appended_rows(spark, root, monkeypatch):
+    store.save(spark.range(3), root, "t")
+    _Meanwhile(monkeypatch, lambda: store.save(spark.range(1), root, "t"))
+    store.append(spark.range(10, 12).withColumn("x", F.lit(1)), root, "t")
+    assert _ids(spark, root) == [0, 10, 11]
+    assert store.load(spark, root, "t").columns == ["id"] and store.load(spark, root, "t", merge=True).columns == ["id", "x"]
+
+
+def test_of_two_replacements_one_fails(spark, root, monkeypatch):
+    store.save(spark.range(3), root, "t")
+    old = store.newest(spark, root, "t")[0]
+    _Meanwhile(monkeypatch, lambda: store.save(spark.range(5), root, "t"))
+    with pytest.raises(store.Conflict):
+        store.save(spark.range(1), root, "t")
+    assert _ids(spark, root) == [0, 1, 2, 3, 4]
+    with pytest.raises(store.Conflict):
+        store.save(spark.range(1), root, "t", base=old)
+    # Rows appended since the version a plan was made from are no conflict.
+    base = store.newest(spark, root, "t")[0]
+    plan = store.load(spark, root, "t").filter("id > 2")
+    store.append(spark.range(7, 8), root, "t")
+    store.save(plan, root, "t", base=base)
+    assert _ids(spark, root) == [3, 4, 7]
+
+
+def test_many_writers_append_at_once(spark, root):
+    store.ensure(spark, root, "t", "id long")
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda i: store.append(spark.range(i, i + 1), root, "t"), range(18)))
+    assert _ids(spark, root) == list(range(18)) and store.snapshots(spark, root, "t") == list(range(19))
+
+
+def test_an_unfinished_append_is_invisible(spark, root):
+    store.save(spark.range(2), root, "t")
+    store._write(spark.range(5, 9), root, "t", ())
+    assert _ids(spark, root) == [0, 1]
+    store.append(spark.range(2, 3), root, "t")
+    assert _ids(spark, root) == [0, 1, 2]
+
+
+def test_a_column_keeps_its_type(spark, root):
+    store.save(spark.range(2), root, "t")
+    with pytest.raises(ValueError, match="id is bigint, not string"):
+        store.append(spark.createDataFrame([("x",)], "id string"), root, "t")
+    assert _ids(spark, root) == [0, 1]
+
+
+def test_partitioned_tables_and_plain_folders(spark, root):
+    rows = spark.range(6).withColumn("day", (F.col("id") % 3).cast("int")).withColumn("x", F.lit("a"))
+    store.append(rows, root, "t", partition_by=("day",))
+    store.append(rows.withColumn("id", F.col("id") + 10), root, "t")
+    df = store.load(spark, root, "t")
+    assert df.columns == ["id", "day", "x"] and df.filter("day = 1").count() == 4
+    assert "PartitionFilters: [isnotnull(day" in df.filter("day = 1")._jdf.queryExecution().toString()
+    # A folder that somebody else wrote becomes the first part.
+    spark.range(2).write.parquet(f"{root}/plain")
+    store.append(spark.range(2, 3), root, "plain")
+    assert sorted(r.id for r in store.load(spark, root, "plain").collect()) == [0, 1, 2]
+
+
+def test_rows_appended_during_a_compaction_are_kept_and_changed(spark, root, monkeypatch):
+    store.save(spark.createDataFrame([(1, "old"), (2, "old")], CLAIM), root, "claims")
+    _land(spark, f"{root}/in", (1, 1, "changed", 0.0), (3, 2, "early", 0.0))
+    assert _stream(spark, root) == {1: "changed", 2: "old"}
+
+    def late():
+        store.append(spark.createDataFrame([(3, "old"), (4, "old")], CLAIM), root, "claims")
+        # A batch that arrives now stays pending.
+        _land(spark, f"{root}/in", (4, 9, "later", 0.0))
+        _stream(spark, root)
+
+    _Meanwhile(monkeypatch, late)
+    streams.compact(spark, root, "claims", ["ts"])
+    assert _statuses(store.load(spark, root, "claims")) == {1: "changed", 2: "old", 3: "early", 4: "old"}
+    assert _statuses(streams.upserted(spark, root, "claims", ["ts"])) == {1: "changed", 2: "old", 3: "early", 4: "later"}
+
+
+def test_a_compaction_begins_again_after_a_save(spark, root, monkeypatch):
+    store.save(spark.createDataFrame([(1, "old")], CLAIM), root, "claims")
+    _land(spark, f"{root}/in", (1, 1, "changed", 0.0))
+    _stream(spark, root)
+    _Meanwhile(monkeypatch, lambda: store.save(spark.createDataFrame([(1, "replaced")], CLAIM), root, "claims"))
+    streams.compact(spark, root, "claims", ["ts"])
+    assert _statuses(store.load(spark, root, "claims")) == {1: "replaced"}
+
+
+def test_a_streamed_change_sets_the_time(spark, root):
+    rows = [(1, "old", T0), (2, "old", T0)]
+    store.save(spark.createDataFrame(rows, f"{CLAIM}, updated_at timestamp"), root, "claims")
+    _land(spark, f"{root}/in", (1, 3, "changed", 0.0), (1, 2, "earlier", 0.0))
+    _stream(spark, root)
+    expected = {1: T0 + dt.timedelta(hours=3), 2: T0}
+    assert {r.claim_id: r.updated_at for r in streams.upserted(spark, root, "claims", ["ts"]).collect()} == expected
+    streams.compact(spark, root, "claims", ["ts"])
+    assert {r.claim_id: r.updated_at for r in store.load(spark, root, "claims").collect()} == expected
 
 
 def test_record_hash_sees_every_change(spark):
