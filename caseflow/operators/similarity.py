@@ -12,7 +12,7 @@ Three exact ways, chosen by measured sizes, all with the same result:
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -308,8 +308,11 @@ def cosine_topk_approx(
     return ranking.top_per_key(_unfold(found, distinct, marked, k), ["query_id"], order, k, "position")
 
 
-def _block_join(routed: DataFrame, homes: DataFrame, k: int, block: int) -> DataFrame:
-    """Top k per query over the cells it was routed to, block by block.
+def _block_join(
+    routed: DataFrame, homes: DataFrame, k: int, block: int, read: Callable[[pd.Series], np.ndarray] | None = None
+) -> DataFrame:
+    """Top k per query over the cells it was routed to, block by block. ``read`` makes unit rows of the stored
+    ``embedding`` where that is not the vector itself.
 
     The stored vectors of a cell and its queries are both split into blocks of about ``block``
     rows, so no task holds a whole cell however many rows it has.
@@ -337,7 +340,7 @@ def _block_join(routed: DataFrame, homes: DataFrame, k: int, block: int) -> Data
             return pd.DataFrame({"query": [], "id": [], "score": []})
         found = vec.nearest(
             vec.unit(vec.matrix(asked["embedding"]), QUERY),
-            vec.unit(vec.matrix(block_rows["embedding"]), STORED),
+            read(block_rows["embedding"]) if read else vec.unit(vec.matrix(block_rows["embedding"]), STORED),
             block_rows["first_id"].to_numpy(),
             k,
         )
@@ -373,6 +376,11 @@ def similar_fraud(
         others = found.filter("query_id != claim_id").drop("position")
         order = [F.col("similarity_score").desc(), F.col("claim_id")]
         found = ranking.top_per_key(others, ["query_id"], order, k, "position")
+    return fraud_counts(found, vectors)
+
+
+def fraud_counts(found: DataFrame, vectors: DataFrame) -> DataFrame:
+    """How many of each query's neighbours are fraud, whichever search found them."""
     labels = vectors.select("claim_id", "is_fraud")
     return (
         found.join(labels, "claim_id")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from caseflow.operators import evaluate, investigate, model, silver, similarity
+from caseflow.operators import evaluate, investigate, model, silver, similarity, vector_index
 from caseflow.plans.base import AS_OF, CLAIMS, RISK, instant, num, plain, query
 from caseflow.plans.cases import PAIRS
 from caseflow.plans.quality_loop import report_sql
+from caseflow.session import work_dir
 
 
 def _vectors(v):
@@ -55,6 +56,15 @@ def _(v):
     return found.select("claim_id", (few.between(1, 5) & frauds.between(0, few)).alias("plausible"))
 
 
+@query("sim2_similar_fraud_index", None)
+def _(v):
+    # Nine of ten neighbours are the exact ones (tests/test_vector_index.py), so no SQL gives the same rows.
+    root = work_dir(v.spark, "sim2")
+    vector_index.build(_vectors(v), root, "claims")
+    found = vector_index.search(_vectors(v).select(F.col("claim_id").alias("query_id"), "embedding"), root, "claims", 5)
+    return similarity.fraud_counts(found, _vectors(v))
+
+
 @query(
     "sim2_similar_fraud_without_self",
     f"""WITH {PAIRS}, others AS (SELECT * FROM pairs WHERE query_id<>claim_id

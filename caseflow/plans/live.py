@@ -87,8 +87,8 @@ def _(v):
 
 @query(
     "str5_append_during_compaction",
-    f"""WITH {CLAIMS}, {UPDATES}, last AS (SELECT claim_id, max_by(status, event_id) AS new_status, max_by(ts, event_id) AS at
-FROM updates GROUP BY claim_id) SELECT claims.claim_id, coalesce(new_status, status) AS status, {instant('at', 'updated_at')}
+    f"""WITH {CLAIMS}, {UPDATES}, last AS (SELECT claim_id, max_by(status, event_id) AS new_status, max_by(ts, event_id) AS changed_at
+FROM updates GROUP BY claim_id) SELECT claims.claim_id, coalesce(new_status, status) AS status, {instant("changed_at", "updated_at")}
 FROM claims LEFT JOIN last ON claims.claim_id=last.claim_id""",
 )
 def _(v):

@@ -46,4 +46,5 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    # Approximate neighbours: recall is tested in test_vector_index.py.
+    assert set(QUERIES) - set(ORACLES) == {"sim2_similar_fraud_index"} and set(ORACLES) <= set(QUERIES)
