@@ -25,8 +25,7 @@ def _stamp(as_of):
 
 def claims_summary(df: DataFrame, as_of=None) -> DataFrame:
     """GLD-1: by type, provider, state and incident month."""
-    n, denied = F.col("total_claims"), F.col("denied_count")
-    return (
+    return summary_rates(
         df.groupBy("claim_type", "insurance_provider", "address_state", _month("incident_date").alias("incident_month"))
         .agg(
             F.count(F.lit(1)).alias("total_claims"),
@@ -38,15 +37,20 @@ def claims_summary(df: DataFrame, as_of=None) -> DataFrame:
             sum_where(_status("Approved"), "claim_amount").alias("approved_amount"),
             count_where(_status("Denied")).alias("denied_count"),
             F.avg("days_to_file").alias("avg_days_to_file"),
-        )
-        .withColumns(
-            {
-                "fraud_rate_pct": F.col("fraud_count") / n * 100,
-                "approval_rate_pct": (n - denied) / n * 100,
-                "avg_approved_amount": F.col("approved_amount") / F.greatest(n - denied, F.lit(1)),
-                "created_at": _stamp(as_of),
-            }
-        )
+        ),
+        as_of,
+    )
+
+
+def summary_rates(sums: DataFrame, as_of=None) -> DataFrame:
+    n, denied = F.col("total_claims"), F.col("denied_count")
+    return sums.withColumns(
+        {
+            "fraud_rate_pct": F.col("fraud_count") / n * 100,
+            "approval_rate_pct": (n - denied) / n * 100,
+            "avg_approved_amount": F.col("approved_amount") / F.greatest(n - denied, F.lit(1)),
+            "created_at": _stamp(as_of),
+        }
     )
 
 
@@ -97,9 +101,8 @@ def claimant_profiles(df: DataFrame, claimants: DataFrame | None = None, as_of=N
     With ``claimants`` (claimant_id, full_name, address_state) the name and state are joined to the
     finished profiles, one row per claimant; without, they come from the claims.
     """
-    n, days = F.col("lifetime_claims"), F.col("days_active")
     attributes = ["full_name", "address_state"]
-    profiles = (
+    profiles = profile_tiers(
         df.groupBy("claimant_id", *([] if claimants is not None else attributes))
         .agg(
             F.count(F.lit(1)).alias("lifetime_claims"),
@@ -113,8 +116,19 @@ def claimant_profiles(df: DataFrame, claimants: DataFrame | None = None, as_of=N
             F.size(F.collect_set("insurance_provider")).cast("long").alias("unique_providers"),
             F.size(F.collect_set("claim_type")).cast("long").alias("unique_claim_types"),
             F.avg("days_to_file").alias("avg_filing_delay"),
-        )
-        .withColumn("fraud_rate", F.col("fraud_claims_count") / n)
+        ),
+        as_of,
+    )
+    if claimants is None:
+        return profiles
+    named = profiles.join(claimants.select("claimant_id", *attributes), "claimant_id", "left")
+    return named.select("claimant_id", *attributes, *[c for c in profiles.columns if c != "claimant_id"])
+
+
+def profile_tiers(sums: DataFrame, as_of=None) -> DataFrame:
+    n, days = F.col("lifetime_claims"), F.col("days_active")
+    return (
+        sums.withColumn("fraud_rate", F.col("fraud_claims_count") / n)
         .withColumn("days_active", F.datediff("last_claim_date", "first_claim_date"))
         .withColumn("claims_per_year", n / F.when(days > 0, days / 365).otherwise(1.0))
         .withColumn(
@@ -126,16 +140,11 @@ def claimant_profiles(df: DataFrame, claimants: DataFrame | None = None, as_of=N
         )
         .withColumn("profile_updated_at", _stamp(as_of))
     )
-    if claimants is None:
-        return profiles
-    named = profiles.join(claimants.select("claimant_id", *attributes), "claimant_id", "left")
-    return named.select("claimant_id", *attributes, *[c for c in profiles.columns if c != "claimant_id"])
 
 
 def provider_metrics(df: DataFrame, as_of=None) -> DataFrame:
     """GLD-4: exposure, losses and rates per provider and quarter."""
-    n = F.col("total_claims")
-    return (
+    return provider_rates(
         df.groupBy("insurance_provider", F.date_trunc("quarter", "incident_date").cast("date").alias("quarter"))
         .agg(
             F.count(F.lit(1)).alias("total_claims"),
@@ -147,16 +156,21 @@ def provider_metrics(df: DataFrame, as_of=None) -> DataFrame:
             count_where(_status("Denied")).alias("denied_count"),
             F.avg("days_to_file").alias("avg_processing_time"),
             F.countDistinct("claimant_id").alias("unique_claimants"),
-        )
-        .withColumns(
-            {
-                "fraud_rate_pct": F.col("fraud_count") / n * 100,
-                "fraud_loss_ratio": ratio(F.col("fraud_losses"), F.col("total_exposure")),
-                "approval_rate_pct": F.col("approved_count") / n * 100,
-                "claims_per_claimant": ratio(n, F.col("unique_claimants")),
-                "metrics_date": _stamp(as_of),
-            }
-        )
+        ),
+        as_of,
+    )
+
+
+def provider_rates(sums: DataFrame, as_of=None) -> DataFrame:
+    n = F.col("total_claims")
+    return sums.withColumns(
+        {
+            "fraud_rate_pct": F.col("fraud_count") / n * 100,
+            "fraud_loss_ratio": ratio(F.col("fraud_losses"), F.col("total_exposure")),
+            "approval_rate_pct": F.col("approved_count") / n * 100,
+            "claims_per_claimant": ratio(n, F.col("unique_claimants")),
+            "metrics_date": _stamp(as_of),
+        }
     )
 
 
@@ -165,8 +179,7 @@ def weekly_series(df: DataFrame, as_of=None) -> DataFrame:
 
     The window runs over the aggregate, one row per week and type.
     """
-    recent = Window.partitionBy("claim_type").orderBy("incident_week").rowsBetween(-3, 0)
-    return (
+    return weekly_rates(
         df.groupBy(F.date_trunc("week", "incident_date").cast("date").alias("incident_week"), "claim_type")
         .agg(
             F.count(F.lit(1)).alias("claims_count"),
@@ -174,15 +187,20 @@ def weekly_series(df: DataFrame, as_of=None) -> DataFrame:
             F.avg("claim_amount").alias("avg_amount"),
             count_where(FRAUD).alias("fraud_count"),
             count_where(_status("Approved")).alias("approved_count"),
-        )
-        .withColumns(
-            {
-                "claims_4week_avg": F.avg("claims_count").over(recent),
-                "amount_4week_avg": F.avg("total_amount").over(recent),
-                "fraud_rate_pct": F.col("fraud_count") / F.col("claims_count") * 100,
-                "created_at": _stamp(as_of),
-            }
-        )
+        ),
+        as_of,
+    )
+
+
+def weekly_rates(sums: DataFrame, as_of=None) -> DataFrame:
+    recent = Window.partitionBy("claim_type").orderBy("incident_week").rowsBetween(-3, 0)
+    return sums.withColumns(
+        {
+            "claims_4week_avg": F.avg("claims_count").over(recent),
+            "amount_4week_avg": F.avg("total_amount").over(recent),
+            "fraud_rate_pct": F.col("fraud_count") / F.col("claims_count") * 100,
+            "created_at": _stamp(as_of),
+        }
     )
 
 

@@ -33,7 +33,7 @@ SAMPLE, ROUNDS = 16_384, 8
 LIST_ROWS = 100_000
 #: A query is compared with the codes of about FACTOR * rows ** POWER vectors. Vectors without any structure
 #: need that many for nine of their ten nearest; clustered ones need far fewer.
-FACTOR, POWER = 1.8, 0.86
+FACTOR, POWER = 1.5, 0.89
 
 
 def reach(rows: int, factor: float = FACTOR, power: float = POWER) -> int:

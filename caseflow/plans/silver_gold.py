@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseflow.operators import gold, investigate, quality, silver
+from caseflow.operators import gold, incremental, investigate, quality, silver
 from caseflow.functions.features import weather_summary
 from caseflow.plans.base import (
+    ORACLES,
     AS_OF,
     CLAIMANTS,
     CLAIMS,
@@ -22,6 +23,8 @@ from caseflow.plans.base import (
     plain,
     query,
 )
+from caseflow.session import work_dir
+from caseflow.sources import store
 
 ENRICHED_SQL = f"""WITH {ENRICHED} SELECT claim_id, policy_id, claimant_id, claim_type, {day('incident_date')},
 {day('filing_date')}, {num('claim_amount')}, description, diagnosis_code, procedure_code, status, is_fraud,
@@ -302,6 +305,44 @@ def _(v):
     return plain(gold.weekly_series(v.claims, AS_OF))
 
 
+def _in_batches(v, claims, name, table):
+    """A gold table made in two batches, the second one given twice, with its states folded in between."""
+    root = work_dir(v.spark, name)
+    for number, rest in ((0, 0), (1, 1), (1, 1)):
+        incremental.add(claims.filter(F.col("claim_id") % 2 == rest), root, name, table, ("feed", number))
+        if number == 0:
+            incremental.fold(v.spark, root, name, table)
+    return plain(incremental.current(v.spark, root, name, table, AS_OF))
+
+
+@query("gld1_incremental", f"{SUMMARY} SELECT *, {STAMP.format('created_at')} FROM summary")
+def _(v):
+    return _in_batches(v, v.dated, "summary", incremental.claims_summary())
+
+
+@query("gld2_incremental", f"WITH {ALERTS} SELECT *, {STAMP.format('alert_timestamp')} FROM alerts")
+def _(v):
+    root = work_dir(v.spark, "alerts")
+    for number, rest in ((0, 0), (1, 1), (1, 1)):
+        incremental.add_alerts(v.silver.filter(F.col("claim_id") % 2 == rest), root, "alerts", ("feed", number), AS_OF)
+    return plain(store.load(v.spark, root, "alerts"))
+
+
+@query("gld3_incremental", ORACLES["gld3_claimant_profiles"])
+def _(v):
+    return _in_batches(v, v.dated, "profiles", incremental.claimant_profiles())
+
+
+@query("gld4_incremental", f"WITH {PROVIDERS} SELECT *, {STAMP.format('metrics_date')} FROM providers")
+def _(v):
+    return _in_batches(v, v.dated, "providers", incremental.provider_metrics())
+
+
+@query("gld5_incremental", f"WITH {WEEKS} SELECT *, {STAMP.format('created_at')} FROM weeks")
+def _(v):
+    return _in_batches(v, v.claims, "weeks", incremental.weekly_series())
+
+
 @query(
     "gld6_alert_priorities",
     f"WITH {ALERTS} SELECT alert_priority, count(*) AS row_count FROM alerts GROUP BY alert_priority",

@@ -19,6 +19,9 @@ SETTINGS = {
     # Generated methods above this size are never compiled to machine code by the JVM; Spark
     # then runs the operators of that stage one by one, which is much faster.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # State of streams on the executors' disks instead of their heap; checkpoints get what changed.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 # Can only be set when the session is created.

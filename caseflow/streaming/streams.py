@@ -1,7 +1,10 @@
 """Structured Streaming versions of the ingest, aggregate and merge jobs (STR-*).
 
 Every job runs with ``availableNow``: it takes what has arrived since the last run, keeps its
-position and state in the checkpoint folder, and stops.
+position and state in the checkpoint folder, and stops. State lies in RocksDB on the executors' disks, and
+its changes in the checkpoint folder: memory does not grow with the number of keys, a restart goes on where
+the last run stopped. Per key, STR-2 keeps the key and its time for as long as ``delay``; STR-3 one sum and count per
+open window and kind; STR-4 one row per open hour and per open window, however many rows there are.
 """
 
 from __future__ import annotations
@@ -73,15 +76,28 @@ def windowed_counts(
 
 
 def rolling_monitor(df: DataFrame, ts: str, value: str, error, delay: str) -> DataFrame:
-    """STR-4: 24-hour windows every hour with count, average and number of errors."""
-    return (
+    """STR-4: 24-hour windows every hour with count, average and number of errors.
+
+    Rows are added up in panes of one hour, which the state keeps; a closed pane, not its rows, goes to the 24
+    windows that hold it. A window is given out once it is closed.
+    """
+    panes = (
         with_event_time(df, ts)
         .withWatermark(ts, delay)
-        .groupBy(F.window(ts, "24 hours", "1 hour"))
+        .groupBy(F.window(ts, "1 hour"))
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.sum(value).alias("total"),
+            F.count(value).alias("values"),
+            count_where(error).alias("errors"),
+        )
+    )
+    return (
+        panes.groupBy(F.window(F.window_time("window"), "24 hours", "1 hour"))
         .agg(
-            F.count(F.lit(1)).alias("row_count"),
-            F.avg(value).alias("avg_value"),
-            count_where(error).alias("error_count"),
+            F.sum("rows").alias("row_count"),
+            F.try_divide(F.sum("total"), F.sum("values")).alias("avg_value"),
+            F.sum("errors").alias("error_count"),
         )
         .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "row_count", "avg_value", "error_count")
     )

@@ -360,3 +360,44 @@ def test_record_hash_sees_every_change(spark):
     assert diff((1.0, "a|b", "c"), (1.0, "a", "b|c")) == "update"
     assert diff((1.0, "a||b", "c"), (1.0, "a", "b||c")) == "update"
     assert diff((1.0, "-", "c"), (1.0, None, "c")) == "update" and diff((1.0, "", "c"), (1.0, None, "c")) == "update"
+
+
+def test_panes_are_spread_not_rows(spark, root):
+    rows = spark.createDataFrame([(1, T0, "a", 1.0)], SCHEMA)
+    plan = streams.rolling_monitor(rows, "ts", "value", F.col("status") == "error", "1 hour")._jdf.queryExecution().optimizedPlan().toString()
+    # Top down: the windows, the copies, the panes, the rows.
+    spread, panes = plan.index("Expand"), plan.rindex("Aggregate")
+    assert plan.index("Aggregate") < spread < panes and plan.count("Expand") == 1
+
+
+def test_rolling_windows_over_runs_and_late_rows(spark, root):
+    def run():
+        stream = streams.rolling_monitor(streams.read_files(spark, f"{root}/in", SCHEMA), "ts", "value", F.col("status") == "error", "1 hour")
+        streams.run_to_files(stream, f"{root}/out", f"{root}/cp")
+        rows = spark.read.schema(stream.schema).parquet(f"{root}/out").collect()
+        return {(r.window_start - T0) // dt.timedelta(hours=1): (r.row_count, r.avg_value, r.error_count) for r in rows}
+
+    def expected(rows, closed):
+        out = {}
+        for start in range(-23, closed - 24 + 1):
+            mine = [(s, v) for h, s, v in rows if start <= h < start + 24]
+            if mine:
+                values = [v for _, v in mine if v is not None]
+                out[start] = (len(mine), sum(values) / len(values) if values else None, sum(s == "error" for s, _ in mine))
+        return out
+
+    first = [(1, "a", 1.0), (1, "error", 4.0), (3, "a", None), (30, "error", 2.0)]
+    _land(spark, f"{root}/in", *[(i, *r) for i, r in enumerate(first)])
+    assert run() == expected(first, 29)
+    # Hour 28 closed with the first run, hour 29 is open still; the state of open panes and windows was kept.
+    later = [(29.5, "a", 8.0), (80, "a", 1.0)]
+    _land(spark, f"{root}/in", (7, 28, "a", 100.0), *[(i, *r) for i, r in enumerate(later)])
+    assert run() == expected([*first, *later], 79)
+
+
+def test_state_lies_in_rocksdb(spark, root):
+    _land(spark, f"{root}/in", (1, 1, "a", 1.0))
+    stream = streams.dedupe_stream(streams.read_files(spark, f"{root}/in", SCHEMA), ["claim_id"], "ts", "10 days")
+    streams.run_to_files(stream, f"{root}/out", f"{root}/cp")
+    files = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/cp/state").select("path").collect()]
+    assert any(f.endswith((".changelog", ".zip")) for f in files) and not any(f.endswith(".delta") for f in files)
