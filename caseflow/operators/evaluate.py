@@ -37,9 +37,14 @@ def normalise_feedback(raw: DataFrame) -> DataFrame:
     )
 
 
+def since_days(days: int, as_of):
+    """Midnight ``days`` days before ``as_of``."""
+    return F.date_sub(_time(as_of).cast("date"), days).cast("timestamp")
+
+
 def feedback_summary(feedback: DataFrame, days: int, as_of) -> DataFrame:
     """EVL-2: by recommendation, since midnight ``days`` days before ``as_of``."""
-    start = F.date_sub(_time(as_of).cast("date"), days).cast("timestamp")
+    start = since_days(days, as_of)
     correct = count_where(F.col("recommendation_correct"))
     n = F.count(F.lit(1))
     return (

@@ -216,24 +216,32 @@ def history_before(df: DataFrame) -> DataFrame:
     up per claimant and day first, so a claimant of any size is as many rows as days. Without
     claimant or filing date there is no history: NULL. No earlier claim: counts and sum are 0.
     """
+    known = df.filter(F.col("claimant_id").isNotNull() & F.col("filing_date").isNotNull())
+    who, day = F.col("claimant_id").alias("_who"), F.col("filing_date").alias("_day")
+    # A provider counts on the day the claimant first has a claim with it, so running sums count providers.
+    first_seen = (
+        known.filter(F.col("insurance_provider").isNotNull())
+        .groupBy(who, "insurance_provider")
+        .agg(F.min("filing_date").alias("_day"))
+        .groupBy("_who", "_day")
+        .agg(F.count(F.lit(1)).alias("_new"))
+    )
     daily = (
-        df.filter(F.col("claimant_id").isNotNull() & F.col("filing_date").isNotNull())
-        .groupBy(F.col("claimant_id").alias("_who"), F.col("filing_date").alias("_day"))
+        known.groupBy(who, day)
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.sum("claim_amount").alias("_sum"),
             F.count("claim_amount").alias("_amounts"),
             F.max("claim_amount").alias("_max"),
             count_where(F.col("is_fraud")).alias("_frauds"),
-            F.collect_set("insurance_provider").alias("_set"),
         )
+        .join(first_seen, ["_who", "_day"], "left")
     )
     earlier = Window.partitionBy("_who").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
 
     def added(column):
         return F.coalesce(F.sum(column).over(earlier), F.lit(0))
 
-    seen = F.array_distinct(F.flatten(F.collect_list("_set").over(earlier)))
     before = daily.select(
         "_who",
         "_day",
@@ -242,7 +250,7 @@ def history_before(df: DataFrame) -> DataFrame:
         ratio(F.sum("_sum").over(earlier), F.sum("_amounts").over(earlier)).alias("avg_claim_amount"),
         F.max("_max").over(earlier).alias("max_claim_amount"),
         added("_frauds").alias("prior_fraud_count"),
-        F.size(seen).cast("long").alias("provider_count"),
+        added("_new").alias("provider_count"),
     )
     same = (F.col("claimant_id") == F.col("_who")) & (F.col("filing_date") == F.col("_day"))
     return df.join(before, same, "left").drop("_who", "_day")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseflow.operators import adjudicate, audit, investigate, similarity
+from caseflow.operators import adjudicate, audit, investigate, similarity, text_index
 from caseflow.plans.base import (
     AS_OF,
     CLAIMS,
@@ -14,6 +14,7 @@ from caseflow.plans.base import (
     POLICIES,
     RISK,
     MIXED_VOTES,
+    ORACLES,
     VOTES,
     cents,
     day,
@@ -23,6 +24,7 @@ from caseflow.plans.base import (
     query,
     rounded,
 )
+from caseflow.session import work_dir
 
 
 @query(
@@ -174,6 +176,14 @@ def _(v):
     return plain(found.select("doc_id", "matched_words", "similarity_score"))
 
 
+@query("inv6_keyword_search_indexed", ORACLES["inv6_keyword_search_documents"])
+def _(v):
+    root, documents = work_dir(v.spark, "inv6"), v.table("documents")
+    text_index.build(documents, root, "documents", "doc_id", F.col("text"))
+    found = text_index.keyword_search(documents, root, "documents", "the eau ing", k=20, column="text", key="doc_id")
+    return plain(found.select("doc_id", "matched_words", "similarity_score"))
+
+
 def _similar(v):
     vectors = v.table("embeddings").select(
         F.col("vec_id").alias("claim_id"), "embedding", (F.col("label") == 0).alias("is_fraud")
@@ -366,12 +376,12 @@ CASE WHEN policy_found THEN 3 ELSE 0 END AS json_checks, {num(cents('claim_amoun
 CASE WHEN urgent OR claim_type IN ('Health','Workers Comp') THEN procedure_code END AS json_procedure, status AS json_status FROM decisions"""
 
 
-def _log(decided):
+def _log(decided, similar=False):
     log = adjudicate.investigation_log(decided, AS_OF)
     record = F.from_json(
         "investigation_json",
         "claim_data struct<claim_type:string,status:string>, agent_responses array<struct<agent:string,recommendation:string,"
-        "analysis:struct<fraud_risk_score:double,claimant_history:struct<total_claims:bigint>,"
+        "analysis:struct<fraud_risk_score:double,similar_fraud_count:bigint,total_similar_claims:bigint,claimant_history:struct<total_claims:bigint>,"
         "validations:array<struct<check:string>>,recommended_reserve:double,procedure:struct<code:string>>>>",
     )
 
@@ -391,6 +401,14 @@ def _log(decided):
                 "json_checks": F.size(answer["legal"]["analysis"]["validations"]),
                 "json_reserve": answer["financial"]["analysis"]["recommended_reserve"],
                 "json_procedure": answer["medical"]["analysis"]["procedure"]["code"],
+                **(
+                    {
+                        "json_similar_fraud": answer["fraud"]["analysis"]["similar_fraud_count"],
+                        "json_similar": answer["fraud"]["analysis"]["total_similar_claims"],
+                    }
+                    if similar
+                    else {}
+                ),
             }
         )
         .drop("investigation_json", "_record")
@@ -407,6 +425,15 @@ def _(v):
     return _log(adjudicate.decide(adjudicate.reviewed(v.cases, _priority())))
 
 
+@query(
+    "adj7_log_with_similar_claims",
+    f"""WITH {VOTES}, {PAIRS}, log AS ({LOG}) SELECT log.*, coalesce(similar_fraud_count, 0) AS json_similar_fraud,
+coalesce(total_similar_claims, 0) AS json_similar FROM log LEFT JOIN similar_claims USING (claim_id)""",
+)
+def _(v):
+    return _log(adjudicate.decide(adjudicate.reviewed(v.cases, similar=_similar(v))), similar=True)
+
+
 # Every claim asks for a status by its present one; fraud claims ask again an hour later;
 # liability claims ask under an id that does not exist.
 REQUESTS = f"""{CLAIMS}, requests AS (

@@ -218,6 +218,27 @@ def _(v):
     return listed.select("feature", share.between(0, 1).alias("in_range"), (F.abs(total - 1) < 1e-9).alias("adds_up"))
 
 
+# The values themselves, which differ between engines and so have no SQL.
+
+
+@query("ml3_metric_values", None)
+def _(v):
+    predictions = model.cut_lineage(_test_predictions(v))
+    scores = [model.binary_metrics(predictions), model.ranking_metrics(predictions)]
+    listed = [s.unpivot([], s.columns, "metric", "value") for s in scores]
+    return listed[0].unionByName(listed[1])
+
+
+@query("ml4_probabilities", None)
+def _(v):
+    return _test_predictions(v).select("claim_id", "actual_fraud", "predicted_fraud", "fraud_probability", "prediction_correct")
+
+
+@query("ml9_importances", None)
+def _(v):
+    return model.importances(_Fitted.of(v)[0], v.spark).select("feature", "importance")
+
+
 # The rule score stands in for a probability: it is the same in every engine.
 SCORED = f"""{RISK}, scored AS (SELECT claim_id, CAST(is_fraud AS INT) AS actual_fraud, CAST(fraud_risk_score>0.3 AS INT) AS predicted_fraud,
 fraud_risk_score AS fraud_probability FROM risk)"""

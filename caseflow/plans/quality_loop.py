@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseflow.operators import adjudicate, audit, dashboards, evaluate
+from caseflow.operators import adjudicate, audit, dashboards, evaluate, text_index
 from caseflow.plans.base import (
     AS_OF,
     CLAIMS,
     ENRICHED,
     FEEDBACK,
+    ORACLES,
     SILVER,
     VOTES,
     cents,
@@ -198,6 +199,25 @@ def _(v):
     return plain(evaluate.monitor_feedback(_feedback(v), MONITORED))
 
 
+def _feedback_log(v):
+    # The test tables hold a few rows a day.
+    root = work_dir(v.spark, "feedback")
+    store.append_log(_feedback(v), root, "feedback", "feedback_timestamp", "year")
+    return root
+
+
+@query("evl2_feedback_summary_from_log", ORACLES["evl2_feedback_summary"])
+def _(v):
+    rows = store.load_log(v.spark, _feedback_log(v), "feedback", "feedback_timestamp", evaluate.since_days(30, AS_OF), "year")
+    return plain(evaluate.feedback_summary(rows, 30, AS_OF))
+
+
+@query("evl10_monitor_feedback_from_log", ORACLES["evl10_monitor_feedback"])
+def _(v):
+    rows = store.load_log(v.spark, _feedback_log(v), "feedback", "feedback_timestamp", evaluate.since_days(1, MONITORED), "year")
+    return plain(evaluate.monitor_feedback(rows, MONITORED))
+
+
 KPIS = f"""{CLAIMS}, kpis AS (SELECT count(*) AS total_claims, sum(claim_amount) AS total_amount, avg(claim_amount) AS avg_amount,
 count(*) FILTER (WHERE is_fraud) AS fraud_count, sum(CASE WHEN is_fraud THEN claim_amount ELSE 0 END) AS fraud_amount,
 count(*) FILTER (WHERE status='Approved') AS approved_count, count(*) FILTER (WHERE status='Denied') AS denied_count,
@@ -252,6 +272,13 @@ def _(v):
     return dashboards.text_search(v.table("documents"), "The ON").select("doc_id", "lang", "n_chars")
 
 
+@query("dsh3_text_search_indexed", ORACLES["dsh3_text_search_documents"])
+def _(v):
+    root, documents = work_dir(v.spark, "dsh3"), v.table("documents")
+    text_index.build(documents, root, "documents", "doc_id")
+    return text_index.text_search(documents, root, "documents", "The ON", "doc_id").select("doc_id", "lang", "n_chars")
+
+
 @query(
     "dsh4_high_risk",
     f"""WITH {SILVER}, top AS (SELECT * FROM silver WHERE rapid_filing=1 OR claim_to_limit_ratio>0.8 OR has_prior_fraud=1
@@ -321,6 +348,22 @@ def _(v):
     return plain(newest.select("audit_id", "claim_id", "new_status", "update_timestamp"))
 
 
+@query("dsh9_recent_audit_from_log", ORACLES["dsh9_recent_audit"])
+def _(v):
+    root = work_dir(v.spark, "audit")
+    store.append_log(audit.apply_status(v.claims, requests(v))[1], root, "audit", "update_timestamp", "year")
+    newest = dashboards.recent(store.load_newest(v.spark, root, "audit", 50), "update_timestamp", 50, "audit_id")
+    return plain(newest.select("audit_id", "claim_id", "new_status", "update_timestamp"))
+
+
+@query("dsh8_recent_notes_from_log", ORACLES["dsh8_recent_notes"])
+def _(v):
+    root = work_dir(v.spark, "notes")
+    store.append_log(audit.add_notes(notes(v), AS_OF)[0], root, "notes", "created_timestamp")
+    live = store.load_newest(v.spark, root, "notes", 50, ~F.col("is_deleted"))
+    return plain(dashboards.recent(live, "created_timestamp", 50, "note_id"))
+
+
 @query(
     "dsh10_status_split",
     f"""WITH {KPIS} SELECT 'status' AS chart, 'Approved' AS category, approved_count AS claim_count FROM kpis

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from caseflow.operators import audit, bronze, evaluate, quality, ranking, silver
 from caseflow.plans.base import (
     AS_OF,
+    ORACLES,
     CLAIMANTS,
     CLAIMS,
     ENRICHED,
@@ -227,6 +228,15 @@ def _(v):
     return bronze.cdc_diff(old, new, "claim_id")
 
 
+@query("brz3_cdc_diff_by_digests", ORACLES["brz3_cdc_diff"])
+def _(v):
+    root = work_dir(v.spark, "brz3")
+    bronze.keep_snapshot(v.claims.filter("incident_date < DATE '2001-01-01'"), root, "claims", "claim_id", 64)
+    moved = F.when(F.col("status") == "Submitted", "Under Review").otherwise(F.col("status"))
+    new = v.claims.filter("status <> 'Closed'").withColumn("status", moved)
+    return bronze.cdc_diff_stored(new, root, "claims", "claim_id", 64)
+
+
 CLAIM_COLUMNS = (
     "claim_id policy_id claimant_id claim_type incident_date filing_date claim_amount description "
     "diagnosis_code procedure_code status is_fraud"
