@@ -271,3 +271,19 @@ def test_probabilities_of_the_next_word_add_up(spark, monkeypatch):
         shared[hmm.ending_class(word)] += (n + 0.1) / vocab.class_mass[hmm.ending_class(word)]
     for c, share in shared.items():
         assert share + 0.1 / vocab.class_mass[c] == pytest.approx(1.0)
+
+
+def test_scores_do_not_depend_on_what_the_worker_scored_before(spark):
+    # Corpora with equal numbers of words and texts, whose words differ.
+    def texts(words):
+        return spark.createDataFrame([(i, " ".join(words[(i + j) % 4] for j in range(6))) for i in range(12)], "doc_id long, text string").coalesce(1)
+
+    def scored(df):
+        return {r.doc_id: (r.score, r.base_score) for r in hmm.score(df).collect()}
+
+    first, second = texts(["aa", "bb", "cc", "dd"]), texts(["ww", "xx", "yy", "zz"])
+    scored(first)
+    after = scored(second)
+    assert all(score < 0 and base < 0 for score, base in after.values())
+    # The words are other names for the same thing, so the same scores.
+    assert {i: tuple(round(x, 6) for x in v)[1] for i, v in after.items()} == {i: tuple(round(x, 6) for x in v)[1] for i, v in scored(first).items()}
