@@ -220,11 +220,11 @@ def summaries(rows: DataFrame, partitions: int, bits: int, longest: int) -> Data
     return rows.mapInArrow(run, SUMMARIES)
 
 
-def survivors(found: DataFrame, least: int) -> DataFrame:
+def survivors(found: DataFrame, least: int, partitions: int) -> DataFrame:
     """Hashes that may belong to a run with ``least`` occurrences: all that do, and a few others.
 
-    The summaries of a hash partition stream through one task in order, the masses first; what is held is
-    a few times the capacity.
+    The summaries of a hash partition stream through a task of their own in order, the masses first; what is
+    held is a few times the capacity.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +257,7 @@ def survivors(found: DataFrame, least: int) -> DataFrame:
         if part is not None:
             yield done()
 
-    return found.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, "hash long")
+    return found.repartitionById(partitions, "part").sortWithinPartitions("part", "kind").mapInArrow(run, "hash long")
 
 
 def _count(block: Block, wanted: np.ndarray, near: np.ndarray, bits: int, longest: int, into: dict) -> None:
@@ -331,7 +331,7 @@ def _tables(rows: DataFrame, wanted: np.ndarray, parts: int, bits: int, longest:
     return rows.mapInArrow(run, TABLES)
 
 
-def _summed(tables: DataFrame) -> DataFrame:
+def _summed(tables: DataFrame, parts: int) -> DataFrame:
     """The tables of each part added up; a task holds the phrases of one part. See ``COUNTS``."""
     names = [part.split()[0] for part in COUNTS.split(", ")]
     types = [pa.string(), pa.int32(), pa.string(), pa.int64()]
@@ -354,7 +354,7 @@ def _summed(tables: DataFrame) -> DataFrame:
                     held[lang, phrase] += n
         yield done()
 
-    return tables.repartition("part").sortWithinPartitions("part").mapInArrow(run, COUNTS)
+    return tables.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(run, COUNTS)
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, round_size: int = ROUND) -> DataFrame:
@@ -371,7 +371,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, round_
     partitions = min(MOST_PARTITIONS, max(1, math.ceil(size / PARTITION_BYTES)))
     # Wide enough that few of the different runs share a hash.
     bits = min(60, max(40, math.ceil(math.log2(size + 1)) + 12))
-    left = stored(survivors(summaries(rows, partitions, bits, longest), least), "survivors")
+    left = stored(survivors(summaries(rows, partitions, bits, longest), least, partitions), "survivors")
     rounds = max(1, math.ceil(left.count() / round_size))
     counted = None
     for number in range(rounds):
@@ -379,7 +379,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, round_
         mine = left.filter((F.col("hash") >= low) & (F.col("hash") < high))
         wanted = np.sort(mine.toArrow()["hash"].to_numpy()).astype(np.uint64)
         parts = max(1, math.ceil(len(wanted) / PART_PHRASES))
-        part = _summed(_tables(rows, wanted, parts, bits, longest, totals=number == 0))
+        part = _summed(_tables(rows, wanted, parts, bits, longest, totals=number == 0), parts)
         counted = part if counted is None else counted.union(part)
     return counted.filter(((F.col("words") == 0) & (F.col("n") > 0)) | (F.col("n") >= least))
 
