@@ -23,7 +23,8 @@ gld3_claimant_profiles gld4_provider_metrics gld5_weekly_series inv2_rule_risk i
 inv5_payment_history adj6_vote adj7_investigation_log wrt1_status_audit snk5_merge_status evl4_class_report
 evl8_assign_variant dsh1_kpis dsh6_factor_rates sim1_cosine_topk sim2_similar_fraud ml2_stratified_split
 ml8_curves str3_weekly_windows str5_streaming_upsert j10_all_vectors_by_cells sim4_text_vectors inv6_keyword_search_documents
-sim2_similar_fraud_approx slv6_history_point_in_time ml3_train_and_test
+sim2_similar_fraud_approx slv6_history_point_in_time ml3_train_and_test str4_rolling_monitor gld3_incremental
+brz3_cdc_diff_by_digests inv6_keyword_search_indexed sim2_similar_fraud_index
 """.split()
 
 
