@@ -327,7 +327,7 @@ def test_live_values_are_found_whatever_stands_around_them(spark):
 def test_oracles(spark, name):
     folder = "/root/testdata/sf0.01"  # the smallest documents hold no secret
     duck = duckdb.connect()
-    for view in ("documents", "pages", "embeddings", "conversations"):
+    for view in ("documents", "pages", "embeddings", "conversations", "benchmark"):
         duck.execute(f"CREATE VIEW {view} AS SELECT * FROM '{folder}/{view}.parquet'")
     cursor = duck.execute(queries.ORACLES[name])
     names = [d[0] for d in cursor.description]
