@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.features import count_where, flag, ratio
 from caseflow.operators import ranking
-from caseflow.sources import dims
+from caseflow.sources import dims, store
 
 CLAIM_COLUMNS = (
     "claim_id policy_id claimant_id claim_type incident_date filing_date claim_amount description "
@@ -355,10 +355,44 @@ def build(
             whole = whole.join(_people(claimants), "claimant_id", "left")
             numbered = numbered.join(_people(claimants), "claimant_id", "left")
         joined = whole.unionByName(numbered)
+    return _finished(joined, weather)
+
+
+def _finished(joined: DataFrame, weather: DataFrame | None) -> DataFrame:
     featured = text_features(risk_flags(financial_features(temporal_features(_first(joined)))))
     return _arrange(with_weather(featured, weather))
 
 
+# Tables of a stage: claims of ordinary claimants in buckets of these, those of hot ones, and the claimants.
+STAGED = ("staged_claims", "staged_hot_claims", "staged_claimants")
+
+
+def stage(
+    claims: DataFrame, policies: DataFrame, claimants: DataFrame, root: str, buckets: int, hot: int = HOT_CLAIMS
+) -> None:
+    """Store claims with their policy terms, and claimants, in the same buckets of claimants, for ``build_staged``.
+
+    This is the last time that the claims move by claimant. One task reads a bucket, so claims of claimants with more
+    than ``hot`` claims lie in a table without buckets. Policies and claims that are stored in the same
+    buckets of policies are joined where they are.
+    """
+    ordinary, sliced = _split(claims, hot_claimants(claims, hot))
+    by_claimant = {"bucket_by": ("claimant_id",), "buckets": buckets}
+    store.save(with_policy(ordinary, policies, marked=True), root, STAGED[0], **by_claimant)
+    store.save(with_policy(sliced, policies, marked=True), root, STAGED[1])
+    store.save(_people(claimants), root, STAGED[2], **by_claimant)
+
+
+def build_staged(spark: SparkSession, root: str, weather: DataFrame | None = None) -> DataFrame:
+    """The rows of ``build``, from the tables of ``stage``: sequence, totals and attributes of ordinary claimants
+    need no shuffle, since their claims and the claimants lie in the same buckets."""
+    claims, hot, people = (store.load(spark, root, name) for name in STAGED)
+    numbered = _number_sliced(hot).withColumn("claim_sequence_num", F.col("claim_sequence_num").cast("int"))
+    whole = _total(_number(claims)).join(people, "claimant_id", "left")
+    sliced = _total_sliced(numbered).join(people, "claimant_id", "left")
+    return _finished(whole.unionByName(sliced), weather)
+
+
 def feature_table(df: DataFrame) -> DataFrame:
     """SLV-13: key, label and the 28 model features."""
     return df.select("claim_id", "is_fraud", *FEATURES)

@@ -217,6 +217,20 @@ def _(v):
     return plain(v.features)
 
 
+# For the tables of the tests; a bucket should hold some hundred megabytes.
+BUCKETS = 8
+
+
+@query("slv13_feature_table_bucketed", f"WITH {SILVER} SELECT claim_id, is_fraud, {FEATURE_SQL} FROM silver")
+def _(v):
+    root = work_dir(v.spark, "buckets")
+    for table, frame in (("claims", v.claims), ("policies", v.policies)):
+        store.save(frame, root, table, bucket_by=("policy_id",), buckets=BUCKETS)
+    claims, policies = (store.load(v.spark, root, table) for table in ("claims", "policies"))
+    silver.stage(claims, policies, v.claimants, root, BUCKETS)
+    return plain(silver.feature_table(silver.build_staged(v.spark, root)))
+
+
 SUMMARY = f"""WITH {ENRICHED}, grouped AS (SELECT claim_type, insurance_provider, address_state,
 date_trunc('month', incident_date) AS incident_month, count(*) AS total_claims, sum(claim_amount) AS total_claimed_amount,
 avg(claim_amount) AS avg_claim_amount, min(claim_amount) AS min_claim_amount, max(claim_amount) AS max_claim_amount,
