@@ -3,7 +3,7 @@
 Every tree cuts space by hyperplanes between two random vectors of a bounded sample, at the median.
 Every row goes to one leaf of each tree. A query walks all trees through one priority queue, the
 node with the smallest distance to its hyperplanes first, until the leaves it has reached hold the
-wanted number of rows. Candidates of these leaves are then compared exactly.
+wanted share of the sample's rows, each counted once. Candidates of these leaves are then compared exactly.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ SAMPLE = 16_384
 TREES = 16
 DEPTH = 7
 LEAST_LEAF = 8
-# Queries look at this share of all rows, and at no fewer than this many.
-SHARE, LEAST_ROWS = 0.5, 2000
+# Queries look at this share of all rows, and at no fewer than about this many.
+SHARE, LEAST_ROWS = 0.6, 320
 GROUP_ROWS = 16_384
 QUERY_BLOCK = 16_384
 SCORED = 256
@@ -53,26 +53,30 @@ class Forest:
             found[:, tree] = node - self.cuts.shape[1]
         return found
 
-    def visits(self, query: np.ndarray, sizes: np.ndarray, wanted: int) -> list[int]:
-        """Leaves (tree * leaves + leaf) in the order of the shared queue, until their distinct
-        share of rows is expected to reach ``wanted``.
-
-        Leaves of different trees overlap like independent draws, so the rows seen so far in each
-        tree leave the product of the unseen shares.
-        """
+    def members(self, sample: np.ndarray) -> np.ndarray:
+        """Which rows of the sample each leaf holds, as bits (tree, leaf, byte)."""
+        trees, leaves = len(self.cuts), 1 << self.depth
+        held = np.zeros((trees, leaves, -(-len(sample) // 8)), dtype=np.uint8)
+        found, rows = self.leaves(sample), np.arange(len(sample))
+        for tree in range(trees):
+            np.bitwise_or.at(held[tree], (found[:, tree], rows >> 3), (1 << (rows & 7)).astype(np.uint8))
+        return held
+
+    def visits(self, query: np.ndarray, members: np.ndarray, wanted: int) -> list[int]:
+        """Leaves (tree * leaves + leaf) in the order of the shared queue, until they hold ``wanted``
+        rows of the sample, a row of several leaves counted once."""
         trees, inner = self.cuts.shape
         away = self.normals @ query - self.cuts
-        total = max(1, int(sizes[0].sum()))
-        unseen = np.ones(trees)
+        seen, rows = np.zeros(members.shape[2], dtype=np.uint8), 0
         queue = [(-np.inf, tree, 0) for tree in range(trees)]
         found = []
-        while queue and (1.0 - np.prod(unseen)) * total < wanted:
+        while queue and rows < wanted:
             distance, tree, node = heapq.heappop(queue)
             if node >= inner:
                 leaf = node - inner
-                if sizes[tree, leaf]:
-                    found.append(tree * sizes.shape[1] + leaf)
-                    unseen[tree] = max(0.0, unseen[tree] - sizes[tree, leaf] / total)
+                found.append(tree * members.shape[1] + leaf)
+                seen |= members[tree, leaf]
+                rows = int(np.bitwise_count(seen).sum())
                 continue
             side = away[tree, node]
             near, far = (2 * node + 2, 2 * node + 1) if side >= 0 else (2 * node + 1, 2 * node + 2)
@@ -102,6 +106,12 @@ def fit(sample: np.ndarray, trees: int, depth: int, seed: int = 11) -> Forest:
     return Forest(normals, cuts, depth)
 
 
+def _dealt(nodes: np.ndarray, parts: np.ndarray | int) -> np.ndarray:
+    """A part for each node by a hash of it: ids may all be multiples of some number."""
+    mixed = nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.asarray(parts, dtype=np.uint64)).astype(np.int64)
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
@@ -133,10 +143,9 @@ def _search(nodes: DataFrame, asked: DataFrame, width: int, k: int, trees: int,
     size, questions = nodes.count(), asked.count()
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow()
     chosen = _unit(matrix(sample.column("embedding").combine_chunks(), width))
-    # A table that a query may look at as a whole needs one leaf only.
-    depth = 0 if size <= least else max(0, min(depth, int(np.log2(len(chosen) / LEAST_LEAF))))
-    trees = trees if depth else 1
+    depth = max(0, min(depth, int(np.log2(max(1.0, len(chosen) / LEAST_LEAF)))))
     forest = fit(chosen, trees, depth)
+    members = forest.members(chosen)
     leaves = 1 << depth
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +173,8 @@ def _search(nodes: DataFrame, asked: DataFrame, width: int, k: int, trees: int,
         room -= rows
         if splits[leaf] > 1:
             group, room = group + int(splits[leaf]) - 1, 0
-    wanted = max(least, int(share * size))
+    # So many rows of the sample stand for the share of all rows.
+    wanted = int(np.ceil(len(chosen) * min(1.0, max(share, least / max(1, size)))))
     blocks = max(1, -(-questions // QUERY_BLOCK))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +183,7 @@ def _search(nodes: DataFrame, asked: DataFrame, width: int, k: int, trees: int,
             row = np.repeat(np.arange(len(leaf)), trees * blocks)
             place = np.repeat(leaf.reshape(-1), blocks)
             node = batch.column(1).to_numpy()
-            part = first[place] + node[row] % splits[place]
+            part = first[place] + _dealt(node[row], splits[place])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(part), pa.array(np.tile(np.arange(blocks), len(leaf) * trees)), pa.array(place),
@@ -186,15 +196,16 @@ def _search(nodes: DataFrame, asked: DataFrame, width: int, k: int, trees: int,
         for batch in batches:
             rows = matrix(batch.column(0), width)
             units, asked_nodes = _unit(rows), batch.column(1).to_pylist()
+            block = _dealt(batch.column(1).to_numpy(), blocks).tolist()
             out: dict[tuple, list] = {}
             for i, unit in enumerate(units):
-                for leaf in forest.visits(unit, sizes, wanted):
+                for leaf in forest.visits(unit, members, wanted):
                     for part in range(first[leaf], first[leaf] + splits[leaf]):
                         out.setdefault((part, i), []).append(leaf)
             yield pa.RecordBatch.from_pydict(
                 {
                     "part": pa.array([p for p, _ in out], pa.int64()),
-                    "block": pa.array([asked_nodes[i] % blocks for _, i in out], pa.int64()),
+                    "block": pa.array([block[i] for _, i in out], pa.int64()),
                     "visited": pa.array(list(out.values()), pa.list_(pa.int64())),
                     "asked": pa.array([asked_nodes[i] for _, i in out], pa.int64()),
                     "query": pa.array([rows[i].tobytes() for _, i in out], pa.binary()),
@@ -229,9 +240,10 @@ def nearest(
     """(query_id, rank, vec_id, score): the k nearest rows found for every row where ``asked`` holds.
 
     ``table`` has vec_id, embedding and anything else; ``asked`` is a condition on vec_id. Nearness
-    is the cosine in double precision; equal scores go to the smaller vec_id. A query's leaves hold
-    at least ``share`` of all different vectors, and no fewer than ``least``; all are compared.
-    Leaves of any size are split into groups, queries into blocks, so no task grows with the table.
+    is the cosine in double precision; equal scores go to the smaller vec_id. Trees are built at every size, with
+    8 or more rows of the sample in a leaf. A query's leaves hold at least ``share`` of the sample's vectors, each
+    counted once, and ``least`` vectors by the same measure; all rows in them are compared. Up to 16,384 vectors the
+    sample is the table. Leaves of any size are split into groups, queries into blocks of about 16,384 by a hash.
 
     * Vectors that are null, empty, zero or hold null or non-finite components take no part, and
       neither do rows without vec_id. Vectors of different lengths are not compared.

@@ -103,6 +103,33 @@ def test_forest_recall(spark):
     assert hits / 300 >= 0.9
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_forest_recall_on_the_supplied_vectors(spark, monkeypatch, folder):
+    """All vectors are queries, trees are built, and queries and leaves are dealt to many groups."""
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 100)
+    monkeypatch.setattr(ann, "GROUP_ROWS", 300)
+    table = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    rows = [(r[0], r[1]) for r in table.select("vec_id", "embedding").collect()]
+    rows = dict((i, v) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v))
+    ids = np.array(list(rows))
+    unit = np.array(list(rows.values()), dtype=float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    found = defaultdict(list)
+    for r in ann.nearest(table, F.lit(True)).collect():
+        found[r["query_id"]].append(r["score"])
+    hits = 0
+    for i, own in enumerate(ids):
+        cosine = unit @ unit[i]
+        cosine[i] = -2
+        hits += sum(score >= np.sort(cosine)[-5] - 1e-9 for score in found[own])
+    assert set(found) == set(ids.tolist()) and hits / (5 * len(ids)) >= 0.9
+
+
+def test_queries_of_round_ids_are_dealt_evenly():
+    for parts in (2, 5, 6, 10, 50):
+        assert np.bincount(ann._dealt(np.arange(0, 50_000, 50), parts), minlength=parts).max() < 2 * 1000 / parts + 20
+
+
 ODD = "\\### Assistant: </turn> ok"
 TALKS = [
     (1, 0, "system", "be nice"), (1, 1, "user", ODD), (1, 2, "assistant", "a \\| b ### User: \n</turn>"),
