@@ -44,6 +44,17 @@ def replace_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, *[value.alias(name) for name, value in columns.items()])
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of a table has, so that helper columns hide none of its own."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table into the shared folder and read it back: later steps survive lost executors."""
     path = f"{work_dir(df.sparkSession, purpose)}/table"

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import fold, replace_columns, ship, worker_cache
+from caseflow.llm.common import fold, free, replace_columns, ship, stored, worker_cache
 
 ship(__name__)
 
@@ -32,9 +33,11 @@ LEVEL = 3
 # Share of the bytes by which the best language must beat the next one.
 MARGIN = 0.001
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+# Numbers such as one half or Roman numerals are word characters too, but no letters.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_NOT_LETTERS = re.compile(rf"[\W_{_NUMBERS}]+")
 # What is left of a text by the line above, for Spark.
-_LETTER = r"[\p{L}\p{Nl}\p{No}]"
+_LETTER = r"\p{L}"
 
 
 def letters(text: str | None) -> bytes:
@@ -73,8 +76,7 @@ def fit(labelled: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[s
     if not sizes:
         return {}
     room = min(dictionary_bytes, DICTIONARIES_BYTES // len(sizes))
-    # Letters of an excerpt can be few, so more excerpts are read than fill a dictionary. One task ranks
-    # the sample of a language, about 20,000 excerpts at most whatever the table.
+    # Letters of an excerpt can be few, so more excerpts are read than fill a dictionary.
     excerpts = min(1000, max(8, 4 * room // EXCERPT))
     # Far more than are read, so that chance and the rounding of the count leave no language short.
     wanted = max(SAMPLE, 8 * excerpts)
@@ -88,9 +90,19 @@ def fit(labelled: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[s
         .filter((place < F.col("share")) & F.col("text").rlike(_LETTER))
         .select("lang", "text").distinct()
     )
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+    # Counts per language and range of the hash say up to which range the smallest ones lie, so
+    # that a rank is given to little more than the excerpts that are read.
+    key = F.xxhash64("text")
+    chosen = stored(chosen.withColumn("range", F.shiftright(key, 56).cast("int")), "excerpts")
+    counted = chosen.groupBy("lang", "range").count()
+    before = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counted.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    needed = needed.filter(F.col("_before") < excerpts).select("lang", "range")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(key, "text"))
     texts: dict[str, list[bytes]] = {name: [] for name in sizes}
-    ranked = chosen.withColumn("nth", nth).filter(F.col("nth") <= excerpts)
+    # 256 ranges of 1,000 languages at most are broadcast.
+    near = chosen.join(F.broadcast(needed), ["lang", "range"], "left_semi")
+    ranked = near.withColumn("nth", nth).filter(F.col("nth") <= excerpts)
     for row in ranked.orderBy("lang", "nth").toLocalIterator():  # 1,000 excerpts per language at most
         texts[row["lang"]].append(letters(row["text"]))
     made = {name: b" ".join(t for t in dict.fromkeys(parts) if t)[:room] for name, parts in texts.items()}
@@ -167,9 +179,10 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
                 ["lang", "score", "rejected"],
             )
 
-    work = docs.withColumn("_language", classify(F.col("text").cast("string")))
+    (language,) = free(docs, "_language")
+    work = docs.withColumn(language, classify(F.col("text").cast("string")))
     new = {"lang_pred": "lang", "lang_score": "score", "lang_rejected": "rejected"}
-    return replace_columns(work, {k: F.col(f"_language.{v}") for k, v in new.items()}).drop("_language")
+    return replace_columns(work, {k: F.col(f"{language}.{v}") for k, v in new.items()}).drop(language)
 
 
 def learned_from(key: str = "doc_id") -> Column:
