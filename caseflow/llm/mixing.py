@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import SPACE, replace_columns
+from caseflow.llm.common import SPACE, free, replace_columns
 from caseflow.session import cut_lineage
 
 SEED = "mix-1"
@@ -76,18 +76,25 @@ def plan(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     * A source whose documents are all empty has target and copies 0. An empty table stays empty.
     * Columns named like the new ones give way.
     """
-    rates = targets(sized, weights, share, most).withColumnRenamed("source", "_source")
     names = ["source_size", "target", "rate"]
-    rates = rates.select("_source", *[F.col(n).alias(f"_{n}") for n in names])
-    joined = sized.join(rates, sized["source"].eqNullSafe(rates["_source"]), "left")
-    whole = F.floor("_rate")
-    copies = whole + (draw(F.col("doc_id"), seed) < F.col("_rate") - whole).cast("long")
-    new = {n: F.col(f"_{n}") for n in names} | {"copies": copies}
-    return replace_columns(joined, new).drop("_source", *[f"_{n}" for n in names])
+    of, *own = free(sized, "_source", *[f"_{n}" for n in names])
+    rates = targets(sized, weights, share, most)
+    rates = rates.select(F.col("source").alias(of), *[F.col(n).alias(o) for n, o in zip(names, own)])
+    joined = sized.join(rates, sized["source"].eqNullSafe(rates[of]), "left")
+    rate = F.col(own[-1])
+    whole = F.floor(rate)
+    copies = whole + (draw(F.col("doc_id"), seed) < rate - whole).cast("long")
+    new = {n: F.col(o) for n, o in zip(names, own)} | {"copies": copies}
+    return replace_columns(joined, new).drop(of, *own)
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = SEED) -> DataFrame:
-    """The documents (doc_id, text, source, anything else), each row as often as its plan says."""
+    """The documents (doc_id, text, source, anything else), each row as often as its plan says.
+
+    NULL and empty texts have size 0 and a copy by the rate of their source like any other; NULL sources are one
+    source; repeated rows are taken equally often; an empty table stays empty; other columns keep their
+    values, whatever their names.
+    """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     kept = F.struct(*columns).alias("_row")
     sized = docs.select("doc_id", "source", word_count(F.col("text").cast("string")).alias("size"), kept)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import replace_columns, ship, stored
+from caseflow.llm.common import free, replace_columns, ship, stored
 from caseflow.llm.graph import components, local_labels
 from caseflow.llm.vectors import folded, matrix, usable
 
@@ -233,9 +233,10 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95) -> DataFrame:
     for row in nodes.select(F.size("embedding").alias("width")).distinct().collect():
         links = _links(nodes.filter(F.size("embedding") == row["width"]), row["width"], threshold)
         found = links if found is None else found.unionByName(links)
+    links, component, vector = free(table, "_links", "_component", "_vector")
     own = F.coalesce(F.col("copies"), F.lit(1)) - 1
     if found is None:
-        linked = nodes.select("embedding", own.alias("_links"), F.col("node").alias("_component"))
+        linked = nodes.select("embedding", own.alias(links), F.col("node").alias(component))
     else:
         found = stored(found, "vector-links")
         counts = found.groupBy("node").agg(F.sum("n_links").alias("n"))
@@ -245,23 +246,23 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95) -> DataFrame:
             .join(joined, "node", "left")
             .select(
                 "embedding",
-                (own + F.coalesce("n", F.lit(0))).alias("_links"),
-                F.coalesce("component", "node").alias("_component"),
+                (own + F.coalesce("n", F.lit(0))).alias(links),
+                F.coalesce("component", "node").alias(component),
             )
         )
-    linked = linked.withColumnRenamed("embedding", "_vector")
+    linked = linked.withColumnRenamed("embedding", vector)
     # A NULL key joins nothing, and each such row keeps to itself.
     kept = [F.col(f"`{c}`") for c in table.columns]
-    joined = table.filter(part).join(linked, F.col("embedding") == F.col("_vector"), "left").select(
-        *kept, "_links", "_component"
+    joined = table.filter(part).join(linked, F.col("embedding") == F.col(vector), "left").select(
+        *kept, links, component
     )
     alone = table.filter(~part).select(
-        *kept, F.lit(0).cast("long").alias("_links"), F.col("vec_id").cast("long").alias("_component")
+        *kept, F.lit(0).cast("long").alias(links), F.col("vec_id").cast("long").alias(component)
     )
     both = joined.unionByName(alone)
     new = {
-        "n_links": F.col("_links").cast("long"),
-        "component_id": F.col("_component"),
-        "kept": F.coalesce(F.col("vec_id") == F.col("_component"), F.lit(False)),
+        "n_links": F.col(links).cast("long"),
+        "component_id": F.col(component),
+        "kept": F.coalesce(F.col("vec_id") == F.col(component), F.lit(False)),
     }
-    return replace_columns(both, new).drop("_links", "_component")
+    return replace_columns(both, new).drop(links, component)

@@ -142,7 +142,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _matches_sql(kind: int, pattern: str, group: int) -> str:
     """Matches of one kind, with the text between them, for every document."""
     quoted = pattern.replace("'", "''")
-    return f"""SELECT rid, doc_id, source, {kind} AS kind, unnest(regexp_extract_all(t, '{quoted}', 0)) AS hit,
+    return f"""SELECT rid, doc_id, source, t, {kind} AS kind, unnest(regexp_extract_all(t, '{quoted}', 0)) AS hit,
   unnest(regexp_extract_all(t, '{quoted}', {group})) AS value, unnest(string_split_regex(t, '{quoted}')) AS gap,
   generate_subscripts(string_split_regex(t, '{quoted}'), 1) AS nth FROM docs"""
 
@@ -158,15 +158,16 @@ hits AS (
 placed AS (
   SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY rid, kind ORDER BY nth) AS stop FROM hits WHERE hit IS NOT NULL),
 spans AS (
-  SELECT rid, doc_id, source, kind, value, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop,
+  SELECT rid, doc_id, source, t, kind, value, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop,
     ['assign', 'access', 'hex', 'bare'][kind + 1] AS name
   FROM placed WHERE kind IN (1, 2) OR length(value) >= 8),
 base AS (SELECT * FROM spans WHERE kind < 3),
-owners AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) < 3 AS live FROM base GROUP BY value),
+owners AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) < 3 AND count(DISTINCT t) < 20 AS live FROM base GROUP BY value),
+holders AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) < 3 AND count(DISTINCT t) < 20 AS few FROM spans GROUP BY value),
 judged AS (
   SELECT base.*, live FROM base JOIN owners USING (value)
-  UNION ALL SELECT bare.*, live FROM spans bare JOIN owners USING (value)
-  WHERE bare.kind = 3 AND live
+  UNION ALL SELECT bare.*, live FROM spans bare JOIN owners USING (value) JOIN holders USING (value)
+  WHERE bare.kind = 3 AND live AND few
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = bare.rid AND b.start < bare.stop AND bare.start < b.stop)),
 own AS (
   SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,

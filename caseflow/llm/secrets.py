@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import replace_columns, stored
+from caseflow.llm.common import free, replace_columns, stored
 
 # The patterns of the three kinds, in their order, and the least lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -26,6 +26,8 @@ _LONG_ACCESS = r"AKIA[A-Z0-9]{%d,}" % (LEAST_ACCESS - 4)
 _LONG_HEX = r"[0-9a-f]{%d,}" % LEAST_HEX
 # A value consists of words and the characters between them.
 _WORD = r"[A-Za-z0-9]"
+# An ordinary word, with punctuation around it, that somebody may use as a password.
+_ORDINARY = r"^[+/_.=-]*(?:[A-Za-z]?[a-z]*|[A-Z]*)[+/_.=-]*$"
 _BLOCK = 256
 
 
@@ -109,8 +111,9 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.drop("_text", "_base_text", "_assign", "_access", "_hex", "_base")
 
 
-def ownership(found: DataFrame, repository: str, owner: str, example_owners: int) -> DataFrame:
-    """(hash, value, repositories, owners, live) of every value of a base span.
+def ownership(found: DataFrame, repository: str, owner: str, example_owners: int, example_repositories: int) -> DataFrame:
+    """(hash, value, repositories, owners, live) of every value of a base span: ``live`` if it has both fewer owners
+    and fewer repositories than an example.
 
     Grouping by value, owner and repository first keeps a value that is everywhere from meeting in
     one task. NULL owners or repositories count as one.
@@ -125,7 +128,8 @@ def ownership(found: DataFrame, repository: str, owner: str, example_owners: int
         .agg(F.count(F.lit(1)).alias("_repos"))
     )
     counted = spread.groupBy(*value).agg(F.sum("_repos").alias("repositories"), F.count(F.lit(1)).alias("owners"))
-    return counted.withColumn("live", F.col("owners") < example_owners)
+    few = (F.col("owners") < example_owners) & (F.col("repositories") < example_repositories)
+    return counted.withColumn("live", few)
 
 
 def _longest_word(value: Column) -> Column:
@@ -143,12 +147,14 @@ def _alone(value: Column) -> Column:
     return F.concat(before, F.lit("\\Q"), value, F.lit("\\E"), after)
 
 
-def bare(rows: DataFrame, owners: DataFrame) -> DataFrame:
+def bare(rows: DataFrame, owners: DataFrame, example_owners: int, example_repositories: int) -> DataFrame:
     """(doc_id, mark, bare): where live values stand in texts, of every text with at least one.
 
-    A text is asked for a value only if it holds the longest word of it. Only such texts are read again.
+    A text is asked for a value only if it holds the longest word of it. Only such texts are read again. Ordinary
+    words are not looked for, and a value that stands in the texts of as many owners or repositories as an
+    example, named or not, is part of the language and not found here.
     """
-    live = owners.filter("live").select(
+    live = owners.filter("live").filter(~F.col("value").rlike(_ORDINARY)).select(
         _longest_word(F.col("value")).alias("word"), F.struct("value", "owners", "repositories").alias("_known")
     )
     plain = live.filter(F.col("word").rlike(_WORD))
@@ -160,12 +166,22 @@ def bare(rows: DataFrame, owners: DataFrame) -> DataFrame:
     asked = words.join(live, "word").groupBy("doc_id", "mark").agg(F.collect_set("_known").alias("_known"))
     # Written once, so that its size is known when the texts are joined.
     asked = stored(asked, "secret-words").withColumnsRenamed({"doc_id": "_id", "mark": "_of"})
-    texts = rows.select("doc_id", "mark", F.col("text").alias("_bare_text"))
+    texts = rows.select("doc_id", "mark", "_holder", "_repository", F.col("text").alias("_bare_text"))
     each = texts.join(asked, texts["doc_id"].eqNullSafe(asked["_id"]) & (texts["mark"] == asked["_of"])).select(
-        "doc_id", "mark", "_bare_text", F.explode("_known").alias("_known")
+        "doc_id", "mark", "_holder", "_repository", "_bare_text", F.explode("_known").alias("_known")
     )
     placed = _found(each, "_bare_text", "bare", _alone(F.col("_known.value")))
-    spans = placed.select("doc_id", "mark", "_known", F.explode("_bare").alias("_span")).select(
+    spans = placed.filter(F.size("_bare") > 0).drop("_bare_text").withColumn("_value", F.col("_known.value"))
+    # Written once: it is read for the count of holders and for the spans.
+    spans = stored(spans, "secret-bare")
+    held = (
+        spans.groupBy("_value", "_holder", "_repository").agg(F.lit(1).alias("_one"))
+        .groupBy("_value", "_holder").agg(F.count(F.lit(1)).alias("_held"))
+        .groupBy("_value").agg(F.count(F.lit(1)).alias("_owners"), F.sum("_held").alias("_repositories"))
+    )
+    common = held.filter((F.col("_owners") >= example_owners) | (F.col("_repositories") >= example_repositories))
+    spans = spans.join(common.select("_value"), "_value", "left_anti")
+    spans = spans.select("doc_id", "mark", "_known", F.explode("_bare").alias("_span")).select(
         "doc_id", "mark",
         F.struct("_span.start", "_span.end", "_span.kind", F.lit(True).alias("live"), "_known.owners", "_known.repositories").alias("_span"),
     )
@@ -180,26 +196,30 @@ def _text_of(spans: Column) -> Column:
     )
 
 
-def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", example_owners: int = 3) -> DataFrame:
+def scan(
+    docs: DataFrame, repository: str | None = None, owner: str = "source", example_owners: int = 3, example_repositories: int = 20
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, mark, base, extra and judged.
 
     ``base`` holds the spans found by pattern, ``extra`` the ones the corpus adds: bare occurrences
     of live values outside all base spans, of those within each other the longest. ``judged`` has every base and extra span with its value's
-    repositories, owners and ``live``: fewer than ``example_owners`` distinct owners hold it.
-    ``mark`` is a hash of the text.
+    repositories, owners and ``live``: fewer than ``example_owners`` distinct owners and fewer than
+    ``example_repositories`` distinct repositories hold it. Without a column for them, texts are the repositories, so
+    that copies of a document make no example of its secrets. ``mark`` is a hash of the text. Bare occurrences
+    of ordinary words, and of values as common as examples, are no spans.
 
     * NULL or empty text: no spans. Repeated rows: equal results, and one repository and owner.
     * NULL doc_id or owner: kept, counted as one repository or owner.
     * An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     rows = docs.select(
-        "doc_id", F.col(repository).alias("_repository"), F.col(owner).alias("_holder"),
-        F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("mark"),
+        "doc_id", (F.xxhash64("text") if repository is None else F.col(repository)).alias("_repository"),
+        F.col(owner).alias("_holder"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("mark"),
     )
     narrow = candidates(rows).drop("text").withColumn("_row", F.monotonically_increasing_id())
     # Written once: row numbers stay the same whatever is computed again later.
     narrow = stored(narrow, "secret-candidates")
-    owners = stored(ownership(narrow, "_repository", "_holder", example_owners), "secret-owners")
+    owners = stored(ownership(narrow, "_repository", "_holder", example_owners, example_repositories), "secret-owners")
     spans = narrow.select("_row", F.explode("base").alias("_span")).select("_row", "_span.*")
     judged = (
         spans.join(owners.drop("value"), "hash")
@@ -207,7 +227,7 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", exa
         .agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "live", "owners", "repositories"))).alias("judged"))
     )
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:int,live:boolean,owners:bigint,repositories:bigint>>")
-    loose = bare(rows, owners).withColumnsRenamed({"doc_id": "_id", "mark": "_of"})
+    loose = bare(rows, owners, example_owners, example_repositories).withColumnsRenamed({"doc_id": "_id", "mark": "_of"})
     joined = narrow.join(judged, "_row", "left").join(
         loose, narrow["doc_id"].eqNullSafe(loose["_id"]) & (narrow["mark"] == loose["_of"]), "left"
     )
@@ -269,19 +289,21 @@ def _without(text: Column, spans: Column, sign: str) -> Column:
 def redact(docs: DataFrame, sign: str = "[SECRET]", **how) -> DataFrame:
     """The documents with live secrets replaced by a sign; widely copied examples stay.
 
-    Every row and column is kept. The table of spans is written first: while it is small, no text is
-    moved to be joined with it.
+    Every row and column is kept, whatever the names. The table of spans is written first: while it is small, no
+    text is moved to be joined with it. NULL and empty texts stay, repeated rows are treated alike, an empty
+    table stays empty.
     """
     found = scan(docs, **how)
+    key, of, spans, mark = free(docs, "_id", "_of", "_live", "_mark")
     live = F.filter("judged", lambda s: s["live"])
     marks = (
-        found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), live.alias("_live"))
-        .filter(F.size("_live") > 0)
-        .groupBy("_id", "_of")
-        .agg(F.first("_live").alias("_live"))
+        found.select(F.col("doc_id").alias(key), F.col("mark").alias(of), live.alias(spans))
+        .filter(F.size(spans) > 0)
+        .groupBy(key, of)
+        .agg(F.first(spans).alias(spans))
     )
     marks = stored(marks, "secret-marks")
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
-    joined = marked.join(marks, marked["doc_id"].eqNullSafe(marks["_id"]) & (marked["_mark"] == marks["_of"]), "left")
-    cleaned = F.when(F.col("_live").isNotNull(), _without(F.col("text"), F.col("_live"), sign)).otherwise(F.col("text"))
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    joined = marked.join(marks, marked["doc_id"].eqNullSafe(marks[key]) & (marked[mark] == marks[of]), "left")
+    cleaned = F.when(F.col(spans).isNotNull(), _without(F.col("text"), F.col(spans), sign)).otherwise(F.col("text"))
     return joined.withColumn("text", cleaned).select(*[f"`{c}`" for c in docs.columns])

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import replace_columns, ship
+from caseflow.llm.common import free, replace_columns, ship
 from caseflow.llm.graph import components, local_labels
 from caseflow.session import cut_lineage
 
@@ -293,17 +293,20 @@ def keep_one(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:
     """One row of each component of near-duplicates, with all its columns.
 
     The row of the smallest doc_id stays (NULL ids last, then the smaller hash of the text); of
-    repeated rows one stays. Empty texts are one component.
+    repeated rows one stays. NULL and empty texts, and texts without words, are one component.
+    Texts of any length count whole. An empty table stays empty. Other columns keep their values, whatever
+    their names.
     """
+    of, kept, mark, nth = free(docs, "_id", "_kept", "_mark", "_nth")
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark")
     chosen = (
         _grouped(docs, budget, shingle)
         .groupBy("root")
         .agg(F.min(order).alias("_row"))
-        .select(F.col("_row.doc_id").alias("_id"), F.col("_row.mark").alias("_kept"))
+        .select(F.col("_row.doc_id").alias(of), F.col("_row.mark").alias(kept))
         .distinct()
     )
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
-    same = marked["doc_id"].eqNullSafe(chosen["_id"]) & (marked["_mark"] == chosen["_kept"])
-    once = F.row_number().over(Window.partitionBy("doc_id", "_mark").orderBy("_mark"))
-    return marked.join(chosen, same, "left_semi").withColumn("_nth", once).filter("_nth = 1").drop("_mark", "_nth")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    same = marked["doc_id"].eqNullSafe(chosen[of]) & (marked[mark] == chosen[kept])
+    once = F.row_number().over(Window.partitionBy("doc_id", mark).orderBy(mark))
+    return marked.join(chosen, same, "left_semi").withColumn(nth, once).filter(F.col(nth) == 1).drop(mark, nth)

@@ -14,7 +14,7 @@ from llm_cases import AWKWARD, LONG_TEXT, docs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from caseflow.llm import graph, langid, mixing, packing, queries, secrets, simhash
+from caseflow.llm import graph, langid, mixing, neardup, packing, queries, secrets, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -270,6 +270,76 @@ SECRETS = [
 ]
 
 
+def brute_extra(rows):
+    """Bare spans by document, in plain Python."""
+    held = defaultdict(set)
+    for _, text, _, source in rows:
+        for a, k, b in brute_secrets(text):
+            hit = (text or "")[a:b]
+            held[re.fullmatch(secrets.ASSIGN.removeprefix("(?i)"), hit, re.I | re.A)[2] if k == 0 else hit].add((source, text))
+
+    def few(pairs):
+        return len({s for s, _ in pairs}) < 3 and len({t for _, t in pairs}) < 20
+
+    def places(value, text):
+        before, after = ("(?<![A-Za-z0-9])" if value[0].isalnum() else ""), ("(?![A-Za-z0-9])" if value[-1].isalnum() else "")
+        return [m.span() for m in re.finditer(before + re.escape(value) + after, text or "")]
+
+    live = [v for v, pairs in held.items() if few(pairs) and not re.match(secrets._ORDINARY, v)]
+    live = [v for v in live if few({(s, t) for _, t, _, s in rows if places(v, t)})]
+    extra = {}
+    for doc_id, text, _, _ in rows:
+        base = brute_secrets(text)
+        found = {p for v in live for p in places(v, text) if not any(a < p[1] and p[0] < b for a, _, b in base)}
+        extra[doc_id] = sorted(p for p in found if not any(o != p and o[0] <= p[0] and p[1] <= o[1] for o in found))
+    return extra
+
+
+def test_bare_values_against_brute_force_and_ordinary_words_stay(spark):
+    rows = [
+        (1, "the secret: everything", "en", "a"), (2, "we did everything and more", "en", "b"), (3, "token=Sunshine.", "en", "a"),
+        (4, "Sunshine. SUNSHINE", "en", "a"), (5, "password: well-known", "en", "a"), (6, "a well-known one", "en", "b"),
+        (7, "another well-known one", "en", "c"), (8, "secret=k9-Tq77xw", "en", "a"), (9, "k9-Tq77xw and xk9-Tq77xw, k9-Tq77xw", "en", "b"),
+        *[(100 + i, f"sample {i}: api_key=demo-4242-key", "en", "a") for i in range(20)], (130, "use demo-4242-key", "en", "b"),
+        *[(200 + i, "copied: token=copied-7777-key", "en", "a") for i in range(50)], (260, "see copied-7777-key", "en", "b"),
+    ]
+    got = {r["doc_id"]: r for r in secrets.report(secrets.scan(docs(spark, rows))).collect()}
+    for doc_id, spans in brute_extra(rows).items():
+        assert [s for s in got[doc_id]["spans"].split(",") if s.startswith("bare")] == [f"bare:{a}:{b}" for a, b in spans]
+    assert got[9]["spans"] == "bare:0:9,bare:26:35" and got[260]["spans"] == "bare:4:19"
+    # Twenty different texts of one owner share the sample: an example. Fifty copies of one text do not make one.
+    assert got[100]["n_example"] == 1 and got[130]["spans"] == "" and got[200]["n_live"] == 1
+    texts = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, rows)).collect()}
+    assert [texts[i] for i in (2, 4, 6, 7, 130)] == [next(r[1] for r in rows if r[0] == i) for i in (2, 4, 6, 7, 130)]
+
+
+CLASHING = "_id _of _live _mark _nth _kept _language _links _component _vector _rate _source _target _row _text base judged".split()
+
+
+def test_stages_keep_columns_named_like_their_helpers(spark):
+    rows = [(1, "x password=abcdefgh1 y", "en", "a"), (2, "bare abcdefgh1 here", "en", "a"), (3, None, None, None), (4, "", "en", "b")]
+    frame = docs(spark, rows).withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in CLASHING})
+    model = langid.fit(spark.createDataFrame([("good morning to you", "en")], "text string, lang string"))
+    results = [
+        langid.identify(frame, model), simhash.keep_one(frame), secrets.redact(frame), mixing.mix(frame),
+        mixing.plan(mixing.with_sizes(frame)), corpus_pipeline.near_duplicates(spark, frame, ""),
+    ]
+    for result in results:
+        assert set(frame.columns) <= set(result.columns)
+        found = result.collect()
+        assert found and all(r[c] == f"{c} {r['doc_id']}" for r in found for c in CLASHING)
+    vectors = frame.select("*", F.lit(7).cast("long").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    found = neardup.near_duplicates(vectors).collect()
+    assert len(found) == 4 and all(r[c] == f"{c} {r['doc_id']}" and r["n_links"] == 3 for r in found for c in CLASHING)
+
+
+def test_numbers_that_are_words_for_patterns_are_no_letters(spark):
+    model = langid.fit(spark.createDataFrame([("good morning to you", "en")], "text string, lang string"))
+    rows = [(i, t) for i, t in enumerate(["\u00bd", "\u00b2 \u2167", "12_3", "good \u00bd", "\u00e9"])]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert [r["lang_pred"] for r in sorted(got, key=lambda r: r["doc_id"])] == ["und", "und", "und", "en", "en"]
+
+
 def _with_awkward():
     return SECRETS + [(r[0] if r[0] is None else r[0] + 100, *r[1:]) for r in AWKWARD]
 
