@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,16 +32,18 @@ LEVEL = 3
 # Share of the bytes by which the best language must beat the next one.
 MARGIN = 0.001
 
-# Numbers such as one half or Roman numerals are word characters too, but no letters.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-_NOT_LETTERS = re.compile(rf"[\W_{_NUMBERS}]+")
-# What is left of a text by the line above, for Spark.
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+# What is left of a text by ``letters``, for Spark.
 _LETTER = r"\p{L}"
 
 
 def letters(text: str | None) -> bytes:
     """Lower-case letters of a text; anything else becomes one space."""
-    return _NOT_LETTERS.sub(" ", (text or "").lower()).strip().encode("utf-8", "replace")
+    plain = _NOT_LETTERS.sub(" ", (text or "").lower())
+    # Numbers such as one half or Roman numerals are word characters, but no letters.
+    if not plain.replace(" ", "").isalpha():
+        plain = " ".join("".join(c if c.isalpha() else " " for c in plain).split())
+    return plain.strip().encode("utf-8", "replace")
 
 
 def _excerpt(text: Column) -> Column:
