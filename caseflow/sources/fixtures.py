@@ -19,11 +19,15 @@ def _pick(words: str, index, sep: str = ","):
     return F.split_part(F.lit(words), F.lit(sep), (F.lit(1) + index).cast("int"))
 
 
+def _times(df: DataFrame, n: int, name: str) -> DataFrame:
+    """Each row ``n`` times, numbered from 0. Spark takes the rows of an explode for as few as its input and would
+    broadcast millions of them; the size of a cross join it estimates as a product."""
+    return df.crossJoin(F.broadcast(df.sparkSession.range(0, n, 1, 1).toDF(name)))
+
+
 def claimants(customer: DataFrame, nation: DataFrame) -> DataFrame:
     """Four claimants per customer."""
-    person = customer.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn(
-        "claimant_id", F.col("c_custkey") * 4 + F.col("a")
-    )
+    person = _times(customer, 4, "a").withColumn("claimant_id", F.col("c_custkey") * 4 + F.col("a"))
     return person.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         "claimant_id",
         F.lit("Customer").alias("first_name"),
@@ -38,7 +42,7 @@ def claimants(customer: DataFrame, nation: DataFrame) -> DataFrame:
 
 def policies(customer: DataFrame) -> DataFrame:
     """Two policies per claimant."""
-    ids = customer.select(F.explode(F.sequence(F.col("c_custkey") * 8, F.col("c_custkey") * 8 + 7)).alias("policy_id"))
+    ids = _times(customer, 8, "k").select((F.col("c_custkey") * 8 + F.col("k")).alias("policy_id"))
     pid = F.col("policy_id")
     first_day = F.lit("1995-01-01").cast("date")
     return ids.select(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from builders import claims, column, people, policies
 from caseflow.operators import gold, ranking, silver
+from caseflow.sources import fixtures
 
 
 def day(n):
@@ -137,6 +138,15 @@ def test_the_ordinary_plan_moves_claims_twice(spark):
     assert text.count("Exchange hashpartitioning(policy_id") <= 2
 
 
+def test_many_policies_are_not_taken_for_few(spark, root):
+    """Eight policies a customer: an estimate that stays at the customers' bytes lets Spark broadcast millions of them."""
+    spark.range(0, 1_000_000, 1, 4).select(F.col("id").alias("c_custkey")).write.parquet(f"{root}/customer.parquet")
+    terms = fixtures.policies(spark.read.parquet(f"{root}/customer.parquet")).select("policy_id", "provider")
+    size = int(terms._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert size > 8_000_000 * 16
+    assert terms.count() == terms.select("policy_id").distinct().count() == 8_000_000
+
+
 def test_history_before_knows_earlier_days_only(spark):
     rows = [
         dict(claim_id=1, filing_date=day(0), claim_amount=10.0, is_fraud=True), dict(claim_id=2, filing_date=day(0), claim_amount=20.0),
