@@ -40,7 +40,9 @@ def money(value: Column) -> Column:
 
 
 def percent(value: Column) -> Column:
-    return F.concat(F.format_string("%.1f", value * 100), F.lit("%"))
+    """One decimal of the exact binary value, halves to even. ``format_string`` rounds the shortest text of a double
+    half up instead: 99.25 would be 99.3."""
+    return F.concat(F.call_function("format_number", value * 100, F.lit("0.0")), F.lit("%"))
 
 
 def preview(text: Column, length: int = 100) -> Column:

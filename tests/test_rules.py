@@ -22,6 +22,13 @@ def test_rule_risk_levels(spark):
     assert column(df, "risk_factors")[1] == []
 
 
+def test_percentages_round_the_exact_value(spark):
+    # 99.25 and 384.75 are halves; 209.15 and 289.45 lie below and above the double nearest to them.
+    ratios = [198500.0 / 200000, 384750.0 / 100000, 209150.0 / 100000, 289450.0 / 100000, 12345650.0 / 1000, 0.90125]
+    df = investigate.rule_risk(spark.createDataFrame([(i, 0, r, 0, 0, 0) for i, r in enumerate(ratios)], FEATURES))
+    assert column(df, "risk_factors") == {i: [f"Claim amount is {r * 100:.1f}% of policy limit"] for i, r in enumerate(ratios)}
+
+
 def test_no_score_reaches_the_deny_threshold(spark):
     """Filing within a day and after sixty days exclude each other, so 0.7 is the highest score."""
     rows = [(i, i % 2, 2.0 if i // 2 % 2 else 0.0, i // 4 % 2, 6 if i // 8 % 2 else 0, 0 if i % 2 else 61) for i in range(16)]
