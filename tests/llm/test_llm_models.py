@@ -11,7 +11,7 @@ import pytest
 from llm_cases import AWKWARD, docs
 from pyspark.sql import functions as F
 
-from caseflow.llm import ann, chat, graph, hmm, merkle, neardup, queries
+from caseflow.llm import ann, chat, common, graph, hmm, merkle, neardup, queries
 
 SF = "/root/testdata/sf0.001"
 VECTORS = "vec_id long, embedding array<float>, label int, kept string, rank string"
@@ -314,3 +314,11 @@ def test_scores_do_not_depend_on_what_the_worker_scored_before(spark):
     assert all(score < 0 and base < 0 for score, base in after.values())
     # The words are other names for the same thing, so the same scores.
     assert {i: tuple(round(x, 6) for x in v)[1] for i, v in after.items()} == {i: tuple(round(x, 6) for x in v)[1] for i, v in scored(first).items()}
+
+
+def test_a_worker_keeps_the_cache_of_one_step():
+    first = common.worker_cache("first")
+    first["x"] = 1
+    assert common.worker_cache("first") is first and first == {"x": 1}
+    assert common.worker_cache("second") == {}
+    assert common.worker_cache("first") == {}
