@@ -7,7 +7,8 @@ import pandas as pd
 import pyarrow as pa
 
 DECIMALS = 10
-_CELLS = 8_000_000
+# Scores held at once.
+_CELLS = 1_000_000
 
 
 def matrix(column) -> np.ndarray:
@@ -46,9 +47,13 @@ def nearest(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -
     step = max(1, _CELLS // max(1, len(ids)))
     keep = min(k, len(ids))
     for start in range(0, len(queries), step):
-        scores = np.round(queries[start : start + step] @ vectors.T, DECIMALS) + 0.0
-        floor = np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep]
-        row, col = np.nonzero(scores >= floor[:, None])
-        found = pd.DataFrame({"query": row + start, "id": ids[col], "score": scores[row, col]})
+        scores = queries[start : start + step] @ vectors.T
+        # Rounding keeps the order, so the k-th rounded score is the k-th score, rounded; only those near it are rounded.
+        floor = np.round(np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep], DECIMALS)
+        row, col = np.nonzero(scores >= (floor - 10.0**-DECIMALS)[:, None])
+        value = np.round(scores[row, col], DECIMALS) + 0.0
+        close = value >= floor[row]
+        row, col, value = row[close], col[close], value[close]
+        found = pd.DataFrame({"query": row + start, "id": ids[col], "score": value})
         parts.append(best(found, k))
     return pd.concat(parts) if parts else pd.DataFrame({"query": [], "id": [], "score": []})

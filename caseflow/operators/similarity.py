@@ -5,8 +5,8 @@ Three exact ways, chosen by measured sizes, all with the same result:
 * few queries: their matrix goes to every task, stored vectors are scanned once;
 * few stored vectors: their matrix goes to every task, queries are scanned once;
 * both large: identical vectors are folded into one, the rest is cut into cells around pivot
-  vectors, and a query visits only cells that the triangle inequality cannot rule out. Cells
-  are joined block by block, and a block gives at most k rows per query.
+  vectors, and a query visits only cells that the triangle inequality cannot rule out. Neighbouring
+  cells are joined together, block by block, and a block gives at most k rows per query.
 """
 
 from __future__ import annotations
@@ -35,16 +35,19 @@ for _module in (vec, sys.modules[__name__]):
     cloudpickle.register_pickle_by_value(_module)
 
 QUERY, STORED = 0, 1
+# Queries whose distances to all pivots a task holds at once.
+ROUTED_AT_ONCE = 1024
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Largest sizes that may be sent to every task, and the block size of the join."""
+    """Largest sizes that may be sent to every task, the vectors of a cell, and the rows of a side of the join."""
 
     queries: int = 1000
     matrix_bytes: int = 64 << 20
     block: int = 4096
     pivots: int = 1024
+    tile: int = 16_384
 
 
 def embedding_table(df: DataFrame, model: str, as_of, column: str = "embedding") -> DataFrame:
@@ -185,6 +188,16 @@ def _assign(df: DataFrame, pivots: np.ndarray, slot: int) -> DataFrame:
     return df.mapInPandas(scan, f"{fields}, cell int, away double")
 
 
+def _groups(members: np.ndarray, most: int) -> np.ndarray:
+    """Number of the group of each cell: cells in order, together ``most`` vectors or one cell."""
+    numbers, held = [], 0
+    for n in members.astype(int).tolist():
+        new = numbers and held + n > most
+        numbers.append(numbers[-1] + 1 if new else numbers[-1] if numbers else 0)
+        held = n if new else held + n
+    return np.array(numbers, dtype=np.int64)
+
+
 def _cell_join(queries: DataFrame, stored: DataFrame, k: int, limits: Limits) -> DataFrame:
     marked, asked = _fold(queries, "query_id", None)
     _, distinct = _fold(stored, "claim_id", k)
@@ -202,6 +215,12 @@ def _cell_join(queries: DataFrame, stored: DataFrame, k: int, limits: Limits) ->
     shape = shape.set_index("cell").reindex(range(len(pivots)))
     members = shape["n"].fillna(0).to_numpy()
     near, far = shape["near"].fillna(np.inf).to_numpy(), shape["far"].fillna(-np.inf).to_numpy()
+    # A query goes once to a group of cells, however many of them it visits: where little can be ruled out, the copies
+    # grow with the vectors over the tile, not with the cells.
+    groups = _groups(members, limits.tile)
+    first_cells = np.searchsorted(groups, np.arange(groups[-1] + 1)) if len(groups) else np.zeros(0, dtype=int)
+    numbers = marked.sparkSession.createDataFrame(list(enumerate(groups.tolist())), "cell int, tile int")
+    tiles = homes.join(F.broadcast(numbers), "cell").drop("cell").withColumnRenamed("tile", "cell")
 
     def home_cells(away):
         """Nearest cells up to the first that brings the members to k."""
@@ -213,23 +232,22 @@ def _cell_join(queries: DataFrame, stored: DataFrame, k: int, limits: Limits) ->
 
     def visit(second_round: bool):
         def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if not len(frame):
-                    continue
+            for frame in (f.iloc[i : i + ROUTED_AT_ONCE] for f in frames for i in range(0, len(f), ROUTED_AT_ONCE)):
                 rows = vec.unit(vec.matrix(frame["embedding"]), QUERY)
                 away = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (rows @ pivots.T)))
-                chosen = home_cells(away)
+                chosen = np.logical_or.reduceat(home_cells(away) & (members > 0)[None, :], first_cells, axis=1)
                 if second_round:
                     # Widened by more than the rounding of scores and distances.
                     reach = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (frame["floor"].to_numpy() - 1e-9))) + 1e-6
                     bound = np.maximum(away - far[None, :], near[None, :] - away)
-                    chosen = (bound <= reach[:, None]) & ~chosen
-                row, cell = np.nonzero(chosen & (members > 0)[None, :])
+                    left = (bound <= reach[:, None]) & (members > 0)[None, :]
+                    chosen = np.logical_or.reduceat(left, first_cells, axis=1) & ~chosen
+                row, tile = np.nonzero(chosen)
                 yield pd.DataFrame(
                     {
                         "query": frame["vector"].to_numpy()[row],
                         "embedding": frame["embedding"].to_numpy()[row],
-                        "cell": cell.astype(np.int32),
+                        "cell": tile.astype(np.int32),
                     }
                 )
 
@@ -237,13 +255,13 @@ def _cell_join(queries: DataFrame, stored: DataFrame, k: int, limits: Limits) ->
 
     routed = "query string, embedding array<float>, cell int"
     first = cut_lineage(
-        _block_join(asked.mapInPandas(visit(False), routed), homes, k, limits.block)
+        _block_join(asked.mapInPandas(visit(False), routed), tiles, k, limits.tile)
     )
     reached = first.groupBy("query").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
     floors = asked.join(reached.withColumnRenamed("query", "vector"), "vector", "left").withColumn(
         "floor", F.when(F.col("n") >= k, F.col("floor")).otherwise(-1.0)
     )
-    second = _block_join(floors.mapInPandas(visit(True), routed), homes, k, limits.block)
+    second = _block_join(floors.mapInPandas(visit(True), routed), tiles, k, limits.tile)
     return _unfold(first.unionByName(second), homes, marked, k)
 
 
@@ -269,7 +287,7 @@ def _unfold(found: DataFrame, distinct: DataFrame, marked: DataFrame, k: int, ho
 
 
 def cosine_topk_approx(
-    queries: DataFrame, stored: DataFrame, k: int = 5, tables: int = 32, bits: int = 5, seed: int = 17, block: int = 4096
+    queries: DataFrame, stored: DataFrame, k: int = 5, tables: int = 32, bits: int = 5, seed: int = 17, block: int = 32_768
 ) -> DataFrame:
     """The approximate counterpart of ``cosine_topk``, same columns: locality-sensitive hashing.
 
@@ -303,7 +321,8 @@ def cosine_topk_approx(
 
     homes = cut_lineage(hashed(distinct.drop("ids"), STORED))
     routed = cut_lineage(hashed(asked.withColumnRenamed("vector", "query"), QUERY))
-    found = _block_join(routed, homes, k * tables, block).groupBy("query", "id").agg(F.max("score").alias("score"))
+    # The k best of the union are among the k best of every cell that holds them; a pair may come from several cells.
+    found = _block_pairs(routed, homes, k, block).groupBy("query", "id").agg(F.max("score").alias("score"))
     order = [F.col("similarity_score").desc(), F.col("claim_id")]
     return ranking.top_per_key(_unfold(found, distinct, marked, k), ["query_id"], order, k, "position")
 
@@ -311,7 +330,15 @@ def cosine_topk_approx(
 def _block_join(
     routed: DataFrame, homes: DataFrame, k: int, block: int, read: Callable[[pd.Series], np.ndarray] | None = None
 ) -> DataFrame:
-    """Top k per query over the cells it was routed to, block by block. ``read`` makes unit rows of the stored
+    """Top k per query over the cells it was routed to; a stored vector has one cell."""
+    found = _block_pairs(routed, homes, k, block, read)
+    return ranking.top_per_key(found, ["query"], [F.col("score").desc(), F.col("id")], k, "nth").drop("nth")
+
+
+def _block_pairs(
+    routed: DataFrame, homes: DataFrame, k: int, block: int, read: Callable[[pd.Series], np.ndarray] | None = None
+) -> DataFrame:
+    """Top k per query and block of the cells it was routed to. ``read`` makes unit rows of the stored
     ``embedding`` where that is not the vector itself.
 
     The stored vectors of a cell and its queries are both split into blocks of about ``block``
@@ -348,13 +375,12 @@ def _block_join(
         return found
 
     keys = ["cell", "side", "front"]
-    found = (
+    return (
         left.select("query", "embedding", *keys)
         .groupBy(*keys)
         .cogroup(right.select("first_id", "embedding", *keys).groupBy(*keys))
         .applyInPandas(join, f"query string, id {id_type}, score double")
     )
-    return ranking.top_per_key(found, ["query"], [F.col("score").desc(), F.col("id")], k, "nth").drop("nth")
 
 
 def similar_fraud(

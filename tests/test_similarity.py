@@ -15,6 +15,7 @@ WAYS = {
     "scan queries": Limits(queries=0),
     "cells": Limits(queries=0, matrix_bytes=0, block=16),
     "one block": Limits(queries=0, matrix_bytes=0, block=100000),
+    "small tiles": Limits(queries=0, matrix_bytes=0, block=16, tile=24),
 }
 
 
@@ -149,3 +150,22 @@ def test_rows_of_a_frequent_vector_are_not_moved(spark):
         assert sorted((r.query_id, r.claim_id) for r in rows.collect()) == [(q, c) for q in range(310) for c in (1, 2)]
     plan = similarity._unfold(found, distinct, marked, 2, 100)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") >= 2
+
+
+def test_queries_go_once_to_a_group_of_cells():
+    """Where nothing can be ruled out, copies of a query grow with the tiles, not with the cells."""
+    groups = similarity._groups(np.full(801, 128), 16_384)
+    assert groups[0] == 0 and set(np.diff(groups)) == {0, 1} and groups[-1] + 1 == 7
+    assert similarity._groups(np.array([0.0, 30.0, 5.0, 5.0, 0.0]), 10).tolist() == [0, 1, 2, 2, 2]
+    assert len(similarity._groups(np.zeros(0), 10)) == 0
+
+
+def test_nearest_in_slices_with_ties(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = similarity.vec.unit(rng.integers(-1, 2, size=(200, 3)).astype(float), 0)
+    expected = _expected(rows, rows, np.arange(200), 4)
+    for cells in (1, 1000, 10**6):
+        monkeypatch.setattr(similarity.vec, "_CELLS", cells)
+        found = similarity.vec.nearest(rows, rows, np.arange(200), 4)
+        got = {q: list(zip(-g["score"], g["id"])) for q, g in found.groupby("query")}
+        assert got == expected
