@@ -362,6 +362,8 @@ def _(v):
 QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY enrichment_timestamp DESC)=1""",
 )
 def _(v):
-    latest = ranking.latest_by(v.weather, "claim_id", ["enrichment_timestamp"])
+    # Calls of one instant: the greatest of their other columns, so that reruns agree.
+    rest = [c for c in v.weather.columns if c not in ("claim_id", "enrichment_timestamp")]
+    latest = ranking.latest_by(v.weather, "claim_id", ["enrichment_timestamp", *rest])
     payload = F.from_json("enrichment_data", "precipitation_inches double, wind_speed_mph double, conditions_summary string")
     return plain(latest.withColumn("payload", payload).select("*", "payload.*").drop("enrichment_data", "payload"))

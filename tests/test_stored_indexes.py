@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseflow.operators import bronze, dashboards, investigate, silver, text_index
+from caseflow.plans import registry
 from caseflow.sources import store
 
 
@@ -121,3 +122,12 @@ def test_providers_are_counted_without_growing_sets(spark):
         earlier = {p for _, c, p, d, _, _ in rows if c == r.claimant_id and d is not None and d < r.filing_date and p is not None}
         assert r.provider_count == len(earlier)
     assert "collect_" not in history._jdf.queryExecution().toString()
+
+
+def test_the_latest_call_of_one_instant_does_not_depend_on_the_order_of_rows(spark, root):
+    rows = [(2 * i + j, dt.datetime(2024, 1, 1), 1, kind, 1.0, '{"k": 1}') for i in range(20) for j, kind in enumerate(("view", "click"))]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    for name, found in (("up", rows), ("down", rows[::-1])):
+        spark.createDataFrame(found, schema).coalesce(1).write.parquet(f"{root}/{name}/events.parquet")
+        latest = registry.QUERIES["ddp1_latest_per_key"](spark, f"{root}/{name}")
+        assert {r.conditions_summary for r in latest.collect()} == {"view"}
