@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import fold, free, replace_columns, ship, stored, worker_cache
+from caseflow.llm.common import fold, free, give_back, replace_columns, ship, stored, worker_cache
 
 ship(__name__)
 
@@ -179,6 +179,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
                 ],
                 ["lang", "score", "rejected"],
             )
+        batch = None
+        give_back()
 
     (language,) = free(docs, "_language")
     work = docs.withColumn(language, classify(F.col("text").cast("string")))

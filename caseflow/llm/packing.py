@@ -17,6 +17,7 @@ import bisect
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from caseflow.llm.common import ship, worker_cache
+from caseflow.llm.common import give_back, ship, worker_cache
 
 ship(__name__)
 
 TIERS = (128, 256, 512, 1024, 2048)
-CACHED_WORDS, CACHED_PIECES = 250_000, 400_000
+CACHED_WORDS = 200_000
 PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, "
     "sequence_id long, offset long, window long, step_group long"
@@ -43,6 +44,8 @@ _WORD_ENDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # The same pattern for lower-case texts of U+0021-7E and U+00A1-FF only.
 _LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 _PLAIN = re.compile(r"[!-~¡-ÿ]+")
+# All bytes of a Latin-1 text of such words and white space of ASCII.
+_PLAIN_BYTES = bytes([*range(9, 14), *range(32, 127), *range(161, 256)])
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,15 +55,51 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _is_plain(text: str) -> bool:
+    try:
+        return not text.encode("latin1").translate(None, _PLAIN_BYTES)
+    except UnicodeEncodeError:
+        return False
+
+
+def _latin_pieces(word: str) -> list[str]:
+    """``_LATIN.findall`` of a lower-case word; most are letters, or letters and one mark."""
+    if word.isalpha():
+        return [word]
+    return [word[:-1], word[-1]] if word[:-1].isalpha() else _LATIN.findall(word)
+
+
+class Recent:
+    """The values of the last ``size`` different keys, and of at most as many before them."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit numbers.
 
     A vocabulary that drops white space and lower-cases is applied word by word, each different
-    word once as long as the cache holds it; the result is that of the library. Any other
-    vocabulary is applied by the library to the whole text.
+    word once as long as the cache holds it, which a frequent word never leaves; the result is that
+    of the library. Any other vocabulary is applied by the library to the whole text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -80,8 +119,7 @@ class Encoder:
         ) if self.by_word else None
         self.letters = _byte_letters()
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words = Recent(cached_words)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -95,35 +133,42 @@ class Encoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+    def _word(self, word: bytes) -> bytes:
+        found = self.words.get(word)
         if found is None:
-            tokens = self.model.tokenize(piece.encode().decode("latin1").translate(self.letters))
-            found = np.array([t.id for t in tokens], dtype="<u4").tobytes()
-            if len(self.pieces) >= CACHED_PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = found
+            text = word.decode()
+            if _PLAIN.fullmatch(text):
+                found = self._plain_word(text.lower().encode())
+            else:
+                found = self._whole(text)
+            self.words.put(word, found)
         return found
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if _PLAIN.fullmatch(text):
-            found = b"".join(map(self._piece, _LATIN.findall(text.lower())))
-        else:
-            found = self._whole(text)
-        if len(self.words) >= CACHED_WORDS:
-            self.words.clear()
-        self.words[word] = found
+    def _plain_word(self, word: bytes) -> bytes:
+        """``_word`` of a lower-case word known to be plain; its pieces are such words, too."""
+        found = self.words.get(word)
+        if found is None:
+            pieces = _latin_pieces(word.decode())
+            if len(pieces) > 1:
+                found = b"".join([self._plain_word(p.encode()) for p in pieces])
+            else:
+                # The letters of printable ASCII are the bytes themselves.
+                shown = pieces[0] if word.isascii() else word.decode("latin1").translate(self.letters)
+                ids = [t.id for t in self.model.tokenize(shown)]
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            self.words.put(word, found)
         return found
 
     def __call__(self, text: str) -> bytes:
         if not self.by_word or any(s in text for s in self.special):
             return self._whole(text)
+        plain = _is_plain(text)
         # White space of ASCII never lies inside a token, so words can be taken one by one.
-        words = text.encode().split()
-        found = list(map(self.words.get, words))
+        words = (text.lower() if plain else text).encode().split()
+        found = list(map(self.words.new.get, words))
         if None in found:
-            found = [self._word(w) if f is None else f for w, f in zip(words, found)]
+            encode = self._plain_word if plain else self._word
+            found = [encode(w) if f is None else f for w, f in zip(words, found)]
         return b"".join(found)
 
 
@@ -261,6 +306,8 @@ def pack(
                 packer.add(doc_id.as_py(), encode(text.as_py() or "") + tail)
                 if packer.held >= block_tokens:
                     yield packer.flush()
+        batch = None
         yield packer.flush(last=True)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import free, replace_columns, ship
+from caseflow.llm.common import free, give_back, replace_columns, ship
 from caseflow.llm.graph import components, local_labels
 from caseflow.session import cut_lineage
 
@@ -61,6 +61,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, out: str = "simhash") -> Dat
     def simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([fingerprint_of(x.as_py(), shingle) for x in batch], pa.int64())
+        batch = None
+        give_back()
 
     return replace_columns(docs, {out: simhash(F.col("text").cast("string"))})
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import corpus_pipeline
 import duckdb
@@ -99,6 +100,24 @@ def test_packing_fills_long_windows_and_balances_steps(spark):
     assert len({w for w in windows.values()}) > 1
 
 
+def test_a_frequent_word_is_encoded_once_however_many_rare_ones_pass():
+    encode = packing.Encoder(queries.VOCABULARY, cached_words=20)
+    model, asked = encode.model, []
+    encode.model = SimpleNamespace(tokenize=lambda word: asked.append(word) or model.tokenize(word))
+    text = " ".join(f"House {chr(97 + i // 26 % 26)}{chr(97 + i % 26)}x," for i in range(400))
+    ids = np.frombuffer(encode(text), dtype="<u4").tolist()
+    assert ids == encode.tokenizer.encode(text, add_special_tokens=False).ids
+    assert asked.count("house") == 1 and len(encode.words.new) + len(encode.words.old) <= 40
+
+
+def test_words_of_all_kinds_get_the_ids_of_the_library():
+    encode = packing.Encoder(queries.VOCABULARY)
+    texts = ["Don't 'tis O'Neil's x' 'x a'b 12 a1 1a ,a a, a,, É\u00df\u00b2 \u00c0\u00d7\u00f7 \u00aa\u00b5\u00ba",
+             "a\x0bb\x0cc \x1cd \x85e\xa0f \xad g", "\u0130stanbul Stra\u00dfe \u01c5 na\u00efve", "the\tThe THE the. the's"]
+    for text in [*texts, " ".join(texts)] * 2:
+        assert np.frombuffer(encode(text), dtype="<u4").tolist() == reference_ids(text)[:-1]
+
+
 def test_plain_vocabularies_are_applied_whole():
     encode = packing.Encoder(queries.tokenizer_path("byte_bpe_50k.json"))
     text = "Hello  world,\n it's 12"
