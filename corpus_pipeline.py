@@ -11,6 +11,10 @@ from caseflow.llm.common import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# A batch of texts is held several times over, in the JVM and in Python, by every core of an executor; Spark's
+# default of 10,000 rows of any size takes more than the workers' own tables.
+BATCH = "4m"
+
 # Language ID compresses with zstandard and fingerprints hash with XXH64: no SQL for these rows.
 ORACLE_SQL = None
 
@@ -42,12 +46,22 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, queries.VOCABULARY)
 
 
+def in_batches(stage: Stage) -> Stage:
+    """The stage in a session whose Python tasks get ``BATCH`` bytes and one row at a time, at most."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language_id", language),
-    ("simhash_dedup", near_duplicates),
-    ("secret_scan", secret_values),
-    ("source_mixing", mixed),
-    ("packing", pack),
+    ("language_id", in_batches(language)),
+    ("simhash_dedup", in_batches(near_duplicates)),
+    ("secret_scan", in_batches(secret_values)),
+    ("source_mixing", in_batches(mixed)),
+    ("packing", in_batches(pack)),
 ]
 
 

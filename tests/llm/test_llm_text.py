@@ -9,6 +9,7 @@ from types import SimpleNamespace
 import corpus_pipeline
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from llm_cases import AWKWARD, LONG_TEXT, docs
@@ -427,6 +428,24 @@ def test_oracles(spark, name):
     assert Counter(tuple(r) for r in frame.collect()) == wanted
 
 
+def test_pipeline_reads_texts_in_small_batches(spark):
+    texts = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 2000)").alias("text"))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        assert sum(p["length"] for p in corpus_pipeline.STAGES[-1][1](spark, texts, "").collect()) == 3000 * 2001
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes], "rows": [batch.num_rows]})
+
+        found = texts.mapInArrow(sizes, "bytes long, rows long").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sum(r["rows"] for r in found) == 3000
+    assert max(r["bytes"] for r in found) < 5 << 20
+
+
 def test_pipeline_against_its_stages_by_hand(spark):
     """The same stages in plain Python over the same model and the same draw."""
     source = table(spark, "documents")
