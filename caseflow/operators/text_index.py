@@ -7,18 +7,30 @@ scan, as ``investigate.keyword_search`` and ``dashboards.text_search`` do.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.operators import dashboards, investigate
 from caseflow.sources import store
 
+# Tasks get the helpers with their function, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Folders that the postings are dealt to by the hash of their characters.
 BUCKETS = 64
 #: Runs of a term that are intersected: its rarest.
 RAREST = 8
+#: Pairs of a run and a row that a task puts together before it passes them on.
+BLOCK = 2_000_000
+#: Bits of a code point.
+POINT = 21
 
 
 def grams(text: Column) -> Column:
@@ -30,8 +42,44 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.transform(shifted, lambda x: F.concat(x["a"], x["b"], x["c"])))
 
 
-def _bucket(gram: Column) -> Column:
-    return F.crc32(gram.cast("binary")) % BUCKETS
+def _codes(text: str) -> np.ndarray:
+    """``grams`` of a lower-case text, each as one number."""
+    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    return np.unique(points[:-2] << 2 * POINT | points[1:-1] << POINT | points[2:])
+
+
+def _spelled(codes: np.ndarray) -> list[str]:
+    points = [codes >> 2 * POINT, codes >> POINT & (1 << POINT) - 1, codes & (1 << POINT) - 1]
+    text = np.stack(points, axis=1).astype("<u4").tobytes().decode("utf-32-le")
+    return [text[i : i + 3] for i in range(0, len(text), 3)]
+
+
+def _block(keys: pa.Array, codes: list[np.ndarray]) -> pa.RecordBatch:
+    """One row per run: its bucket, its number of rows and their keys."""
+    rows, runs = np.repeat(np.arange(len(codes)), [len(c) for c in codes]), np.concatenate(codes)
+    order = np.argsort(runs, kind="stable")
+    found, starts, counts = np.unique(runs[order], return_index=True, return_counts=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(runs)), pa.int32()), keys.take(pa.array(rows[order])))
+    spelled = _spelled(found)
+    buckets = [zlib.crc32(g.encode()) % BUCKETS for g in spelled]
+    columns = [pa.array(spelled, pa.string()), pa.array(buckets, pa.int32()), pa.array(counts, pa.int64()), lists]
+    return pa.RecordBatch.from_arrays(columns, ["gram", "bucket", "rows", "keys"])
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (key, lower-case text) to blocks of postings, however many of them a task has."""
+    keys, codes, held = [], [], 0
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for key, text in zip(batch.column(0), batch.column(1)):
+            keys.append(key.as_py())
+            codes.append(_codes(text.as_py() or ""))
+            held += len(codes[-1])
+            if held >= BLOCK:
+                yield _block(pa.array(keys, kind), codes)
+                keys, codes, held = [], [], 0
+    if keys:
+        yield _block(pa.array(keys, kind), codes)
 
 
 def _row_text(df: DataFrame) -> Column:
@@ -39,12 +87,15 @@ def _row_text(df: DataFrame) -> Column:
 
 
 def build(df: DataFrame, root: str, name: str, key: str, text: Column | None = None) -> None:
-    """Write the postings of ``text``, or of the values of all columns as DSH-3 searches them. Parts of a
-    bucket that are too large for one task are split; inside a file postings are sorted by their characters."""
+    """Write the postings of ``text``, or of the values of all columns as DSH-3 searches them: lists of the rows
+    that hold a run, as many lists as blocks of rows were put together. Parts of a bucket that are too large for
+    one task are split; inside a file postings are sorted by their characters."""
     content = _row_text(df) if text is None else text
-    pairs = df.select(F.col(key).alias("key"), F.explode(grams(content)).alias("gram")).withColumn("bucket", _bucket(F.col("gram")).cast("int"))
-    store.save(pairs.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram"), root, name, partition_by=("bucket",))
-    counts = store.load(df.sparkSession, root, name).groupBy("gram", "bucket").agg(F.count(F.lit(1)).alias("rows"))
+    texts = df.select(F.col(key).alias("key"), F.lower(content).alias("text"))
+    kind = texts.schema["key"].dataType.simpleString()
+    lists = texts.mapInArrow(_postings, f"gram string, bucket int, rows long, keys array<{kind}>")
+    store.save(lists.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram"), root, name, partition_by=("bucket",))
+    counts = store.load(df.sparkSession, root, name).groupBy("gram", "bucket").agg(F.sum("rows").alias("rows"))
     store.save(counts.sortWithinPartitions("bucket", "gram"), root, f"{name}_sizes", partition_by=("bucket",))
 
 
@@ -61,7 +112,7 @@ def candidates(spark: SparkSession, root: str, name: str, term: str) -> DataFram
     # One row per run of the term.
     known = {r["gram"]: r["rows"] for r in _of_grams(store.load(spark, root, f"{name}_sizes"), row["grams"]).collect()}
     rarest = sorted(row["grams"], key=lambda g: (known.get(g, 0), g))[:RAREST]
-    found = _of_grams(store.load(spark, root, name), rarest).select("key", "gram").distinct()
+    found = _of_grams(store.load(spark, root, name), rarest).select(F.explode("keys").alias("key"), "gram").distinct()
     return found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(rarest)).select("key")
 
 

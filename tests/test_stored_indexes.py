@@ -60,6 +60,21 @@ def test_few_texts_are_looked_at(spark, root):
     assert _pruned(text_index._of_grams(store.load(spark, root, "documents"), ["pas"]), "bucket")
 
 
+def test_postings_are_lists_of_every_run_and_row(spark, root, monkeypatch):
+    monkeypatch.setattr(text_index, "BLOCK", 50)
+    df = _texts(spark).repartition(2)
+    text_index.build(df, root, "texts", "id", F.col("text"))
+    found = store.load(spark, root, "texts")
+    pairs = {(r["key"], r["gram"]) for r in found.select(F.explode("keys").alias("key"), "gram").collect()}
+    rows = df.select("id", F.lower("text").alias("text")).collect()
+    assert pairs == {(r["id"], r["text"][i : i + 3]) for r in rows for i in range(len(r["text"] or "") - 2)}
+    assert pairs == {(r["id"], r["gram"]) for r in df.select("id", F.explode(text_index.grams(F.col("text"))).alias("gram")).collect()}
+    # Fewer rows than pairs, and more than runs, since there are several blocks.
+    assert len({g for _, g in pairs}) < found.count() < len(pairs)
+    sizes = {r["gram"]: r["rows"] for r in store.load(spark, root, "texts_sizes").collect()}
+    assert sizes == {g: sum(1 for _, x in pairs if x == g) for g in sizes} and len(sizes) == len({g for _, g in pairs})
+
+
 # ---------------------------------------------------------------- digests
 
 
