@@ -36,8 +36,9 @@ TOGETHER = 1024
 FLUSH = 300_000
 BUFFER = 4_000_000
 TEXTS_AT_ONCE = 128
-START_TEXTS, START_CLASSES, START_ROUNDS = 512, 512, 15
-ROUNDS = 2
+# Groups of classes that the pairs counted for the start of training have in second place, and rounds over these counts.
+GROUPS, START_ROUNDS = 64, 100
+ROUNDS = 3
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -367,19 +368,66 @@ def expected_counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarr
     return start, move, emit
 
 
+def _groups(classes: int) -> np.ndarray:
+    """The group of each class: one of its own for the most frequent words, few for all others."""
+    own, every = GROUPS // 2, np.arange(classes)
+    return np.where(every < own, every, own + every % (GROUPS - own))
+
+
+def pair_counts(rows: DataFrame, classes: int) -> np.ndarray:
+    """(class, group): how often a class is followed by a class of a group, in all texts of ``rows``.
+
+    A partition gives one row per class, Spark adds them up.
+    """
+    group = _groups(classes)
+    names = ["key", *[f"g{k}" for k in range(GROUPS)]]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(classes * GROUPS, dtype=np.int64)
+        waiting, held = [np.zeros(0, dtype=np.int64)], 0
+        for batch in batches:
+            for value in batch.column(0):
+                chain = np.frombuffer(value.as_py(), dtype="<u2").astype(np.int64)
+                waiting.append(chain[:-1] * GROUPS + group[chain[1:]])
+                held += len(chain)
+                if held > BUFFER // 4:
+                    table += np.bincount(np.concatenate(waiting), minlength=len(table))
+                    waiting, held = [np.zeros(0, dtype=np.int64)], 0
+        table += np.bincount(np.concatenate(waiting), minlength=len(table))
+        table = table.reshape(classes, GROUPS)
+        keys = np.flatnonzero(table.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(table[keys, k]) for k in range(GROUPS)]], names=names)
+
+    schema = ", ".join(f"{n} long" for n in names)
+    sums = rows.select("classes").mapInArrow(add, schema).groupBy("key").agg(*[F.sum(n).alias(n) for n in names[1:]])
+    counts = np.zeros((classes, GROUPS))
+    for row in sums.collect():
+        counts[row["key"]] = row[1:]
+    return counts
+
+
 def _begin(rows: DataFrame, vocab: Vocabulary, states: int, seed: int) -> Model:
-    """Where training starts: some rounds over a bounded sample (the beginnings of 512 texts)."""
-    chosen = rows.select(F.substring("classes", 1, 2 * START_CLASSES).alias("c"), F.xxhash64("classes").alias("h"))
-    sample = [np.frombuffer(bytes(r["c"]), dtype="<u2") for r in chosen.orderBy("h", "c").limit(START_TEXTS).collect()]
+    """Where training starts: Baum-Welch on all pairs of neighbours, of which the second is known by its group.
+
+    All texts are counted; the rounds see one row per class.
+    """
     noise = np.random.default_rng(seed)
     mass = vocab.class_mass
     emit = mass[:, None] * np.exp(noise.normal(0, 0.5, (len(mass), states)))
     move = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
     model = _model(np.ones(states), 1e3 * move, emit, mass)
-    for _ in range(START_ROUNDS if sample else 0):
-        expected = Expected(model)
-        expected.add(*_segments(sample))
-        model = _model(expected.start, expected.move, expected.emit, mass)
+    counts, group = pair_counts(rows, len(mass)), _groups(len(mass))
+    of_group = (group == np.arange(GROUPS)[:, None]).astype(float)
+    here = model.start
+    for _ in range(START_ROUNDS if counts.any() else 0):
+        ahead = of_group @ model.emit
+        left = model.emit * here
+        ratio = counts / np.maximum(left @ model.move @ ahead.T, 1e-300)
+        first = left * (ratio @ ahead @ model.move.T)
+        moved = model.move * (left.T @ ratio @ ahead)
+        second = model.emit * (ratio.T @ left @ model.move)[group]
+        here = first.sum(axis=0) / first.sum()
+        model = _model(first.sum(axis=0), moved, first + second, mass)
     return model
 
 

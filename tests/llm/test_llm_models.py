@@ -260,6 +260,33 @@ def test_expected_counts_are_those_of_all_paths(spark):
         assert np.allclose(a, b, atol=1e-5)
 
 
+def _class_rows(spark, texts):
+    return spark.createDataFrame([(bytearray(np.array(t, dtype="<u2").tobytes()),) for t in texts], "classes binary")
+
+
+def test_pairs_of_all_texts_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "BUFFER", 400)
+    noise = np.random.default_rng(5)
+    texts = [noise.integers(0, 200, n) for n in [0, 1, 2, *noise.integers(1, 60, 700)]]
+    group, wanted = hmm._groups(200), np.zeros((200, hmm.GROUPS))
+    assert group.max() < hmm.GROUPS
+    for text in texts:
+        for a, b in zip(text, text[1:]):
+            wanted[a, group[b]] += 1
+    assert (hmm.pair_counts(_class_rows(spark, texts).repartition(3), 200) == wanted).all()
+
+
+def test_training_starts_from_whole_texts(spark):
+    mass = np.full(40, 100.0)
+    vocab = hmm.Vocabulary([], np.zeros(0, dtype=np.int64), 1, 1, 1, mass)
+    same = np.arange(600) % 20
+    starts = [hmm._begin(_class_rows(spark, [np.append(same, rest)]), vocab, 3, 7) for rest in (np.arange(900) % 2, 20 + np.arange(900) % 2)]
+    for model in starts:
+        assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1)
+    # They differ after the first 600 words only.
+    assert starts[1].emit[20:22].sum() > 2 * starts[0].emit[20:22].sum()
+
+
 def test_language_model_awkward_rows(spark):
     got = hmm.score(docs(spark, AWKWARD).withColumn("score", F.lit("clash"))).collect()
     assert len(got) == len(AWKWARD)
