@@ -52,17 +52,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, expected: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has a link.
 
     ``edges`` has two long columns, a and b, in any direction, repeats allowed; rows with a NULL or
     with a = b say nothing. Alternating large and small stars ends after a number of rounds that
-    grows with the logarithm of the nodes; each round is checkpointed in the shared folder.
+    grows with the logarithm of the nodes; each round is checkpointed in the shared folder, in as many files as the
+    round before had links for. ``expected`` is about the number of links, for the first of them.
     """
-    edges = cut_lineage(edges.select("a", "b").filter("a != b").distinct())
+    edges = cut_lineage(edges.select("a", "b").filter("a != b").distinct(), expected)
     before = _state(edges)
     while before[0]:
-        edges = cut_lineage(_small_star(_large_star(edges)))
+        edges = cut_lineage(_small_star(_large_star(edges)), before[0])
         after = _state(edges)
         if after == before:
             break

@@ -26,7 +26,8 @@ SEED = 42
 BITS = 64
 TOP_BITS = 16
 WORDS_AT_ONCE = 1 << 16
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 16
+LINKS_AT_ONCE = 1 << 20
 SMALL = 64
 
 
@@ -198,7 +199,7 @@ def _forest(keys: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) ->
         left.append(a)
         right.append(b)
         waiting += len(a)
-        if waiting > PAIRS_AT_ONCE:
+        if waiting > LINKS_AT_ONCE:
             labels = joined()
             left, right, waiting = [], [], 0
     labels = joined()
@@ -264,8 +265,9 @@ def _grouped(docs: DataFrame, budget: int, shingle: int) -> DataFrame:
     """(doc_id, mark, fp, root, component_id) per row; ``mark`` is a hash of the text."""
     work = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     prints = cut_lineage(fingerprints(work, shingle, "fp").select("doc_id", "mark", "fp"))
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = components(links(nodes, budget))
+    rows = prints.count()
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), rows)
+    joined = components(links(nodes, budget), rows)
     placed = nodes.join(joined, nodes["fp"] == joined["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root")
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -220,6 +221,33 @@ def test_simhash_against_brute_force(spark):
     assert [r["component_id"] for r in rows] == [least[root] for root in roots]
 
 
+def test_trie_walk_holds_little():
+    keys = np.unique(np.random.default_rng(5).integers(0, 1 << 63, 45_000, dtype=np.uint64))
+    tracemalloc.start()
+    try:
+        assert sum(len(a) for a, _ in simhash.close_pairs(keys, keys, 2)) == 0
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 48 << 20
+
+
+def test_small_components_stay_in_few_files(spark):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {name: spark.conf.get(name) for name in names}
+    edges = spark.range(0, 1000, 1, 4).select(F.col("id").alias("a"), F.expr("id div 10 * 10").alias("b"))
+    try:
+        for name, value in zip(names, ("40", "false")):
+            spark.conf.set(name, value)
+        got = graph.components(edges)
+        assert got.rdd.getNumPartitions() <= 1 + 40
+        found = {r["node"]: r["component"] for r in got.collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert found == {n: n // 10 * 10 for n in range(1000)}
+
+
 def test_trie_finds_every_close_pair_across_subtrees(spark):
     noise = np.random.default_rng(3)
     base = noise.integers(0, 1 << 64, 150, dtype=np.uint64)
