@@ -69,6 +69,38 @@ def test_near_vectors_against_brute_force_in_many_tiles(spark, monkeypatch):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == wanted
 
 
+@pytest.mark.parametrize("element", ["float", "double"])
+def test_near_vectors_travel_once_to_a_group_of_tiles(spark, monkeypatch, element):
+    noise = np.random.default_rng(8)
+    rows = noise.normal(size=(1500, 24)).astype(np.float32)
+    rows[1200:] = rows[:300] + noise.normal(scale=0.15, size=(300, 24)).astype(np.float32)
+    listed = [(i, [float(x) for x in v]) for i, v in enumerate(rows)]
+    table = spark.createDataFrame(listed, f"vec_id long, embedding array<{element}>").repartition(3)
+    for name, value in {"TILE": 25, "BLOCK": 16, "GROUP_ROWS": 500, "GROUPS": 3, "DEALT": 64}.items():
+        monkeypatch.setattr(neardup, name, value)
+    dealt, _ = neardup._dealt(table.select("embedding", F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("copies")), 24, 0.95)
+    # Vectors without structure are near all tiles: 64 of them, in 3 to 5 groups.
+    assert 3 * 1500 <= dealt.count() <= 5 * 1500
+    assert dealt.filter("first > second").count() == 0 and dealt.dropDuplicates(["first", "second", "node"]).count() == dealt.count()
+    assert dict(dealt.dtypes)["rows"] == "binary" and dealt.select(F.length("rows")).first()[0] == 24 * (4 if element == "float" else 8)
+    got = neardup.near_duplicates(table).collect()
+    wanted = brute_links(listed)
+    assert sum(n for n, _ in wanted.values()) > 100
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == wanted
+
+
+def test_tiles_that_are_apart_are_not_compared():
+    noise = np.random.default_rng(9)
+    rows = noise.normal(size=(90, 12))
+    rows[45:] = rows[:45]
+    tiles, near = np.repeat([0, 1, 2], 30), np.eye(3, dtype=bool)
+    near[0, 1] = near[1, 0] = True
+    pairs = [(x, y) for a, b in neardup.close_pairs(rows, rows, np.eye(12), 0.99, (tiles, tiles), near) for x, y in zip(a, b)]
+    # Row i equals row i + 45: tiles 0 and 1, 0 and 2, 1 and 2.
+    assert sorted(pairs) == [(i, i + 45) for i in range(15)]
+    assert neardup._groups(np.array([5, 0, 4, 3, 20, 1, 1]), 10).tolist() == [0, 0, 0, 1, 2, 3, 3]
+
+
 def test_nearest_awkward_rows(spark):
     good = [(i, [1.0, 0.1 * (i % 4), 0.0]) for i in range(100, 112)]
     got = ann.nearest(vectors(spark, good + good[:1] + BAD), F.col("vec_id") % 100 == 0, k=5).collect()
