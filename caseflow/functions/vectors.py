@@ -41,18 +41,25 @@ def best(found: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby("query", sort=False).head(k)
 
 
-def nearest(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """Top k of one block of unit vectors for each unit query: (query = row number, id, score)."""
+def nearest(
+    queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, visited: np.ndarray | None = None, lists: np.ndarray | None = None
+) -> pd.DataFrame:
+    """Top k of one block of unit vectors for each unit query: (query = row number, id, score).
+
+    With ``visited`` (query, list) only vectors whose list, in ``lists``, the query visits count.
+    """
     parts = []
     step = max(1, _CELLS // max(1, len(ids)))
     keep = min(k, len(ids))
     for start in range(0, len(queries), step):
         scores = queries[start : start + step] @ vectors.T
+        if visited is not None:
+            scores[~visited[start : start + step][:, lists]] = -np.inf
         # Rounding keeps the order, so the k-th rounded score is the k-th score, rounded; only those near it are rounded.
         floor = np.round(np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep], DECIMALS)
         row, col = np.nonzero(scores >= (floor - 10.0**-DECIMALS)[:, None])
         value = np.round(scores[row, col], DECIMALS) + 0.0
-        close = value >= floor[row]
+        close = (value >= floor[row]) & (value > -np.inf)
         row, col, value = row[close], col[close], value[close]
         found = pd.DataFrame({"query": row + start, "id": ids[col], "score": value})
         parts.append(best(found, k))

@@ -12,7 +12,7 @@ Three exact ways, chosen by measured sizes, all with the same result:
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -327,26 +327,23 @@ def cosine_topk_approx(
     return ranking.top_per_key(_unfold(found, distinct, marked, k), ["query_id"], order, k, "position")
 
 
-def _block_join(
-    routed: DataFrame, homes: DataFrame, k: int, block: int, read: Callable[[pd.Series], np.ndarray] | None = None
-) -> DataFrame:
+def _block_join(routed: DataFrame, homes: DataFrame, k: int, block: int) -> DataFrame:
     """Top k per query over the cells it was routed to; a stored vector has one cell."""
-    found = _block_pairs(routed, homes, k, block, read)
+    found = _block_pairs(routed, homes, k, block)
     return ranking.top_per_key(found, ["query"], [F.col("score").desc(), F.col("id")], k, "nth").drop("nth")
 
 
-def _block_pairs(
-    routed: DataFrame, homes: DataFrame, k: int, block: int, read: Callable[[pd.Series], np.ndarray] | None = None
-) -> DataFrame:
-    """Top k per query and block of the cells it was routed to. ``read`` makes unit rows of the stored
-    ``embedding`` where that is not the vector itself.
+def _in_blocks(
+    routed: DataFrame, homes: DataFrame, key: str, home_key: str, block: int, home_block: int
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Queries and stored vectors of every cell, dealt to blocks of both, and the columns of a pair of blocks.
 
-    The stored vectors of a cell and its queries are both split into blocks of about ``block``
-    rows, so no task holds a whole cell however many rows it has.
+    Both sides of a cell are split into blocks of about ``block`` and ``home_block`` rows, so no task holds a whole
+    cell however many rows it has.
     """
 
-    def blocks(df, name):
-        counted = df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    def blocks(df, name, most):
+        counted = df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
         return F.broadcast(counted)  # one row per pivot
 
     def spread(df, key, own, other, own_blocks, other_blocks):
@@ -355,10 +352,16 @@ def _block_pairs(
             other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))
         )
 
-    stored_blocks, query_blocks = blocks(homes, "sides"), blocks(routed, "fronts")
-    left = spread(routed, "query", "front", "side", query_blocks, stored_blocks)
-    right = spread(
-        homes.select("vector", "first_id", "embedding", "cell"), "vector", "side", "front", stored_blocks, query_blocks
+    stored_blocks, query_blocks = blocks(homes, "sides", home_block), blocks(routed, "fronts", block)
+    left = spread(routed, key, "front", "side", query_blocks, stored_blocks)
+    right = spread(homes, home_key, "side", "front", stored_blocks, query_blocks)
+    return left, right, ["cell", "side", "front"]
+
+
+def _block_pairs(routed: DataFrame, homes: DataFrame, k: int, block: int) -> DataFrame:
+    """Top k per query and block of the cells it was routed to."""
+    left, right, keys = _in_blocks(
+        routed, homes.select("vector", "first_id", "embedding", "cell"), "query", "vector", block, block
     )
     id_type = homes.schema["first_id"].dataType.simpleString()
 
@@ -367,14 +370,13 @@ def _block_pairs(
             return pd.DataFrame({"query": [], "id": [], "score": []})
         found = vec.nearest(
             vec.unit(vec.matrix(asked["embedding"]), QUERY),
-            read(block_rows["embedding"]) if read else vec.unit(vec.matrix(block_rows["embedding"]), STORED),
+            vec.unit(vec.matrix(block_rows["embedding"]), STORED),
             block_rows["first_id"].to_numpy(),
             k,
         )
         found["query"] = asked["query"].to_numpy()[found["query"].to_numpy(dtype=np.int64)]
         return found
 
-    keys = ["cell", "side", "front"]
     return (
         left.select("query", "embedding", *keys)
         .groupBy(*keys)

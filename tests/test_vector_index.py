@@ -71,6 +71,46 @@ def test_only_visited_lists_are_read(spark, root):
     assert "PartitionFilters: [isnotnull(list" in visited._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("block", [60, 4096])
+def test_queries_go_once_to_a_group_of_lists(spark, root, monkeypatch, block):
+    pick = np.random.default_rng(7)
+    rows = pick.normal(size=(400, 8)).astype(np.float32)
+    stored = _vectors(spark, [v.tolist() for v in rows])
+    vector_index.build(stored, root, "v", lists=16)
+    monkeypatch.setattr(vector_index, "QUERY_ROWS", 50)
+    monkeypatch.setattr(vector_index, "CELLS", 640)
+    asked = _asked(stored).select(F.md5(F.col("embedding").cast("string")).alias("query"), "embedding", "query_id")
+    lists = {}
+    for row in vector_index.probed(spark, root, "v", asked, 0.4, 1.0).collect():
+        lists.setdefault(row["query"], set()).add(row["cell"])
+    centres, sizes = vector_index._known(spark, root, "v")
+    groups = similarity._groups(sizes, block)
+    sent = vector_index._grouped(asked, centres, sizes, groups, vector_index.reach(400, 0.4, 1.0)).groupBy("query").count().collect()
+    # A row for each group that holds a visited list, whatever the number of lists.
+    assert {r["query"]: r["count"] for r in sent} == {q: len({groups[i] for i in held}) for q, held in lists.items()}
+    assert max(map(len, lists.values())) > 4 and (block == 60 or {r["count"] for r in sent} == {1})
+    homes = {r["claim_id"]: r["list"] for r in store.load(spark, root, "v").collect()}
+    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1)[:, None]
+    names = {r["query_id"]: r["query"] for r in asked.collect()}
+    found = vector_index.search(_asked(stored), root, "v", 3, rerank=400, factor=0.4, power=1.0, block=block)
+    best = {}
+    for row in found.orderBy("query_id", "position").collect():
+        best.setdefault(row["query_id"], []).append(row["claim_id"])
+    for query, name in names.items():
+        among = [i for i in range(400) if homes[i] in lists[name]]
+        scores = np.round(unit[among] @ unit[query], 10)
+        assert best[query] == [among[j] for j in np.lexsort((among, -scores))[:3]]
+
+
+def test_ids_that_repeat_or_are_missing(spark, root):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.1]), (None, [1.0, 0.05]), (2, [0.0, 1.0]), (3, [0.9, 0.1])]
+    stored = spark.createDataFrame(rows, "claim_id long, embedding array<float>")
+    vector_index.build(stored, root, "v")
+    found = vector_index.search(_asked(stored, "claim_id = 3"), root, "v", 10).collect()
+    # A claim without id is no answer; each of two places of an id stands for both of its vectors.
+    assert sorted(r["claim_id"] for r in found) == [1, 1, 1, 1, 2, 3]
+
+
 def test_nothing_to_find(spark, root):
     empty = spark.createDataFrame([], "claim_id long, embedding array<float>")
     vector_index.build(empty, root, "v")
