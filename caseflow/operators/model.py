@@ -30,6 +30,8 @@ PARAMS = {
 }
 # A value no feature takes; trees then put missing values on a side of their own.
 MISSING = -1.0e9
+# Rows of a partition of the training data, where there are more of them than tasks for all cores.
+_PARTITION_ROWS = 500_000
 # Distinct scores per band of a curve: a band is summed up by one task.
 _BAND_ROWS = 100_000
 
@@ -68,16 +70,23 @@ def _assembled(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 def train(
     train_df: DataFrame, label: str = "is_fraud", columns: Iterable[str] = MODEL_FEATURES, **params
 ) -> GBTClassificationModel:
-    """ML-3: boosted trees with the positive class weighted up to balance."""
+    """ML-3: boosted trees with the positive class weighted up to balance.
+
+    Every level of every tree is a job with two tasks per partition, so the partitions are few. Nodes of rows are
+    found by walking the tree: at this depth that is faster than a table of them, which needs memory and checkpoints.
+    """
     shared_dir(train_df.sparkSession)  # long boosting runs cut their lineage there
-    weight = class_balance(train_df, label).first()["positive_weight"] or 1.0
+    balance = class_balance(train_df, label).first()
+    weight = balance["positive_weight"] or 1.0
+    partitions = max(2 * train_df.sparkSession.sparkContext.defaultParallelism, -(-balance["row_count"] // _PARTITION_ROWS))
     data = (
         _assembled(train_df, columns)
         .withColumn("_label", F.col(label).cast("double"))
         .withColumn("_weight", F.when(F.col(label), weight).otherwise(1.0))
         .select("_features", "_label", "_weight")
+        .coalesce(partitions)
     )
-    settings = {"cacheNodeIds": True, "checkpointInterval": 10, **PARAMS, **params}
+    settings = {"cacheNodeIds": False, "checkpointInterval": 10, **PARAMS, **params}
     classifier = GBTClassifier(
         featuresCol="_features", labelCol="_label", weightCol="_weight", **settings
     )

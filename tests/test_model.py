@@ -37,6 +37,32 @@ def test_training_separates_a_separable_label(spark):
     assert model.PARAMS["maxIter"] == 200 and model.MODEL_FEATURES == FEATURES and len(FEATURES) == 28
 
 
+def test_training_uses_few_partitions_and_no_table_of_nodes(spark, monkeypatch):
+    seen = []
+
+    class Classifier:
+        def __init__(self, **settings):
+            self.settings = settings
+
+        def fit(self, data):
+            seen.append((self.settings["cacheNodeIds"], data.rdd.getNumPartitions(), data.count()))
+
+    monkeypatch.setattr(model, "GBTClassifier", Classifier)
+    cores = spark.sparkContext.defaultParallelism
+    many = _toy(spark).repartition(50)
+    model.train(many, columns=["a", "b"])
+    model.train(many.coalesce(2), columns=["a", "b"])
+    monkeypatch.setattr(model, "_PARTITION_ROWS", 10)
+    model.train(many, columns=["a", "b"])
+    assert seen == [(False, 2 * cores, 400), (False, 2, 400), (False, 40, 400)]
+
+
+def test_a_table_of_nodes_gives_the_same_trees(spark):
+    rows = _toy(spark).coalesce(1)
+    trees = [model.train(rows, columns=["a", "b"], maxIter=3, cacheNodeIds=kept).toDebugString for kept in (True, False)]
+    assert trees[0].split("\n")[1:] == trees[1].split("\n")[1:] and len(trees[0].split("\n")) > 5
+
+
 def _preds(spark, scores, labels):
     rows = [(i, int(y), int(s > 0.5), float(s)) for i, (s, y) in enumerate(zip(scores, labels))]
     return spark.createDataFrame(rows, "claim_id int, actual_fraud int, predicted_fraud int, fraud_probability double")
